@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stripewise.llm import mixing
 from stripewise.llm import token_counts as counting
 from stripewise.llm.common import scratch_path
 
@@ -29,3 +30,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents with a cache that is new to this run."""
     docs = _read(spark, sf_dir, "documents")
     return counting.token_counts(docs, scratch_path(spark, "token-cache"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 150 % of their words at weights 3, 1, 2, no source above twice its size."""
+    return mixing.mix(_read(spark, sf_dir, "documents"))[0]
