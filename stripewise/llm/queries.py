@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripewise.llm import mixing
+from stripewise.llm import mixing, simhash, warc_zstd
 from stripewise.llm import token_counts as counting
 from stripewise.llm.common import scratch_path
 
@@ -36,3 +36,30 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words at weights 3, 1, 2, no source above twice its size."""
     return mixing.mix(_read(spark, sf_dir, "documents"))[0]
+
+
+@_query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents: three-word shingles, links at two bits or fewer."""
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, and the archives read back."""
+    path = scratch_path(spark, "warc")
+    warc_zstd.write(_read(spark, sf_dir, "pages"), path)
+    return warc_zstd.read(spark.read.parquet(path), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op9_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(strlen(html), 0) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+"""
