@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripewise.llm import mixing, simhash, warc_zstd
+from stripewise.llm import decontam, mixing, simhash, warc_zstd
 from stripewise.llm import token_counts as counting
 from stripewise.llm.common import scratch_path
 
@@ -63,3 +63,9 @@ SELECT page_id, payload_bytes, p.payload_digest,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 """
+
+
+@_query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item; clean documents aren't listed."""
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
