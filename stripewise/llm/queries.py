@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripewise.llm import decontam, mixing, simhash, warc_zstd
+from stripewise.llm import decontam, html_wrappers, imatch, mixing, simhash, warc_zstd
 from stripewise.llm import token_counts as counting
 from stripewise.llm.common import scratch_path
 
@@ -69,3 +69,15 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item; clean documents aren't listed."""
     return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of all documents and of their edited texts."""
+    return imatch.match(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages by wrappers of their hosts."""
+    return html_wrappers.main_texts(_read(spark, sf_dir, "pages"))
