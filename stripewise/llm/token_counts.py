@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -72,9 +73,14 @@ def counter(spec_json: str) -> Callable[[list[str]], list[int]]:
     from tokenizers import Tokenizer
 
     spec = json.loads(spec_json)
-    library = Tokenizer.from_str(spec_json)
-    library.no_truncation()
-    library.no_padding()
+
+    @lru_cache(1)
+    def library() -> Tokenizer:
+        made = Tokenizer.from_str(spec_json)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     ranks = _merge_ranks(spec)
     fast = None
     if ranks is not None:
@@ -93,7 +99,7 @@ def counter(spec_json: str) -> Callable[[list[str]], list[int]]:
                 rest.append(k)
         for lo in range(0, len(rest), 64):
             some = rest[lo : lo + 64]
-            for k, got in zip(some, library.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
+            for k, got in zip(some, library().encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
                 out[k] = len(got.ids)
         return out
 
@@ -155,12 +161,9 @@ def token_counts(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=CACHE_SCHEMA.names)
 
     known = read_cache(spark, cache_path).filter(F.col("tokenizer_digest") == version)
-    misses = (
-        keyed.select("content_digest", "content")
-        .join(known.select("content_digest"), "content_digest", "left_anti")
-        .groupBy("content_digest")
-        .agg(F.first("content").alias("content"))
-    )
+    # one row for each text and task before anything is dealt out, so a text that recurs very often weighs no more than others
+    distinct = keyed.groupBy("content_digest").agg(F.first("content").alias("content"))
+    misses = distinct.join(known.select("content_digest"), "content_digest", "left_anti").select("content_digest", "content")
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
     counted = read_cache(spark, cache_path).filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
