@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripewise.llm import decontam, html_wrappers, imatch, mixing, quality, simhash, warc_zstd
+from stripewise.llm import decontam, html_wrappers, imatch, langid_crf, mixing, quality, simhash, warc_zstd
 from stripewise.llm import token_counts as counting
 from stripewise.llm.common import scratch_path
 
@@ -87,3 +87,9 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of all documents by a classifier of labels whose crc32 modulo 5 isn't 0."""
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@_query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by a CRF of those whose crc32 modulo 4 isn't 2."""
+    return langid_crf.languages(_read(spark, sf_dir, "documents"))
