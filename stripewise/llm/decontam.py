@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stripewise.llm.common import checkpointed
+
 WINDOW = 8
 SHARE = 0.2
 LEAST_LITERAL = 5
@@ -223,6 +225,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     found = _candidates(docs, flags, lengths, id_col, text_col, window)
     met = found.join(bench.select("item_id", "hash", F.col("place").alias("item_place"), "windows", F.col("plain").alias("item_plain"), F.col("slots").alias("item_slots")), "hash").filter(F.col("plain") == F.col("item_plain"))
     met = met.filter(F.size("slots") == F.size("item_slots")).withColumn("same", F.col("slots") == F.col("item_slots"))
+    met = checkpointed(met)  # read three times below; the texts are searched once
 
     # template matches with other values: each value of the item must stand for one value in the document
     other = met.filter(~F.col("same"))
