@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripewise.llm import decontam, html_wrappers, imatch, langid_crf, mixing, quality, simhash, warc_zstd
+from stripewise.llm import decontam, html_wrappers, imatch, langid_crf, lm_scoring, mixing, quality, simhash, warc_zstd
 from stripewise.llm import token_counts as counting
 from stripewise.llm.common import scratch_path
 
@@ -93,3 +93,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents by a CRF of those whose crc32 modulo 4 isn't 2."""
     return langid_crf.languages(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of word pairs learned from those whose crc32 modulo 7 isn't 2."""
+    return lm_scoring.score_texts(_read(spark, sf_dir, "documents"))
