@@ -121,3 +121,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that stay if of each group of near copies only the smallest id does, with all their columns.
+
+    Of rows that share an id one stays. Rows without an id stay: no decision can name them.
+    """
+    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, **options)
+    kept = checkpointed(found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__kept")).agg(F.count("*").alias("__rows")))
+    once = docs.join(kept.filter("__rows = 1").select("__kept"), F.col(id_col) == F.col("__kept"), "left_semi")
+    nameless = docs.filter(F.col(id_col).isNull())
+    parts = [once, nameless]
+    if kept.filter("__rows > 1").limit(1).count():
+        repeated = docs.join(kept.filter("__rows > 1").select("__kept"), F.col(id_col) == F.col("__kept"), "left_semi")
+        # the same row wherever it is computed: the least by all that tells rows apart
+        others = [c for c in docs.columns if c != id_col]
+        parts.append(repeated.groupBy(id_col).agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("__row")).select(*(F.col(f"__row.{c}").alias(c) if c != id_col else F.col(id_col) for c in docs.columns)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
