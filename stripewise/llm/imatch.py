@@ -105,8 +105,7 @@ def ranged(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = RO
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parts = max(1, min(-(-rows.select("id").count() // rows_per_range), most))
     cuts = rows.approxQuantile("id", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    bounds = F.lit(",".join(map(str, sorted({int(x) for x in cuts})))) if cuts else None
-    part = F.lit(0) if bounds is None else _rank_in(F.col("id"), F.split(bounds, ",").cast("array<bigint>"))
+    part = _rank_in("id", sorted({int(x) for x in cuts})) if cuts else F.lit(0)
     rows = rows.withColumn("part", part)
     order = W.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), "text")
     ranked = rows.withColumns({"next_text": F.lead("text").over(order), "rank": F.row_number().over(order)})
@@ -166,10 +165,12 @@ def match(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: f
     )
 
 
-def _rank_in(value: str, bounds: str) -> Column:
-    """How many of the sorted bounds are at or below the value, by halving."""
+def _rank_in(column: str, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at or below the value, by halving; 0 for null."""
+    array = f"cast(split('{','.join(map(str, bounds))}', ',') AS array<bigint>)"
+    middle = "cast((s.lo + s.hi) div 2 AS int)"
     return F.expr(
-        f"coalesce(aggregate(sequence(1, 20), named_struct('lo', 0, 'hi', size({bounds})), "
-        f"(s, _) -> CASE WHEN s.lo >= s.hi THEN s WHEN {bounds}[cast((s.lo + s.hi) div 2 as int)] <= {value} "
-        f"THEN named_struct('lo', cast((s.lo + s.hi) div 2 + 1 as int), 'hi', s.hi) ELSE named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 as int)) END, s -> s.lo), 0)"
+        f"aggregate(sequence(1, {len(bounds).bit_length() + 1}), named_struct('lo', 0, 'hi', {len(bounds)}), (s, _) -> "
+        f"CASE WHEN s.lo >= s.hi THEN s WHEN {array}[{middle}] <= {column} THEN named_struct('lo', {middle} + 1, 'hi', s.hi) "
+        f"ELSE named_struct('lo', s.lo, 'hi', {middle}) END, s -> s.lo)"
     )
