@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 CODECS = ("none", "snappy", "zstd", "zlib", "lz4", "lzo")
 MAX_BLOCK = 0x7FFFFF
+LEAST_STRIDE = 1000
 
 
 @dataclass(frozen=True)
@@ -31,8 +32,8 @@ class WriteConfig:
     LEVELS: ClassVar[dict[str, range]] = {"zstd": range(1, 23)}
 
     def __post_init__(self):
-        if self.row_index_stride < 1:
-            raise ValueError("row_index_stride must be positive")
+        if self.row_index_stride < LEAST_STRIDE:
+            raise ValueError(f"row_index_stride must be at least {LEAST_STRIDE}: the writer takes no less")
         if self.stripe_size < 1:
             raise ValueError("stripe_size must be positive")
         if self.compression not in CODECS:
