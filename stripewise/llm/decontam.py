@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates.
 
 Texts become tokens in two forms: plain (lower case) and template, in which numbers, names (capitalised words) and units
-(after a number) are typed placeholders. Windows of `window` tokens are hashed in both forms and joined to the
+(those of one letter after a number only) are typed placeholders. Windows of `window` tokens are hashed in both forms and joined to the
 benchmark's windows by hash. Where a window matches as a template only, its slots are compared: within one document and
 item, every benchmark value must stand for one value throughout, so a question asked with other numbers or names is
 caught while a chance likeness of templates is not. A document is reported with an item if the windows that hold cover at least
@@ -57,7 +57,7 @@ class Canon:
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
         self.first, self.count = [], []
-        self.plain, self.hash, self.kind, self.unit = [], [], [], []
+        self.plain, self.hash, self.kind, self.unit, self.long = [], [], [], [], []
         self._arrays = None
 
     def _learn(self, raw: str) -> int:
@@ -71,6 +71,7 @@ class Canon:
             self.hash.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")))
             self.kind.append(_NUMBER if piece[0].isdigit() else _NAME if piece[0].isupper() else _WORD)
             self.unit.append(low in UNITS)
+            self.long.append(len(low) > 1)
         self.count.append(len(self.plain) - self.first[-1])
         return k
 
@@ -81,7 +82,7 @@ class Canon:
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         if self._arrays is None or len(self._arrays[0]) != len(self.first):
-            self._arrays = (np.array(self.first, dtype=np.int64), np.array(self.count, dtype=np.int64), np.array(self.hash, dtype=np.uint64), np.array(self.kind, dtype=np.int8), np.array(self.unit, dtype=bool))
+            self._arrays = (np.array(self.first, dtype=np.int64), np.array(self.count, dtype=np.int64), np.array(self.hash, dtype=np.uint64), np.array(self.kind, dtype=np.int8), np.array(self.unit, dtype=bool), np.array(self.long, dtype=bool))
         return self._arrays
 
     def full(self) -> bool:
@@ -106,7 +107,7 @@ class Chunk:
     """The tokens of several texts in a row, with what their windows need."""
 
     def __init__(self, canon: Canon, ids: list[np.ndarray]):
-        first, count, hashes, kind, unit = canon.arrays()
+        first, count, hashes, kind, unit, long = canon.arrays()
         raw = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         n = count[raw] if len(raw) else raw
         ends = np.cumsum(n)
@@ -118,7 +119,7 @@ class Chunk:
         kinds = kind[flat].copy()
         after = np.zeros(len(flat), dtype=bool)
         after[1:] = (kinds[:-1] == _NUMBER) & (self.text[1:] == self.text[:-1])
-        kinds[after & unit[flat] & (kinds != _NUMBER)] = 3
+        kinds[(after | long[flat]) & unit[flat] & (kinds != _NUMBER)] = 3
         self.kinds = kinds
         self.template = np.where(kinds == _WORD, self.plain, _MARKS[kinds])
         self._canon = canon

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from stripewise.llm.common import checkpointed, release, split_of
 
 #: Rows of a group, on average. There are as many owners as groups, so that neither grows with the corpus.
-ROWS_PER_GROUP = 6000
+ROWS_PER_GROUP = 4000
 LEAST_OWNERS = 32
 #: Cells of the histogram: log2 ratios by quarters within +-40.
 _GRID, _REACH = 4, 40
@@ -49,20 +49,16 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text, A-Z lower-cased."""
-    raw = np.frombuffer(data.lower(), dtype=np.uint8)
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some texts, A-Z lower-cased, and how many each text has."""
+    raw = np.frombuffer(b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
+    ends_of_texts = np.cumsum([len(t) + 1 for t in texts])
     space = _IS_SPACE[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not len(raw):
-        return np.zeros(0, np.uint64)
-    if not space[0]:
-        edge = np.concatenate([[0], edge])
-    if not space[-1]:
-        edge = np.concatenate([edge, [len(raw)]])
-    starts, ends = edge[::2], edge[1::2]
+    starts = edge[::2] if space[0] else np.concatenate([[0], edge[1::2]])
+    ends = edge[1::2] if space[0] else edge[::2]
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     letters = raw[~space]
     lengths = ends - starts
     firsts = np.cumsum(lengths) - lengths
@@ -71,54 +67,87 @@ def word_hashes(data: bytes) -> np.ndarray:
     if lengths.max() > 1024:  # places beyond the table take their own factors
         far = places > 1023
         factors[far] = _mix(places[far].astype(np.uint64) * _U(0xD1342543DE82EF95)) | _U(1)
-    return _mix(np.add.reduceat(_BYTES[letters] * factors, firsts) + lengths.astype(np.uint64))
+    hashes = _mix(np.add.reduceat(_BYTES[letters] * factors, firsts) + lengths.astype(np.uint64))
+    return hashes, np.diff(np.searchsorted(starts, ends_of_texts), prepend=0)
+
+
+def _start(n: int) -> np.uint64:
+    """The context of n words of a text's first token."""
+    return _START + _U(n)
 
 
 class Grams:
-    """The tokens of a group's texts, and the hashes of the n-grams that end at each."""
-
-    def __init__(self, texts: Iterator[bytes], order: int):
-        words = [word_hashes(t) for t in texts]
-        self.counts = np.array([len(w) + 1 for w in words], dtype=np.int64)
-        self.ends = np.cumsum(self.counts)
-        tokens = np.empty(int(self.ends[-1]) if len(words) else 0, dtype=np.uint64)
-        at = 0
-        for w in words:
-            tokens[at : at + len(w)] = w
-            tokens[at + len(w)] = _END
-            at += len(w) + 1
-        first = np.zeros(len(tokens), dtype=bool)
-        first[self.ends[:-1]] = True
-        if len(first):
-            first[0] = True
-        self.by_order = [tokens]
-        #: the n-gram of one word less that is the context of each token; the start of a text is a word before its first
-        context = np.where(first, _START, np.roll(tokens, 1))
-        for n in range(2, order + 1):
-            self.by_order.append(_mix(context * _U(0x2545F4914F6CDD1D) + tokens + _U(n)))
-            context = np.where(first, _START + _U(n), np.roll(self.by_order[-1], 1))
-        self.contexts = [None] + [self._contexts(first, n) for n in range(1, order)]
-        self.starts = len(words)
-        self.texts = np.repeat(np.arange(len(words)), self.counts)
-
-    def _contexts(self, first: np.ndarray, n: int) -> np.ndarray:
-        return np.where(first, _START + _U(0 if n == 1 else n), np.roll(self.by_order[n - 1], 1))
-
-    def keys(self) -> np.ndarray:
-        """Sorted distinct hashes of all n-grams and contexts."""
-        return np.unique(np.concatenate([*self.by_order, *self.contexts[1:]]))
-
-
-def _counted(keys: np.ndarray, grams: Grams, rows: np.ndarray) -> np.ndarray:
-    """How often each key occurs in the chosen rows; a text's start counts once, as the context of its first token."""
-    token = rows[grams.texts]
-    out = np.zeros(len(keys), dtype=np.uint32)
-    for values in [*(x[token] for x in grams.by_order)]:
-        out += np.bincount(np.searchsorted(keys, values), minlength=len(keys)).astype(np.uint32)
-    for n, values in enumerate(grams.contexts[1:], 1):
-        starts = values[token & (values == _START + _U(0 if n == 1 else n))]
-        out += np.bincount(np.searchsorted(keys, starts), minlength=len(keys)).astype(np.uint32)
-    return out
+    """The tokens of a group's texts as numbers of their n-grams among the group's sorted distinct hashes."""
+
+    def __init__(self, texts: Iterator[bytes], order: int, chunk: int = 1 << 20):
+        parts: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        waiting: list[bytes] = []
+        size = 0
+
+        def flush() -> None:
+            if not waiting:
+                return
+            hashes, n = word_hashes(waiting)
+            tokens = np.full(len(hashes) + len(n), _END)
+            ends = np.cumsum(n + 1) - 1
+            inside = np.ones(len(tokens), dtype=bool)
+            inside[ends] = False
+            tokens[inside] = hashes
+            parts.append(tokens)
+            counts.append(n + 1)
+            waiting.clear()
+
+        for text in texts:
+            waiting.append(text)
+            size += len(text) + 1
+            if size >= chunk:
+                flush()
+                size = 0
+        flush()
+        self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        self.firsts = np.cumsum(self.counts) - self.counts
+        tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        del parts
+        found: list[np.ndarray] = []
+        places: list[np.ndarray] = []
+        current = tokens
+        for n in range(1, order + 1):
+            if n > 1:
+                context = np.roll(current, 1)
+                context[self.firsts] = _start(n - 1)
+                current = _mix(context * _U(0x2545F4914F6CDD1D) + tokens + _U(n))
+            keys, inverse = np.unique(current, return_inverse=True)
+            found.append(keys)
+            places.append(inverse.astype(np.int32))
+        found.append(np.array([_start(n) for n in range(1, order)], dtype=np.uint64))
+        merged = np.concatenate(found)
+        by_key = np.argsort(merged, kind="stable")
+        at = np.empty(len(merged), dtype=np.int32)
+        at[by_key] = np.arange(len(merged), dtype=np.int32)
+        self.keys = merged[by_key]
+        self.ids, offset = [], 0
+        for keys, inverse in zip(found, places, strict=False):
+            self.ids.append(at[offset : offset + len(keys)][inverse])
+            offset += len(keys)
+        self.starts = at[offset:]
+        self.words = np.zeros(len(merged), dtype=bool)
+        self.words[at[: len(found[0])]] = True
+
+    def context(self, n: int) -> np.ndarray:
+        """Numbers of the contexts of n words; a text's first token has the start of a text."""
+        out = np.roll(self.ids[n - 1], 1)
+        out[self.firsts] = self.starts[n - 1]
+        return out
+
+    def counted(self, rows: np.ndarray) -> np.ndarray:
+        """How often each key occurs in the chosen rows; a text's start counts once for each text."""
+        inside = np.repeat(rows, self.counts)
+        out = np.zeros(len(self.keys), dtype=np.uint32)
+        for ids in self.ids:
+            out += np.bincount(ids[inside], minlength=len(out)).astype(np.uint32)
+        out[self.starts] += np.uint32(rows.sum())
+        return out
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -145,15 +174,15 @@ def _bucket(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.minimum(np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1, 20), 0)
 
 
-def estimates(grams: Grams, keys: np.ndarray, counts: np.ndarray, total: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def estimates(grams: Grams, counts: np.ndarray, total: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each order the maximum-likelihood estimate of every token and the bucket of its context."""
-    found = counts[np.searchsorted(keys, grams.by_order[0])]
+    found = counts[grams.ids[0]]
     likely, buckets = [found / max(1, total)], [np.zeros(len(found), dtype=np.int64)]
-    for n in range(1, len(grams.by_order)):
-        top = counts[np.searchsorted(keys, grams.by_order[n])]
-        below = counts[np.searchsorted(keys, grams.contexts[n])]
-        likely.append(np.where(below > 0, top / np.maximum(below, 1), 0.0))
-        buckets.append(_bucket(below))
+    of_key = _bucket(counts)
+    for n in range(1, len(grams.ids)):
+        context = grams.context(n)
+        likely.append(counts[grams.ids[n]] / np.maximum(counts[context], 1))
+        buckets.append(of_key[context])
     return likely, buckets
 
 
@@ -211,10 +240,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def ask(table: pa.Table) -> pa.Table:
         grams = Grams(texts_of(table), order)
-        keys = grams.keys()
-        fold = table.column("fold").to_numpy()
-        counts = _counted(keys, grams, fold != 2)
-        alone = _counted_order(keys, grams)
+        keys, alone = grams.keys, grams.words
+        counts = grams.counted(table.column("fold").to_numpy() != 2)
         cuts = np.searchsorted(keys, (np.arange(1, owners, dtype=np.float64) * (2.0**64 / owners)).astype(np.uint64))
         parts = list(zip([0, *cuts], [*cuts, len(keys)], strict=True))
         part = table.column("part")[0].as_py()
@@ -279,10 +306,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def histogram(table: pa.Table, counts: pa.Table) -> pa.Table:
             found: dict[tuple[int, int], int] = {}
             if table.num_rows:
-                grams = Grams(texts_of(table), n + 1 if n else 1)
-                full = Grams(texts_of(table), order) if n + 1 < order else grams
-                keys, have = full.keys(), joined(counts, "main")
-                likely, buckets = estimates(grams, keys, have, main_total)
+                likely, buckets = estimates(Grams(texts_of(table), order), joined(counts, "main"), main_total)
                 lower = interpolated(likely[:n], buckets[:n], so_far, uniform) if n else np.full(len(likely[0]), uniform)
                 pairs, times = np.unique(buckets[n] * 4096 + cells_of(likely[n], lower), return_counts=True)
                 found = dict(zip(pairs.tolist(), times.tolist(), strict=True))
@@ -302,11 +326,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not table.num_rows:
             return pa.table({"id": table.column("id"), "fold": table.column("fold"), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         grams = Grams(texts_of(table), order)
-        keys, have = grams.keys(), joined(counts, "whole")
-        likely, buckets = estimates(grams, keys, have, total)
+        have, firsts = joined(counts, "whole"), grams.firsts
+        likely, buckets = estimates(grams, have, total)
         p = interpolated(likely, buckets, weights, uniform)
-        c = have[np.searchsorted(keys, grams.by_order[0])].astype(np.float64)
-        firsts = grams.ends - grams.counts
+        c = have[grams.ids[0]].astype(np.float64)
         return pa.table(
             {
                 "id": table.column("id"),
@@ -321,9 +344,3 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scored = rows.groupBy("part").cogroup(answers.select("part", "owner", "whole").groupBy("part")).applyInArrow(score, f"id {kind}, fold int, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), (F.col("fold") == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
-
-def _counted_order(keys: np.ndarray, grams: Grams) -> np.ndarray:
-    """Which keys are single tokens."""
-    out = np.zeros(len(keys), dtype=np.uint8)
-    out[np.searchsorted(keys, np.unique(grams.by_order[0]))] = 1
-    return out

@@ -139,7 +139,8 @@ class Model:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -50, 50)))
+        # rounded, since the last bits of a product depend on how many rows share the batch
+        return np.round(1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -50, 50))), 9)
 
 
 def learn_vectors(texts: list[str], vocabulary_size: int = 50_000, window: int = 2, least: int = 3) -> tuple[dict[str, int], dict[str, int], np.ndarray]:
