@@ -31,6 +31,7 @@ from stripewise.llm.common import checkpointed
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[^<]++|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAMES = re.compile(r"[^a-z]+")
+_TAGS = re.compile(r"<[^<>]+>")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -159,10 +160,61 @@ def as_repeat(item: str) -> str:
     return item if item.endswith(")+") else f"({item.strip('()?') if item.endswith(')?') else item})+"
 
 
+def plain_of(item: str) -> str:
+    return item[1:-2] if item.endswith((")?", ")+")) else item
+
+
+def nested(items: list[str]) -> list[str]:
+    """Every symbol with the element that it stands in, so a text slot is matched with one in the same kind of element only."""
+    out: list[str] = []
+    open_: list[str] = []
+    for item in items:
+        plain = plain_of(item)
+        out.append(f"{open_[-1] if open_ else ''} {plain}")
+        for symbol in _TAGS.findall(plain):
+            if not symbol.startswith("</"):
+                open_.append(symbol)
+            elif open_:
+                open_.pop()
+    return out
+
+
+def collapsed(items: list[str], other: list[str]) -> list[str]:
+    """The items with every instance of a repeated group of the other stream written as that group."""
+    groups = sorted({x for x in other if x.endswith(")+") and " " in x}, key=lambda x: (-x.count(" "), x))
+    for group in groups:
+        symbols, out, k = plain_of(group).split(" "), [], 0
+        while k < len(items):
+            if items[k] == symbols[0] and items[k : k + len(symbols)] == symbols:
+                out.append(group)
+                k += len(symbols)
+            else:
+                out.append(items[k])
+                k += 1
+        items = out
+    return items
+
+
+def required(wrapper: list[str]) -> list[str]:
+    """The paths of the elements that every page which the wrapper takes has: those outside of optional groups."""
+    found: dict[str, None] = {}
+    open_: list[tuple[str, bool]] = []
+    for item in wrapper:
+        optional = item.endswith(")?")
+        for symbol in _TAGS.findall(plain_of(item)):
+            if not symbol.startswith("</"):
+                open_.append((symbol[1:-1], optional or (bool(open_) and open_[-1][1])))
+                if not open_[-1][1]:
+                    found[">".join(x for x, _ in open_)] = None
+            elif open_:
+                open_.pop()
+    return list(found)
+
+
 def align(wrapper: list[str], stream: list[str]) -> list[str]:
     """The wrapper widened so that it takes the stream as well: mismatches become repeated or optional groups."""
-    strip = [x[1:-2] if x.endswith((")?", ")+")) else x for x in wrapper]
-    other = [x[1:-2] if x.endswith((")?", ")+")) else x for x in stream]
+    wrapper, stream = collapsed(wrapper, stream), collapsed(stream, wrapper)
+    strip, other = nested(wrapper), nested(stream)
     out: list[str] = []
     for kind, a, b, c, d in SequenceMatcher(None, strip, other, autojunk=False).get_opcodes():
         if kind == "equal":
@@ -170,7 +222,7 @@ def align(wrapper: list[str], stream: list[str]) -> list[str]:
                 out.append(x if x == y or x.endswith(")?") else y if y.endswith(")?") else as_repeat(x if x.endswith(")+") else y))
             continue
         for part in (wrapper[a:b], stream[c:d]):
-            plain = " ".join(x[1:-2] if x.endswith((")?", ")+")) else x for x in part)
+            plain = " ".join(map(plain_of, part))
             if not part:
                 continue
             if out and out[-1].endswith(")+") and out[-1][1:-2] == plain:
@@ -231,10 +283,12 @@ def blocks_of(page: str, region: str) -> list[str]:
     return found
 
 
-def wrappers(scans: DataFrame, salt: int = 16) -> DataFrame:
-    """host, wrapper, region and explicit. scans: one row of SCAN_SCHEMA for each page."""
-    streams = scans.groupBy("host", "stream").agg(F.count("*").alias("pages"))
-    part = F.pmod(F.xxhash64("stream"), F.lit(salt))
+def wrappers(scans: DataFrame, fan: int = 64) -> DataFrame:
+    """host, wrapper, pages, region and explicit. scans: rows of SCAN_SCHEMA, each for one page or for `copies` pages.
+
+    A host's distinct streams are folded about `fan` at a time, then what came of them, until one is left: no task gathers a
+    host, however many pages or streams it has.
+    """
 
     def infer(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("pages").to_pylist(), table.column("stream").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
@@ -243,12 +297,26 @@ def wrappers(scans: DataFrame, salt: int = 16) -> DataFrame:
             wrapper = align(wrapper, stream.split("\n"))
         return pa.table({"host": [table.column("host")[0].as_py()], "stream": ["\n".join(wrapper)], "pages": [sum(x for x, _ in rows)]})
 
-    schema = "host string, stream string, pages long"
-    parts = streams.withColumn("part", part).groupBy("host", "part").applyInArrow(infer, schema)
-    whole = parts.groupBy("host").applyInArrow(infer, schema)  # `salt` rows at most for each host
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        paths = pa.array([required(x.as_py().split("\n")) for x in batch.column("stream")], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([*batch.columns, paths], names=[*batch.schema.names, "required"])
+
+    pages = F.sum("copies") if "copies" in scans.columns else F.count("*")
+    whole = scans.groupBy("host", "stream").agg(pages.alias("pages"))
+    left = whole.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    while True:
+        parts = -(-left // fan)
+        whole = whole.groupBy("host", F.pmod(F.xxhash64("stream"), F.lit(parts)).alias("part")).applyInArrow(infer, "host string, stream string, pages long")
+        if parts == 1:
+            break
+        left = parts
+    known = _mapped(whole, judge, "host string, stream string, pages long, required array<string>")
+    # the article's container: explicit before others, one that the wrapper always has before others, then by text
     votes = scans.filter("region <> ''").groupBy("host", "region", "explicit").agg(F.sum("mass").alias("mass"))
-    best = votes.groupBy("host").agg(F.max(F.struct("explicit", "mass", "region")).alias("best")).select("host", "best.region", "best.explicit")
-    return whole.select("host", F.translate("stream", "\n", " ").alias("wrapper"), "pages").join(best, "host", "left")
+    always = known.select("host", F.explode("required").alias("region")).withColumn("always", F.lit(True))
+    told = votes.join(always, ["host", "region"], "left").withColumn("always", F.coalesce("always", F.lit(False)))
+    best = told.groupBy("host").agg(F.max(F.struct("explicit", "always", "mass", "region")).alias("best")).select("host", "best.region", "best.explicit")
+    return known.select("host", F.translate("stream", "\n", " ").alias("wrapper"), "pages").join(best, "host", "left")
 
 
 def _mapped(kept: DataFrame, function, schema: str) -> DataFrame:

@@ -274,6 +274,16 @@ def test_wrappers_of_a_host(spark):
     assert got.pages == 3 and got.region == "body>article" and "(<nav>)?" in got.wrapper and ")+" in got.wrapper
 
 
+def test_wrappers_of_many_streams_and_their_required_elements(spark):
+    page = "<html> <body> <div.a> # </div.a> {} <p> # </p> {} </body> </html>"
+    rows = [("h", page.format("<p> # </p> " * k, f"<ul> {'<li> # </li> ' * j}</ul>" if j else "").replace("  ", " ").strip().replace(" ", "\n"), r, m, False) for k in range(12) for j in range(4) for r, m in (("html>body>div.a", 5), ("html>body>ul", 50))]
+    schema = "host string, stream string, region string, mass long, explicit boolean"
+    got = html_wrappers.wrappers(spark.createDataFrame(rows, schema), fan=4).collect()
+    # the list holds more text but the wrapper has it in an optional group
+    assert len(got) == 1 and got[0].pages == 96 and got[0].region == "html>body>div.a" and "(<ul>)?" in got[0].wrapper
+    assert html_wrappers.required(["<a>", "(<b>)?", "(<c>)?", "(</c>)?", "(</b>)?", "(<d> # </d>)+", "</a>"]) == ["a", "a>d"]
+
+
 # the pipeline
 
 
