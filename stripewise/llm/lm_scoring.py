@@ -243,12 +243,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys, alone = grams.keys, grams.words
         counts = grams.counted(table.column("fold").to_numpy() != 2)
         cuts = np.searchsorted(keys, (np.arange(1, owners, dtype=np.float64) * (2.0**64 / owners)).astype(np.uint64))
-        parts = list(zip([0, *cuts], [*cuts, len(keys)], strict=True))
+        # owners that are asked for nothing get no row: there are never more rows than keys, however many owners there are
+        asked = [(k, a, b) for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)) if a < b]
+        parts = [(a, b) for _, a, b in asked]
         part = table.column("part")[0].as_py()
         return pa.table(
             {
-                "part": pa.array([part] * owners, pa.int32()),
-                "owner": pa.array(range(owners), pa.int32()),
+                "part": pa.array([part] * len(asked), pa.int32()),
+                "owner": pa.array([k for k, _, _ in asked], pa.int32()),
                 "keys": pa.array([_pack(keys[a:b]) for a, b in parts], pa.binary()),
                 "counts": pa.array([_pack_counts(counts[a:b]) for a, b in parts], pa.binary()),
                 "words": pa.array([np.packbits(alone[a:b]).tobytes() for a, b in parts], pa.binary()),
