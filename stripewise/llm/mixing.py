@@ -29,6 +29,9 @@ from stripewise.llm.common import checkpointed, word_count
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 ROWS_PER_BUCKET = 2000
+#: Output shards: so many at least, and none of more words than this, so that no shard's slots outgrow a task.
+LEAST_SHARDS = 64
+WORDS_PER_SHARD = 1 << 26
 
 PLAN_SCHEMA = T.StructType(
     [
@@ -148,7 +151,7 @@ def mix(
     weights: tuple[float, ...] = WEIGHTS,
     share: float = 1.5,
     block: int = 128,
-    n_shards: int = 64,
+    n_shards: int | None = None,
     seed: int = 42,
     max_sources: int = 100_000,
 ) -> tuple[DataFrame, DataFrame]:
@@ -156,7 +159,7 @@ def mix(
 
     The first has doc_id, size, source_size, target and taken (words, repeats counted) of every row of `docs`; the second
     the slots of the output: shard, slot, source, block (index in the source's stream) and words (taken from its start).
-    Reruns agree: the draws follow from the totals and `seed`, positions from the rows.
+    Without `n_shards` there are LEAST_SHARDS, or as many as hold WORDS_PER_SHARD words each. Reruns agree: the draws follow from the totals and `seed`, positions from the rows.
     """
     spark = docs.sparkSession
     # texts are read once: what follows needs their sizes only
@@ -167,6 +170,8 @@ def mix(
     totals = sorted(totals, key=lambda r: (r.source is None, r.source or ""))
     sizes = [r.words or 0 for r in totals]
     targets = water_fill(sizes, [weights[k % len(weights)] for k in range(len(sizes))], share * sum(sizes))
+    if n_shards is None:
+        n_shards = max(LEAST_SHARDS, math.ceil(share * sum(sizes) / WORDS_PER_SHARD))
     quotas = [Quota(size, block, round(target)) if size else None for size, target in zip(sizes, targets, strict=True)]
 
     plan, slots, ends = [], [], []
