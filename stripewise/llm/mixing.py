@@ -5,8 +5,8 @@ output shard draws multinomial source counts for its slots. The k-th slot of a s
 permutation of that source's block indices, one permutation for each pass over the source, and slots are joined to
 blocks by (source, index).
 
-Only per-source totals reach the driver (at most `max_sources` rows); positions in the streams are prefix sums over
-hash buckets, so that a source with a third of all rows is still dealt over many tasks.
+Only per-source totals reach the driver (at most `max_sources` rows); positions in the streams are prefix sums over spans
+of hash buckets, then over the buckets of a span, then over the rows of a bucket, so that no source is sorted in one task.
 
 Defined results: a null text has size 0 and is never taken; null is a source of its own, ordered last; repeated rows are
 rows of their own; an empty table gives no rows; other columns of the input are ignored.
@@ -28,7 +28,8 @@ from stripewise.llm.common import checkpointed, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
-ROWS_PER_BUCKET = 2000
+ROWS_PER_BUCKET = 256
+BUCKETS_PER_SPAN = 1024
 #: Output shards: so many at least, and none of more words than this, so that no shard's slots outgrow a task.
 LEAST_SHARDS = 64
 WORDS_PER_SHARD = 1 << 26
@@ -135,7 +136,11 @@ def streams(sized: DataFrame, buckets: int) -> DataFrame:
     """Rows with size and, for each, bucket, rank in the bucket and the offset in its source's word stream."""
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id"), F.col("size")), F.lit(buckets)).cast("int"))
     parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    starts = parts.select("source", "bucket", (F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("start"))
+    parts = parts.withColumn("span", F.floor(F.col("bucket") / BUCKETS_PER_SPAN))
+    spans = parts.groupBy("source", "span").agg(F.sum("words").alias("words"))
+    spans = spans.select(F.col("source").alias("s"), F.col("span").alias("p"), (F.sum("words").over(W.partitionBy("source").orderBy("span")) - F.col("words")).alias("before"))
+    within_span = F.sum("words").over(W.partitionBy("source", "span").orderBy("bucket")) - F.col("words")
+    starts = parts.withColumn("start", within_span).join(spans, F.col("source").eqNullSafe(F.col("s")) & (F.col("span") == F.col("p"))).select("source", "bucket", (F.col("before") + F.col("start")).alias("start"))
     order = W.partitionBy("source", "bucket").orderBy("doc_id", "size")
     ranked = sized.withColumns({"rank": F.row_number().over(order), "within": F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")})
     return ranked.join(starts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (ranked["bucket"] == starts["bucket"])).select(
