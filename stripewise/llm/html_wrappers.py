@@ -49,6 +49,10 @@ HEADER = frozenset(("header", "head"))
 CONTENT = frozenset("content article articlebody post entry story main maintext text bodytext".split())
 PARAGRAPH = frozenset("p blockquote pre li td h1 h2 h3 h4 h5 h6 dd dt figcaption".split())
 
+#: Hosts' regions are broadcast up to this size; beyond it pages meet them in so many salted parts of each host.
+BROADCAST_BYTES = 16 << 20
+SALTS = 32
+
 SCAN_SCHEMA = "host string, stream string, region string, mass long, explicit boolean"
 TEXT_SCHEMA = "page_id {key}, url string, text string, n_chars long"
 
@@ -319,6 +323,15 @@ def wrappers(scans: DataFrame, fan: int = 64) -> DataFrame:
     return known.select("host", F.translate("stream", "\n", " ").alias("wrapper"), "pages").join(best, "host", "left")
 
 
+def with_regions(kept: DataFrame, regions: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Every page with the region of its host. A host with a third of all pages is never gathered, whichever way is taken."""
+    size = regions.agg(F.sum(F.octet_length("host") + F.coalesce(F.octet_length("region"), F.lit(0)) + 64)).first()[0] or 0
+    if size <= most:
+        return kept.join(F.broadcast(regions), "host", "left")
+    salted = regions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return kept.withColumn("salt", F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
+
+
 def _mapped(kept: DataFrame, function, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,7 +352,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     scans = checkpointed(_mapped(kept.select("host", "html"), scan_batch, SCAN_SCHEMA).groupBy("host", "stream", "region", "explicit").agg(F.sum("mass").alias("mass"), F.count("*").alias("copies")))
     known = checkpointed(wrappers(scans))
-    placed = kept.join(known.select("host", "region", "explicit"), "host", "left")
+    placed = with_regions(kept, known.select("host", "region", "explicit"))
 
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
         blocks = []

@@ -274,6 +274,13 @@ def test_wrappers_of_a_host(spark):
     assert got.pages == 3 and got.region == "body>article" and "(<nav>)?" in got.wrapper and ")+" in got.wrapper
 
 
+def test_regions_by_either_way(spark):
+    kept = spark.createDataFrame([(k, "hot" if k % 3 else f"h{k}", "x" * k) for k in range(60)], "page_id long, host string, html string")
+    regions = spark.createDataFrame([("hot", "a>b", True), ("h0", None, False)], "host string, region string, explicit boolean")
+    ways = [{(r.page_id, r.host, r.html, r.region, r.explicit) for r in html_wrappers.with_regions(kept, regions, most).collect()} for most in (1 << 20, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 60 and (0, "h0", "", None, False) in ways[0]
+
+
 def test_wrappers_of_many_streams_and_their_required_elements(spark):
     page = "<html> <body> <div.a> # </div.a> {} <p> # </p> {} </body> </html>"
     rows = [("h", page.format("<p> # </p> " * k, f"<ul> {'<li> # </li> ' * j}</ul>" if j else "").replace("  ", " ").strip().replace(" ", "\n"), r, m, False) for k in range(12) for j in range(4) for r, m in (("html>body>div.a", 5), ("html>body>ul", 50))]
