@@ -4,11 +4,12 @@ The lexicon keeps terms whose document frequency lies in a band; since a term of
 documents, the lexicon has at most (mean distinct terms of a document) / lo terms however many documents there are. Its
 size is checked: up to `broadcast_terms` it is broadcast, beyond that it is joined by a shuffle.
 
-A fingerprint takes two levels of subsets, next to the binary logarithm of its lexicon terms: at level j each of `subsets` subsets keeps
-a pseudorandom 2**-j of the lexicon, and the subset's terms of the document, distinct and sorted, are hashed. Texts whose
-numbers of terms differ by less than two times share a level. The likeness of two fingerprints is, at the shared level
-where more of the subsets say something, the part of equal hashes among subsets that hold a term of either; equal
-fingerprints are alike by 1, and texts without a common level, or of which one has no lexicon term, by 0.
+A fingerprint takes two levels of subsets, next to the binary logarithm of its number of lexicon terms: at level j each of
+`SUBSETS` disjoint subsets keeps the pseudorandom 2**-j of the lexicon that a term's low bits name, and the subset's terms of
+the document, distinct and sorted, are hashed. A subset holds a half or a quarter of a term on average, so an edit changes few
+of the hashes. The likeness of two fingerprints is, at the first level that both have, the part of equal hashes among the
+subsets that hold a term of either; equal fingerprints are alike by 1, and texts without a common level, or of which one has
+no lexicon term, by 0.
 
 All on built-in functions. Defined results: a null text counts as the empty text; texts without lexicon terms, the empty
 one included, get the fingerprint "-"; repeated rows are rows of their own; ties between equal ids are broken by the text;
@@ -25,56 +26,58 @@ from stripewise.llm.common import SPACE, checkpointed
 
 #: The band of document frequency, as shares of all documents: idf between log(1/HI) and log(1/LO).
 LO, HI = 0.0005, 0.03
-SUBSETS = 32
+#: A power of two; a fingerprint names a subset by two hex digits.
+SUBSETS = 64
 ROWS_PER_RANGE = 1024
 
 
-def terms(text: Column) -> Column:
-    """Distinct words, A-Z lower-cased, as 64-bit hashes."""
+def words_of(text: Column) -> Column:
+    """Distinct words, A-Z lower-cased; the empty string may be among them."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.split(F.translate(lower, SPACE, " " * len(SPACE)), " +")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.split(F.translate(lower, SPACE, " " * len(SPACE)), " +"))
 
 
-def lexicon(docs_terms: DataFrame, documents: int, lo: float = LO, hi: float = HI) -> DataFrame:
-    """Terms (column term) whose document frequency lies within the band. docs_terms: one array `terms` for each document."""
-    df = docs_terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def lexicon(texts: DataFrame, documents: int, lo: float = LO, hi: float = HI) -> DataFrame:
+    """Terms (column term, 64-bit hashes of words) whose document frequency lies within the band. texts: one `text` for each document."""
+    words = texts.select(F.explode(words_of(F.col("text"))).alias("word")).filter("word <> ''")
+    df = words.groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("df"))
     # a term of one document alone says nothing, however small the corpus
     return df.filter((F.col("df") >= max(2.0, lo * documents)) & (F.col("df") <= max(2.0, hi * documents))).select("term")
 
 
-def _level_hashes(some: Column, level: Column, mask: Column, subsets: int) -> Column:
-    """For each subset, 4 hex digits of the hash of its terms, or dashes if it holds none.
+def _subset_hashes(kept: Column, bits: int) -> Column:
+    """For each subset that holds a term, in order, two hex digits that name it and four of the hash of its sorted terms.
 
-    A term's own bits say where it belongs: of each run of 2**level subsets it is in the one that `level` of its bits name,
-    so a subset keeps a pseudorandom 2**-level of the lexicon. some: the terms whose bits name any subset at all.
+    kept: terms whose low bits name a subset. Turned by those bits, they sort by subset and then by term.
     """
-    places = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.lit(subsets - 1).cast("long")),
-        lambda k: F.struct((F.floor(k / (mask + 1)).cast("int") * level).alias("shift"), F.pmod(k, mask + 1).alias("name")),
-    )
+    turned = F.sort_array(F.transform(kept, lambda t: F.shiftleft(t, 64 - bits).bitwiseOR(F.shiftrightunsigned(t, bits))))
+
+    def told(subset: Column, hashed: Column) -> Column:
+        return F.concat(F.lpad(F.hex(subset), 2, "0"), F.substring(F.lpad(F.hex(hashed), 16, "0"), 1, 4))
 
-    def one(place: Column) -> Column:
-        kept = F.filter(some, lambda t: F.call_function("shiftrightunsigned", t, place["shift"]).bitwiseAND(mask) == place["name"])
-        return F.when(F.size(kept) == 0, F.lit("----")).otherwise(F.substring(F.lower(F.lpad(F.hex(F.xxhash64(kept)), 16, "0")), 1, 4))
+    def step(s: Column, key: Column) -> Column:
+        subset = F.shiftrightunsigned(key, 64 - bits)
+        same = F.struct(s["subset"].alias("subset"), F.xxhash64(s["hashed"], key).alias("hashed"), s["out"].alias("out"))
+        new = F.struct(subset.alias("subset"), F.xxhash64(key).alias("hashed"), F.when(s["subset"] < 0, F.lit("")).otherwise(F.concat(s["out"], told(s["subset"], s["hashed"]))).alias("out"))
+        return F.when(subset == s["subset"], same).otherwise(new)
 
-    return F.array_join(F.transform(places, one), "")
+    start = F.struct(F.lit(-1).cast("long").alias("subset"), F.lit(0).cast("long").alias("hashed"), F.lit("").alias("out"))
+    return F.lower(F.aggregate(turned, start, step, lambda s: F.when(s["subset"] < 0, F.lit("")).otherwise(F.concat(s["out"], told(s["subset"], s["hashed"])))))
 
 
 def with_fingerprint(df: DataFrame, held: str, name: str, subsets: int = SUBSETS) -> DataFrame:
-    """df and a column `name`: "level:hashes;level:hashes" of the sorted distinct terms in `held`, "-" if there are none.
+    """df and a column `name`: "level:hashes;level:hashes" of the distinct terms in `held`, "-" if there are none.
 
     What the hashes share is computed once for each row, in columns that go again.
     """
-    # one more than the floor of the binary logarithm: a subset holds less than one term on average, so few edits change it
-    df = df.withColumn("__level", F.length(F.bin(F.size(held).cast("long"))).cast("int"))
+    bits = subsets.bit_length() - 1
+    level = F.greatest(F.lit(bits), F.length(F.bin(F.size(held).cast("long"))) + 1).cast("int")
+    df = df.withColumn("__level", level)
     df = df.withColumns({"__mask": F.pow(F.lit(2.0), F.col("__level")).cast("long") - 1, "__mask2": F.pow(F.lit(2.0), F.col("__level") + 1).cast("long") - 1})
-    df = df.withColumn("__some1", F.filter(held, lambda t: t.bitwiseAND(F.col("__mask")) < subsets))
-    df = df.withColumn("__some2", F.filter(held, lambda t: t.bitwiseAND(F.col("__mask2")) < subsets))
-    level = F.col("__level")
-    hashes = [_level_hashes(F.col("__some1"), level, F.col("__mask"), subsets), _level_hashes(F.col("__some2"), level + 1, F.col("__mask2"), subsets)]
-    both = F.concat(level.cast("string"), F.lit(":"), hashes[0], F.lit(";"), (level + 1).cast("string"), F.lit(":"), hashes[1])
-    return df.withColumn(name, F.when(F.size(held) < 1, F.lit("-")).otherwise(both)).drop("__level", "__mask", "__mask2", "__some1", "__some2")
+    df = df.withColumn("__kept", F.filter(held, lambda t: t.bitwiseAND(F.col("__mask")) < subsets))
+    df = df.withColumn("__kept2", F.filter("__kept", lambda t: t.bitwiseAND(F.col("__mask2")) < subsets))
+    both = F.concat(F.col("__level").cast("string"), F.lit(":"), _subset_hashes(F.col("__kept"), bits), F.lit(";"), (F.col("__level") + 1).cast("string"), F.lit(":"), _subset_hashes(F.col("__kept2"), bits))
+    return df.withColumn(name, F.when(F.size(held) < 1, F.lit("-")).otherwise(both)).drop("__level", "__mask", "__mask2", "__kept", "__kept2")
 
 
 def _level(print_: Column, k: int) -> tuple[Column, Column]:
@@ -82,18 +85,17 @@ def _level(print_: Column, k: int) -> tuple[Column, Column]:
     return F.split_part(part, F.lit(":"), F.lit(1)), F.split_part(part, F.lit(":"), F.lit(2))
 
 
-def likeness(a: Column, b: Column, subsets: int = SUBSETS) -> Column:
+def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints, from 0 to 1."""
     (a1, ha1), (a2, ha2), (b1, hb1), (b2, hb2) = _level(a, 1), _level(a, 2), _level(b, 1), _level(b, 2)
-    pairs = F.when(a1 == b1, _told(ha1, hb1, subsets)).when(a2 == b1, _told(ha2, hb1, subsets)).when(a1 == b2, _told(ha1, hb2, subsets))
-    part = F.aggregate(pairs, F.struct(F.lit(0).alias("told"), F.lit(0).alias("equal")), lambda s, x: F.struct((s["told"] + x["told"]).alias("told"), (s["equal"] + x["equal"]).alias("equal")), lambda s: s["equal"] / F.greatest(s["told"], F.lit(1)))
+    part = F.when(a1 == b1, _alike(ha1, hb1)).when(a2 == b1, _alike(ha2, hb1)).when(a1 == b2, _alike(ha1, hb2))
     return F.when(a == b, F.lit(1.0)).when((a == "-") | (b == "-"), F.lit(0.0)).otherwise(F.coalesce(part, F.lit(0.0)))
 
 
-def _told(a: Column, b: Column, subsets: int) -> Column:
-    """For each subset whether either holds a term of it, and if so whether the hashes are equal."""
-    cells = [F.regexp_extract_all(x, F.lit("(....)"), F.lit(1)) for x in (a, b)]
-    return F.zip_with(*cells, lambda x, y: F.struct(((x != "----") | (y != "----")).cast("int").alias("told"), ((x == y) & (x != "----")).cast("int").alias("equal")))
+def _alike(a: Column, b: Column) -> Column:
+    """Equal hashes among the subsets that hold a term of either."""
+    (ta, tb), (sa, sb) = ([F.regexp_extract_all(x, F.lit(pattern), F.lit(1)) for x in (a, b)] for pattern in ("(......)", "(..)...."))
+    return F.size(F.array_intersect(ta, tb)) / F.greatest(F.size(F.array_union(sa, sb)), F.lit(1))
 
 
 def ranged(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = ROWS_PER_RANGE, most: int = 10_000) -> DataFrame:
@@ -126,19 +128,20 @@ def match(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: f
     The edited text has the last quarter of the code points (rounded down) replaced by the first as many of the next row's.
     """
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    words = lexicon(texts.select(terms(F.col("text")).alias("terms")), docs.select(F.lit(1)).count(), lo, hi)
-    words = checkpointed(words)
-    if words.count() <= broadcast_terms:
-        words = F.broadcast(words)
+    terms = checkpointed(lexicon(texts, docs.select(F.lit(1)).count(), lo, hi))
+    small = terms.count() <= broadcast_terms
+    # the empty word stands for the row itself, so that rows without lexicon terms pass the join
+    terms = terms.select("term", F.lit(True).alias("known")).unionByName(terms.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(False).alias("known")))
 
     n, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     rows = ranged(docs, id_col, text_col).select("part", "rank", "id", "text", n.cast("long").alias("n_chars"), F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut)).alias("edited"))
-    tagged = F.concat(F.transform(terms(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(False).alias("of_edited"))), F.transform(terms(F.col("edited")), lambda t: F.struct(t.alias("term"), F.lit(True).alias("of_edited"))))
-    # the grouping below keeps to the partitions of `part`, so terms are never dealt out
-    dealt = rows.select("part", "rank", "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode_outer(tagged).alias("x")).select("part", "rank", "id", "n_chars", "edited_sha256", "x.term", "x.of_edited")
-    known = words.withColumn("known", F.lit(True))
+    rows = rows.select("part", "rank", "id", "n_chars", "text", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    both = F.array(F.struct(F.lit(False).alias("of_edited"), F.array_union(words_of(F.col("text")), F.array(F.lit(""))).alias("words")), F.struct(F.lit(True).alias("of_edited"), words_of(F.col("edited")).alias("words")))
+    said = rows.select("part", "rank", "id", "n_chars", "edited_sha256", F.explode(both).alias("x"))
+    # the grouping below keeps to the partitions of `part`, so terms are dealt out only if the lexicon can't be broadcast
+    dealt = said.select("part", "rank", "id", "n_chars", "edited_sha256", "x.of_edited", F.explode("x.words").alias("word")).select("part", "rank", "id", "n_chars", "edited_sha256", "of_edited", F.xxhash64("word").alias("term"))
     held = (
-        dealt.join(known, "term", "left")
+        dealt.join(F.broadcast(terms) if small else terms, "term")
         .groupBy("part", "rank")
         .agg(
             F.first("id").alias("id"),
@@ -148,7 +151,6 @@ def match(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: f
             F.collect_list(F.when(F.col("known") & F.col("of_edited"), F.col("term"))).alias("other"),
         )
     )
-    held = held.select("part", "rank", "id", "n_chars", "edited_sha256", F.sort_array("own").alias("own"), F.sort_array("other").alias("other"))
     both = with_fingerprint(with_fingerprint(held, "own", "fingerprint", subsets), "other", "edited_fingerprint", subsets)
     prints = checkpointed(both.drop("own", "other"))
 
@@ -160,8 +162,8 @@ def match(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: f
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), subsets).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("following"), subsets).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("following")).alias("near_next"),
     )
 
 
