@@ -98,7 +98,7 @@ def _alike(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(ta, tb)) / F.greatest(F.size(F.array_union(sa, sb)), F.lit(1))
 
 
-def ranged(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = ROWS_PER_RANGE, most: int = 10_000) -> DataFrame:
+def ranged(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = ROWS_PER_RANGE, most: int = 50_000) -> DataFrame:
     """id, text, part and next_text, the text of the row that follows by id (after the last: the first).
 
     Rows are dealt to ranges of the id, so that no task sorts all of them; the first row of each range closes the one
