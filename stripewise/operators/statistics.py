@@ -47,15 +47,23 @@ def _total(x: Column) -> Column:
     return F.when(F.count(x) == 0, F.lit(0).cast("decimal(38,0)")).otherwise(F.try_sum(x.cast("decimal(38,0)")))
 
 
+def _integer_total(x: Column) -> Column:
+    """The same of an integer column, as sums of three parts of its bits: plain long additions, exact up to 2**41 rows."""
+    x, part = x.cast("long"), (1 << 21) - 1
+    sums = [F.sum(F.shiftright(x, 42)), F.sum(F.shiftright(x, 21).bitwiseAND(F.lit(part).cast("long"))), F.sum(x.bitwiseAND(F.lit(part).cast("long")))]
+    high, middle, low = (F.coalesce(y, F.lit(0)).cast("decimal(19,0)") for y in sums)
+    return (high * F.lit(1 << 42).cast("decimal(13,0)") + middle * F.lit(1 << 21).cast("decimal(7,0)") + low).cast("decimal(38,0)")
+
+
 def measures(kind: str, x: Column, scale: int = 0) -> dict[str, Column]:
     """Aggregates over the non-null values of a column of this kind."""
     if kind == "boolean":
         return {"true_count": F.count_if(x), "false_count": F.count_if(~x)}
     if kind in ("byte", "short", "int", "long"):
-        return {"int_min": F.min(x), "int_max": F.max(x), "int_total": _total(x)}
+        return {"int_min": F.min(x), "int_max": F.max(x), "int_total": _integer_total(x)}
     if kind == "date":
         day = E.epoch_day(x)
-        return {"int_min": F.min(day), "int_max": F.max(day), "int_total": _total(day), "date_min": F.min(x), "date_max": F.max(x)}
+        return {"int_min": F.min(day), "int_max": F.max(day), "int_total": _integer_total(day), "date_min": F.min(x), "date_max": F.max(x)}
     if kind in ("float", "double"):
         wide = x.cast("double")
         return {"double_min": F.min(wide), "double_max": F.max(wide), "double_sum": F.coalesce(F.sum(wide), F.lit(0.0))}
@@ -81,10 +89,13 @@ def column_label(node: Node) -> str:
     return ".".join({"element": "element", "key": "key", "value": "value"}.get(step, name if step == "field" else f"c{name}") for step, name in node.path) or "_root"
 
 
-def _row(node: Node, value: Column, counted: Column) -> Column:
-    """The struct of a node's measures. counted: whether a row has a value, be it null, for the node at all."""
+def _row(node: Node, value: Column, counted: Column | None) -> Column:
+    """The struct of a node's measures. counted: whether a row has a value, be it null, for the node; None if every row has."""
     own = measures(node.kind, value, _scale(node) or 0)
-    own |= {"num_values": F.count_if(counted), "num_present": F.count_if(counted & value.isNotNull())}
+    if counted is None:
+        own |= {"num_values": F.count(F.lit(1)), "num_present": F.count(value)}
+    else:
+        own |= {"num_values": F.count_if(counted), "num_present": F.count_if(counted & value.isNotNull())}
     fixed = [F.lit(node.id).alias("column_id"), F.lit(column_label(node)).alias("column"), F.lit(node.kind).alias("kind"), F.lit(_scale(node)).cast("int").alias("scale")]
     return F.struct(*fixed, *(own.get(name, F.lit(None)).cast(kind).alias(name) for name, (kind, _) in MEASURES.items()))
 
@@ -107,20 +118,21 @@ def column_statistics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         rows: list[Column] = []
         later: list[tuple[Node, Column]] = []
 
-        def reach(node: Node, value: Column, counted: Column) -> None:
+        def reach(node: Node, value: Column, counted: Column | None) -> None:
             rows.append(_row(node, value, counted))
             if node.kind == "struct":
+                inside = None if node is tree else value.isNotNull() if counted is None else counted & value.isNotNull()  # the row itself is never null
                 for child in node.children:
-                    reach(child, value.getField(child.name), counted & value.isNotNull())
+                    reach(child, value.getField(child.name), inside)
             elif node.kind == "union":
                 for k, child in enumerate(node.children):
-                    mine = counted & F.coalesce(value.getField("tag") == k, F.lit(False))
+                    mine = (F.lit(True) if counted is None else counted) & F.coalesce(value.getField("tag") == k, F.lit(False))
                     reach(child, F.when(mine, value.getField(child.name)), mine)
             elif node.kind in ("list", "map"):
                 later.append((node, value))
 
         for node, value in roots:
-            reach(node, value, F.lit(True))
+            reach(node, value, None)
         frames.append(frame.groupBy(*keys).agg(F.array(*rows).alias("rows")).select(*keys, F.explode("rows").alias("s")).select(*keys, "s.*"))
         for node, value in later:
             if node.kind == "list":
