@@ -44,7 +44,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 CANDIDATE_SCHEMA = "key {key}, hash long, place int, plain boolean, slots array<string>"
-WINDOW_SCHEMA = "item_id {key}, hash long, place int, windows int, plain boolean, slots array<string>"
+WINDOW_SCHEMA = "item_id {key}, hash long, place int, windows int, length int, plain boolean, slots array<string>"
 
 
 class Canon:
@@ -161,10 +161,10 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
                 windows = tokens - length + 1
                 for plain in (True, False) if length == window else (True,):
                     hashes, good = chunk.windows(length, plain)
-                    rows += [(key_.as_py(), int(hashes[k : k + 1].view(np.int64)[0]), k, windows, plain, [] if plain else chunk.slots(k, length)) for k in np.flatnonzero(good).tolist()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["item_id", "hash", "place", "windows", "plain", "slots"])
+                    rows += [(key_.as_py(), int(hashes[k : k + 1].view(np.int64)[0]), k, windows, length, plain, [] if plain else chunk.slots(k, length)) for k in np.flatnonzero(good).tolist()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["item_id", "hash", "place", "windows", "length", "plain", "slots"])
 
     return kept.mapInArrow(cut, WINDOW_SCHEMA.format(key=key))
 
@@ -214,14 +214,14 @@ def _candidates(docs: DataFrame, flags, lengths: list[int], id_col: str, text_co
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """id, item_id, windows (of the item that hold), item_windows, share and verbatim (no slot differs) of contaminated documents."""
     spark = docs.sparkSession
-    bench = benchmark_windows(items, item_col, item_text, window)
+    bench = checkpointed(benchmark_windows(items, item_col, item_text, window))
     # at most 2**22 places, whatever the benchmark
     places = np.array([r.p for r in bench.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("p")).distinct().collect()], dtype=np.int64)
     bits = np.zeros(1 << FILTER_BITS, dtype=np.uint8)
     bits[places] = 1
     flags = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    short = [r.n for r in items.select(F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"\s+")).alias("n")).filter(F.col("n") <= 2 * window).limit(1).collect()]
-    lengths = [*range(1, window), window] if short else [window]
+    # only items shorter than a window need windows of other lengths
+    lengths = sorted(r.length for r in bench.select("length").distinct().collect())
 
     found = _candidates(docs, flags, lengths, id_col, text_col, window)
     met = found.join(bench.select("item_id", "hash", F.col("place").alias("item_place"), "windows", F.col("plain").alias("item_plain"), F.col("slots").alias("item_slots")), "hash").filter(F.col("plain") == F.col("item_plain"))
