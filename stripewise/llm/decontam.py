@@ -8,7 +8,8 @@ caught while a chance likeness of templates is not. A document is reported with
 `share` of the item's.
 
 Documents are read once; a bitmap of 2**22 flags, whatever the size of the benchmark, keeps windows that can't match from
-being dealt out at all, and the join on the full hash decides. Benchmark items shorter than a window are sought as a whole,
+being dealt out at all, and the join on the full hash decides: a window that passes goes in both forms, and its template is
+set aside only where the same item is known to hold it word by word. Benchmark items shorter than a window are sought as a whole,
 in plain form.
 
 Defined results: null and empty texts and items match nothing; rows that share an id are judged together, null ids too;
@@ -43,7 +44,7 @@ _SLOTS = {_NUMBER: "n", _NAME: "c", 3: "u"}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
-CANDIDATE_SCHEMA = "key {key}, hash long, place int, plain boolean, slots array<string>"
+CANDIDATE_SCHEMA = "key {key}, hash long, place int, plain boolean, words long, slots array<string>"
 WINDOW_SCHEMA = "item_id {key}, hash long, place int, windows int, length int, plain boolean, slots array<string>"
 
 
@@ -179,20 +180,18 @@ def _candidates(docs: DataFrame, flags, lengths: list[int], id_col: str, text_co
         def found(keys: list, ids: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
             chunk, rows = Chunk(canon, ids), []
             for length in lengths:
-                seen = None
+                words = None
                 for plain in (True, False) if length == window else (True,):
                     hashes, good = chunk.windows(length, plain)
-                    hit = passes[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)].astype(bool) & good
                     if plain:
-                        seen = hit
-                    else:  # what matches word by word needs no template
-                        hit = hit & ~seen
+                        words = hashes.view(np.int64)
+                    hit = passes[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)].astype(bool) & good
                     for k in np.flatnonzero(hit).tolist():
                         owner = int(chunk.text[k])
-                        rows.append((keys[owner], int(hashes[k : k + 1].view(np.int64)[0]), k - int(chunk.start[owner]), plain, [] if plain else chunk.slots(k, length)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [kind, pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "hash", "place", "plain", "slots"])
+                        rows.append((keys[owner], int(hashes[k : k + 1].view(np.int64)[0]), k - int(chunk.start[owner]), plain, int(words[k]), [] if plain else chunk.slots(k, length)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [kind, pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "hash", "place", "plain", "words", "slots"])
 
         for batch in batches:
             kind, keys, ids, size = batch.schema.field(0).type, [], [], 0
@@ -229,7 +228,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     met = checkpointed(met)  # read three times below; the texts are searched once
 
     # template matches with other values: each value of the item must stand for one value in the document
-    other = met.filter(~F.col("same"))
+    by_words = bench.filter("plain").select(F.col("item_id").alias("i"), F.col("hash").alias("w")).distinct()
+    # what the same item holds word by word needs no template
+    other = met.filter(~F.col("same")).join(by_words, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("words") == F.col("w")), "left_anti")
     pairs = other.select("key", "item_id", "windows", "item_place", "place", F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).select("key", "item_id", "windows", "item_place", "place", F.col("x.item_slots").alias("was"), F.col("x.slots").alias("now"))
     votes = pairs.groupBy("key", "item_id", "was", "now").agg(F.count("*").alias("n"))
     chosen = votes.groupBy("key", "item_id", "was").agg(F.max(F.struct("n", "now")).getField("now").alias("means"))

@@ -143,6 +143,14 @@ def test_benchmark_windows_in_documents(spark, tiny):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in holds}
 
 
+def test_templates_pass_a_crowded_filter(spark, monkeypatch):
+    # so few flags that every plain window passes the filter by chance
+    monkeypatch.setattr(decontam, "FILTER_BITS", 2)
+    bench = spark.createDataFrame([(1, ITEM), (2, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)))], "item_id long, text string")
+    hits = found(spark, bench, ITEM.replace("Maria", "Pedro").replace("12", "7").replace(" 3 ", " 5 "), ITEM)
+    assert hits[0, 1].share > 0.7 and not hits[0, 1].verbatim and hits[1, 1].share == 1.0 and hits[1, 1].verbatim
+
+
 def test_decontamination_of_odd_rows(odd, none, items):
     assert decontam.contaminated(odd, items).count() == 0 and decontam.decontaminate(odd, items).count() == 10
     assert decontam.contaminated(none, items).count() == 0 and decontam.contaminated(odd, items.limit(0)).count() == 0
