@@ -1,7 +1,8 @@
 """I-Match fingerprints: hashes of a document's sorted mid-frequency terms under randomised lexicon subsets.
 
-The lexicon keeps terms whose document frequency lies in a band; since a term of the band is in at least `lo` of all
-documents, the lexicon has at most (mean distinct terms of a document) / lo terms however many documents there are. Its
+The lexicon keeps terms whose document frequency lies in a band. Frequencies count distinct texts, so that copies neither
+push their own words out of the band nor into it. Since a term of the band is in at least `lo` of all distinct texts, the
+lexicon has at most (mean distinct terms of a text) / lo terms however many documents there are. Its
 size is checked: up to `broadcast_terms` it is broadcast, beyond that it is joined by a shuffle.
 
 A fingerprint takes two levels of subsets, next to the binary logarithm of its number of lexicon terms: at level j each of
@@ -11,8 +12,8 @@ of the hashes. The likeness of two fingerprints is, at the first level that both
 subsets that hold a term of either; equal fingerprints are alike by 1, and texts without a common level, or of which one has
 no lexicon term, by 0.
 
-All on built-in functions. Defined results: a null text counts as the empty text; texts without lexicon terms, the empty
-one included, get the fingerprint "-"; repeated rows are rows of their own; ties between equal ids are broken by the text;
+All on built-in functions. Defined results: a null text counts as the empty text; texts without lexicon terms get "~" and
+a hash of all their own terms, so they are alike by 1 if their terms are the same; texts without words get "-"; repeated rows are rows of their own; ties between equal ids are broken by the text;
 other columns are ignored; an empty table gives no rows.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stripewise.llm.common import SPACE, checkpointed
+from stripewise.llm.common import SPACE, checkpointed, release
 
 #: The band of document frequency, as shares of all documents: idf between log(1/HI) and log(1/LO).
 LO, HI = 0.0005, 0.03
@@ -65,8 +66,16 @@ def _subset_hashes(kept: Column, bits: int) -> Column:
     return F.lower(F.aggregate(turned, start, step, lambda s: F.when(s["subset"] < 0, F.lit("")).otherwise(F.concat(s["out"], told(s["subset"], s["hashed"])))))
 
 
-def with_fingerprint(df: DataFrame, held: str, name: str, subsets: int = SUBSETS) -> DataFrame:
-    """df and a column `name`: "level:hashes;level:hashes" of the distinct terms in `held`, "-" if there are none.
+def own_hash(words: Column) -> Column:
+    """"~" and the hash of the sorted distinct words, or "-" if there are none; 17 characters, filled with spaces."""
+    said = F.array_remove(words, "")
+    return F.when(F.size(said) > 0, F.concat(F.lit("~"), F.lower(F.lpad(F.hex(F.xxhash64(F.sort_array(said))), 16, "0")))).otherwise(F.lit("-" + " " * 16))
+
+
+def with_fingerprint(df: DataFrame, held: str, name: str, otherwise: str, subsets: int = SUBSETS) -> DataFrame:
+    """df and a column `name`: "level:hashes;level:hashes" of the distinct terms in `held`.
+
+    If there are none, what the column `otherwise` says.
 
     What the hashes share is computed once for each row, in columns that go again.
     """
@@ -77,7 +86,7 @@ def with_fingerprint(df: DataFrame, held: str, name: str, subsets: int = SUBSETS
     df = df.withColumn("__kept", F.filter(held, lambda t: t.bitwiseAND(F.col("__mask")) < subsets))
     df = df.withColumn("__kept2", F.filter("__kept", lambda t: t.bitwiseAND(F.col("__mask2")) < subsets))
     both = F.concat(F.col("__level").cast("string"), F.lit(":"), _subset_hashes(F.col("__kept"), bits), F.lit(";"), (F.col("__level") + 1).cast("string"), F.lit(":"), _subset_hashes(F.col("__kept2"), bits))
-    return df.withColumn(name, F.when(F.size(held) < 1, F.lit("-")).otherwise(both)).drop("__level", "__mask", "__mask2", "__kept", "__kept2")
+    return df.withColumn(name, F.when(F.size(held) < 1, F.col(otherwise)).otherwise(both)).drop("__level", "__mask", "__mask2", "__kept", "__kept2")
 
 
 def _level(print_: Column, k: int) -> tuple[Column, Column]:
@@ -127,32 +136,38 @@ def match(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: f
 
     The edited text has the last quarter of the code points (rounded down) replaced by the first as many of the next row's.
     """
+    # copies of a text count once, both for the terms and for the documents of the band
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    terms = checkpointed(lexicon(texts, docs.select(F.lit(1)).count(), lo, hi))
+    distinct = texts.select(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).distinct().count()
+    terms = checkpointed(lexicon(texts.distinct(), distinct, lo, hi))
+    release(docs.sparkSession)  # the shuffle of the texts
     small = terms.count() <= broadcast_terms
     # the empty word stands for the row itself, so that rows without lexicon terms pass the join
     terms = terms.select("term", F.lit(True).alias("known")).unionByName(terms.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(False).alias("known")))
 
     n, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     rows = ranged(docs, id_col, text_col).select("part", "rank", "id", "text", n.cast("long").alias("n_chars"), F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut)).alias("edited"))
-    rows = rows.select("part", "rank", "id", "n_chars", "text", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    both = F.array(F.struct(F.lit(False).alias("of_edited"), F.array_union(words_of(F.col("text")), F.array(F.lit(""))).alias("words")), F.struct(F.lit(True).alias("of_edited"), words_of(F.col("edited")).alias("words")))
-    said = rows.select("part", "rank", "id", "n_chars", "edited_sha256", F.explode(both).alias("x"))
+    rows = rows.select("part", "rank", "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), words_of(F.col("text")).alias("words"), words_of(F.col("edited")).alias("edited_words"))
+    # hashes travel in one column: each more makes the code of the aggregation below larger
+    rows = rows.withColumn("hashes", F.concat("edited_sha256", own_hash(F.col("words")), own_hash(F.col("edited_words"))))
+    both = F.array(F.struct(F.lit(False).alias("of_edited"), F.array_union("words", F.array(F.lit(""))).alias("words")), F.struct(F.lit(True).alias("of_edited"), F.col("edited_words").alias("words")))
+    said = rows.select("part", "rank", "id", "n_chars", "hashes", F.explode(both).alias("x"))
     # the grouping below keeps to the partitions of `part`, so terms are dealt out only if the lexicon can't be broadcast
-    dealt = said.select("part", "rank", "id", "n_chars", "edited_sha256", "x.of_edited", F.explode("x.words").alias("word")).select("part", "rank", "id", "n_chars", "edited_sha256", "of_edited", F.xxhash64("word").alias("term"))
+    dealt = said.select("part", "rank", "id", "n_chars", "hashes", "x.of_edited", F.explode("x.words").alias("word")).select("part", "rank", "id", "n_chars", "hashes", "of_edited", F.xxhash64("word").alias("term"))
     held = (
         dealt.join(F.broadcast(terms) if small else terms, "term")
         .groupBy("part", "rank")
         .agg(
             F.first("id").alias("id"),
             F.first("n_chars").alias("n_chars"),
-            F.first("edited_sha256").alias("edited_sha256"),
+            F.first("hashes").alias("hashes"),
             F.collect_list(F.when(F.col("known") & ~F.col("of_edited"), F.col("term"))).alias("own"),
             F.collect_list(F.when(F.col("known") & F.col("of_edited"), F.col("term"))).alias("other"),
         )
     )
-    both = with_fingerprint(with_fingerprint(held, "own", "fingerprint", subsets), "other", "edited_fingerprint", subsets)
-    prints = checkpointed(both.drop("own", "other"))
+    held = held.withColumns({"edited_sha256": F.substring("hashes", 1, 64), "own_hash": F.rtrim(F.substring("hashes", 65, 17)), "other_hash": F.rtrim(F.substring("hashes", 82, 17))}).drop("hashes")
+    both = with_fingerprint(with_fingerprint(held, "own", "fingerprint", "own_hash", subsets), "other", "edited_fingerprint", "other_hash", subsets)
+    prints = checkpointed(both.drop("own", "other", "own_hash", "other_hash"))
 
     closing = prints.filter("rank = 1").select(F.col("part").alias("p"), F.col("fingerprint").alias("opening")).join(_before(prints), "p").select(F.col("before").alias("part"), "opening")
     following = prints.withColumn("following", F.lead("fingerprint").over(W.partitionBy("part").orderBy("rank"))).join(closing, "part").withColumn("following", F.coalesce("following", "opening"))

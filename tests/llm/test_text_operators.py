@@ -236,6 +236,19 @@ def test_matching_odd_rows(spark, odd):
     assert one.edited_sha256 == hashlib.sha256(b"one").hexdigest() and one.near_next == 1.0
 
 
+def test_large_groups_of_copies_keep_their_fingerprints(spark):
+    shared = "alpha beta gamma delta"
+    hot, warm = f"{shared} " + " ".join(f"hot{k}" for k in range(30)), " ".join(f"warm{k}" for k in range(30))
+    rest = [f"{shared if k < 5 else ''} " + " ".join(f"r{k}x{j}" for j in range(30)) for k in range(40)]
+    rows = [(k, t) for k, t in enumerate([hot] * 30 + [warm] * 30 + rest + [""])]
+    got = {r.doc_id: r for r in imatch.match(spark.createDataFrame(rows, "doc_id long, text string"), hi=0.2).collect()}
+    # distinct texts: 6 of 43 have the shared words, which are the lexicon; words of copies alone are not in it
+    assert got[0].fingerprint[0] not in "-~" and got[0].fingerprint == got[29].fingerprint
+    assert got[30].fingerprint[0] == "~" and got[30].fingerprint == got[59].fingerprint
+    assert len({got[k].fingerprint for k in (0, 30, 65, 66, 100)}) == 5 and got[100].fingerprint == "-"
+    assert got[28].near_next == got[30].near_next == 1.0 and got[29].near_next == got[59].near_next == got[66].near_next == 0.0
+
+
 def test_ranges_of_ids(spark):
     df = spark.range(50).select((F.col("id") * 3).alias("doc_id"), F.col("id").cast("string").alias("text"))
     got = {r.id: r.next_text for r in imatch.ranged(df, "doc_id", "text", rows_per_range=4).collect()}
