@@ -366,12 +366,15 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     cut = _mapped(placed, extract, f"page_id {key}, url string, host string, explicit boolean, blocks array<string>")
     if known.filter(~F.coalesce("explicit", F.lit(False))).limit(1).count():
-        # hosts without explicit articles: blocks that most of their pages have are template
+        # hosts without explicit articles: blocks that most of their pages have are template. Pages with the same blocks are
+        # copies and count once, and what would leave nothing of a page is its body
         cut = checkpointed(cut)
         loose = cut.filter(~F.coalesce("explicit", F.lit(False)))
-        counts = loose.select("host", F.explode(F.array_distinct("blocks")).alias("block")).groupBy("host", F.sha2("block", 256).alias("digest")).agg(F.count("*").alias("n"))
-        totals = loose.groupBy("host").agg(F.count("*").alias("pages"))
+        unlike = loose.select("host", F.transform("blocks", lambda b: F.sha2(b, 256)).alias("digests")).distinct()
+        counts = unlike.select("host", F.explode(F.array_distinct("digests")).alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
+        totals = unlike.groupBy("host").agg(F.count("*").alias("pages"))
         common = counts.join(totals, "host").filter((F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))).groupBy("host").agg(F.collect_list("digest").alias("template"))
-        cut = cut.join(common, "host", "left").withColumn("blocks", F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("template", F.sha2(b, 256)))))
+        cut = cut.join(common, "host", "left").withColumn("left", F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("template", F.sha2(b, 256)))))
+        cut = cut.withColumn("blocks", F.when(F.size("left") > 0, F.col("left")).otherwise(F.col("blocks")))
     text = F.array_join("blocks", " ")
     return cut.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -259,6 +259,17 @@ def test_pages_without_an_article_element(spark):
     assert got[2] == "Story 2 " + "word2 " * 29 + "word2"
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    def page(k):
+        return f"<html><body><div class='top'><p>Welcome to our site</p></div><div class='x'><h2>Story {k}</h2><p>{'word%d ' % k * 30}</p><p>Subscribe to our paper today</p></div></body></html>"
+
+    whole = "Story 7 " + "word7 " * 30 + "Subscribe to our paper today"
+    assert set(texts(spark, *[page(7)] * 3).values()) == {whole} and set(texts(spark, *[page(7)] * 3, url=None).values()) == {whole}
+    # what stands on most of the pages that differ still goes, from the copies too
+    got = texts(spark, *[page(7)] * 6, page(1), page(2), page(3))
+    assert {got[k] for k in range(6)} == {"Story 7 " + "word7 " * 29 + "word7"} and got[8] == "Story 3 " + "word3 " * 29 + "word3"
+
+
 def test_odd_pages(spark):
     broken = "<p>a < b &lt; c <b>d</p><article>never closed <p>e"
     got = texts(spark, None, "", "plain words &eacute; only", broken, "<nav>n<article><p>kept</p></article>", "<div " + "a" * 50_000, "<" * 20_000, "<article>" + "w " * 100_000 + "</article>", url=None)
