@@ -468,8 +468,8 @@ def orc_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orc_rowgroup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored row index of one file in order of event_id, stride 1000."""
     path = _scratch(spark, "orc-index")
-    orc.write(orc.with_orc_timestamps(table(spark, sf_dir, "events")), path, orc.WriteConfig(row_index_stride=STRIDE), files=1, sort_within=("event_id",))
-    return tail.statistics(spark, path, "row_group").filter((F.col("column_id") == 3) & (F.col("stripe") == 0)).select("row_group", "num_present", "int_min", "int_max", "int_sum")
+    orc.write(orc.with_orc_timestamps(table(spark, sf_dir, "events")), path, orc.WriteConfig(row_index_stride=STRIDE).with_whole_groups(), files=1, sort_within=("event_id",))
+    return tail.running_groups(tail.statistics(spark, path, "row_group").filter(F.col("column_id") == 3)).select("row_group", "num_present", "int_min", "int_max", "int_sum")
 
 
 @query("orc_layout")

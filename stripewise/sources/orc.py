@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 from typing import ClassVar
 
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 CODECS = ("none", "snappy", "zstd", "zlib", "lz4", "lzo")
 MAX_BLOCK = 0x7FFFFF
 LEAST_STRIDE = 1000
+#: Rows that Spark hands to the writer at once.
+BATCH = 1024
 
 
 @dataclass(frozen=True)
@@ -28,6 +31,7 @@ class WriteConfig:
     compression_block_size: int = 256 << 10
     compression_level: int | None = None
     bloom_filter_columns: tuple[str, ...] = ()
+    whole_groups: bool = False
 
     LEVELS: ClassVar[dict[str, range]] = {"zstd": range(1, 23)}
 
@@ -54,6 +58,10 @@ class WriteConfig:
             level = 3
         return replace(self, compression=codec, compression_block_size=block_size or self.compression_block_size, compression_level=level)
 
+    def with_whole_groups(self) -> WriteConfig:
+        """Stripes end with full row groups: the writer tests their size only where a batch and a row group end together."""
+        return replace(self, whole_groups=True)
+
     def with_bloom_filter(self, *columns: str) -> WriteConfig:
         return replace(self, bloom_filter_columns=columns)
 
@@ -61,6 +69,8 @@ class WriteConfig:
         out = {"compression": self.compression, "orc.row.index.stride": str(self.row_index_stride), "orc.stripe.size": str(self.stripe_size), "orc.compress.size": str(self.compression_block_size)}
         if self.compression_level is not None:
             out["orc.compression.zstd.level"] = str(self.compression_level)
+        if self.whole_groups:
+            out["orc.rows.between.memory.checks"] = str(math.lcm(BATCH, self.row_index_stride))
         if self.bloom_filter_columns:
             out["orc.bloom.filter.columns"] = ",".join(self.bloom_filter_columns)
         return out

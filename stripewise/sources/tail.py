@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 STATISTICS_SCHEMA = (
     "file string, stripe int, row_group int, column_id int, num_present bigint, has_null boolean, int_min bigint, int_max bigint, int_sum bigint, "
@@ -124,3 +126,11 @@ def statistics(spark: SparkSession, path: str, level: str = "file", max_files: i
         else:
             raise ValueError("level is 'file', 'stripe' or 'row_group'")
     return spark.createDataFrame(rows, STATISTICS_SCHEMA)
+
+
+def running_groups(stored: DataFrame) -> DataFrame:
+    """Row-group statistics with row_group counted on from stripe to stripe and file to file, where it starts at 0 in each stripe."""
+    stripes_ = stored.groupBy("file", "stripe").agg((F.max("row_group") + 1).alias("groups"))
+    earlier = W.orderBy("file", "stripe").rowsBetween(W.unboundedPreceding, -1)
+    before = stripes_.select("file", "stripe", F.coalesce(F.sum("groups").over(earlier), F.lit(0)).alias("before"))
+    return stored.join(before, ["file", "stripe"]).withColumn("row_group", (F.col("row_group") + F.col("before")).cast("int")).select(stored.columns)

@@ -104,3 +104,20 @@ def test_streamed_batches_merge(spark, tiny, tmp_path):
     assert batches.read(spark, str(tmp_path / "d")).count() == events.count()
     merged = batches.statistics(spark, str(tmp_path / "s")).filter(F.col("column") == "event_id").first()
     assert (merged.num_values, merged.int_min, merged.int_max) == (1000, 0, 999)
+
+
+def test_row_groups_of_all_stripes(spark, tiny, tmp_path, monkeypatch):
+    import functools
+
+    import duckdb
+
+    from stripewise.plans import catalogue, queries
+
+    copies = F.explode(F.sequence(F.lit(0), F.lit(299)))
+    events = spark.read.parquet(f"{tiny}/events.parquet").withColumn("copy", copies).withColumn("event_id", F.col("event_id") + 1000 * F.col("copy")).drop("copy").filter("event_id < 299500")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(queries.orc, "WriteConfig", functools.partial(orc.WriteConfig, stripe_size=100_000))
+    got = sorted(map(tuple, catalogue.QUERIES["orc_rowgroup_stats"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert len(got) == 300 and got == sorted(con.execute(catalogue.ORACLES["orc_rowgroup_stats"]).fetchall())
