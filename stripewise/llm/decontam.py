@@ -9,8 +9,11 @@ caught while a chance likeness of templates is not. A document is reported with
 
 Documents are read once; a bitmap of 2**22 flags, whatever the size of the benchmark, keeps windows that can't match from
 being dealt out at all, and the join on the full hash decides: a window that passes goes in both forms, and its template is
-set aside only where the same item is known to hold it word by word. Benchmark items shorter than a window are sought as a whole,
-in plain form.
+set aside only where the same item is known to hold it word by word. Benchmark items shorter than a window are sought as a whole.
+Items without a template window (those, and items in which no window has enough literal words) are also sought by one template
+of the whole item, in which capitalised function words stay words; it holds if its slots are consistent, and it is made for
+items in which two tokens at least are given, as literal words or as values that come again. With fewer (`12 + 15`, a single
+name) any numbers or names would do: those are sought in plain form only. Each length of such items is a pass over the tokens.
 
 Defined results: null and empty texts and items match nothing; rows that share an id are judged together, null ids too;
 repeated items are reported by their item_id each; other columns are ignored; an empty table gives no rows.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from stripewise.llm.common import checkpointed
 WINDOW = 8
 SHARE = 0.2
 LEAST_LITERAL = 5
+LEAST_GIVEN = 2
 FILTER_BITS = 22
 
 UNITS = frozenset(
@@ -38,6 +43,10 @@ UNITS = frozenset(
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years ms ns mph kmh km/h hz khz mhz ghz w kw v a j kj cal kcal pa "
     "k c f celsius fahrenheit degree degrees dollar dollars euro euros pound pounds cent cents usd eur gbp b kb mb gb tb bytes bit bits".split()
 )
+FUNCTION_WORDS = frozenset(
+    "what which who whom whose when where why how if is are was were do does did has have had can could should would will the a an this that these those there it in on at of for from with by to "
+    "and or but as not each every all some find compute calculate solve evaluate determine simplify convert name give list write given let suppose".split()
+)
 _PIECE = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£]")
 _WORD, _NUMBER, _NAME = 0, 1, 2
 _SLOTS = {_NUMBER: "n", _NAME: "c", 3: "u"}
@@ -45,7 +54,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 CANDIDATE_SCHEMA = "key {key}, hash long, place int, plain boolean, words long, slots array<string>"
-WINDOW_SCHEMA = "item_id {key}, hash long, place int, windows int, length int, plain boolean, slots array<string>"
+WINDOW_SCHEMA = "item_id {key}, hash long, place int, windows int, length int, plain boolean, whole boolean, slots array<string>"
 
 
 class Canon:
@@ -58,7 +67,7 @@ class Canon:
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
         self.first, self.count = [], []
-        self.plain, self.hash, self.kind, self.unit, self.long = [], [], [], [], []
+        self.plain, self.hash, self.kind, self.unit, self.long, self.common = [], [], [], [], [], []
         self._arrays = None
 
     def _learn(self, raw: str) -> int:
@@ -73,6 +82,7 @@ class Canon:
             self.kind.append(_NUMBER if piece[0].isdigit() else _NAME if piece[0].isupper() else _WORD)
             self.unit.append(low in UNITS)
             self.long.append(len(low) > 1)
+            self.common.append(low in FUNCTION_WORDS)
         self.count.append(len(self.plain) - self.first[-1])
         return k
 
@@ -83,7 +93,7 @@ class Canon:
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         if self._arrays is None or len(self._arrays[0]) != len(self.first):
-            self._arrays = (np.array(self.first, dtype=np.int64), np.array(self.count, dtype=np.int64), np.array(self.hash, dtype=np.uint64), np.array(self.kind, dtype=np.int8), np.array(self.unit, dtype=bool), np.array(self.long, dtype=bool))
+            self._arrays = (np.array(self.first, dtype=np.int64), np.array(self.count, dtype=np.int64), np.array(self.hash, dtype=np.uint64), np.array(self.kind, dtype=np.int8), np.array(self.unit, dtype=bool), np.array(self.long, dtype=bool), np.array(self.common, dtype=bool))
         return self._arrays
 
     def full(self) -> bool:
@@ -108,7 +118,7 @@ class Chunk:
     """The tokens of several texts in a row, with what their windows need."""
 
     def __init__(self, canon: Canon, ids: list[np.ndarray]):
-        first, count, hashes, kind, unit, long = canon.arrays()
+        first, count, hashes, kind, unit, long, common = canon.arrays()
         raw = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         n = count[raw] if len(raw) else raw
         ends = np.cumsum(n)
@@ -123,22 +133,32 @@ class Chunk:
         kinds[(after | long[flat]) & unit[flat] & (kinds != _NUMBER)] = 3
         self.kinds = kinds
         self.template = np.where(kinds == _WORD, self.plain, _MARKS[kinds])
+        self._common = common
         self._canon = canon
 
-    def windows(self, length: int, plain: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the window at each place, and whether it lies in one text and says enough."""
+    @cached_property
+    def whole_kinds(self) -> np.ndarray:
+        """Kinds of the tokens in templates of whole items."""
+        return np.where((self.kinds == _NAME) & self._common[self.flat], _WORD, self.kinds)
+
+    @cached_property
+    def whole_template(self) -> np.ndarray:
+        return np.where(self.whole_kinds == _WORD, self.plain, _MARKS[self.whole_kinds])
+
+    def windows(self, length: int, plain: bool, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the window at each place, and whether it lies in one text and says enough; templates of whole items need a slot only."""
         if len(self.flat) < length:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        hashes = _window_hashes(self.plain if plain else self.template, length, int(plain))
+        hashes = _window_hashes(self.plain if plain else self.whole_template if whole else self.template, length, 2 if whole else int(plain))
         good = self.text[length - 1 :] == self.text[: len(hashes)]
         if not plain:
-            literal = np.concatenate([[0], np.cumsum(self.kinds == _WORD)])
+            literal = np.concatenate([[0], np.cumsum((self.whole_kinds if whole else self.kinds) == _WORD)])
             said = literal[length:] - literal[:-length]
-            good = good & (said >= LEAST_LITERAL) & (said < length)
+            good = good & (said >= (0 if whole else LEAST_LITERAL)) & (said < length)
         return hashes, good
 
-    def slots(self, place: int, length: int) -> list[str]:
-        return [_SLOTS[int(k)] + self._canon.plain[f] for k, f in zip(self.kinds[place : place + length], self.flat[place : place + length], strict=True) if k != _WORD]
+    def slots(self, place: int, length: int, whole: bool = False) -> list[str]:
+        return [_SLOTS[int(k)] + self._canon.plain[f] for k, f in zip((self.whole_kinds if whole else self.kinds)[place : place + length], self.flat[place : place + length], strict=True) if k != _WORD]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -159,18 +179,24 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
                 length = min(window, tokens)
                 if not length:
                     continue
-                windows = tokens - length + 1
+                windows, templates = tokens - length + 1, 0
                 for plain in (True, False) if length == window else (True,):
                     hashes, good = chunk.windows(length, plain)
-                    rows += [(key_.as_py(), int(hashes[k : k + 1].view(np.int64)[0]), k, windows, length, plain, [] if plain else chunk.slots(k, length)) for k in np.flatnonzero(good).tolist()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["item_id", "hash", "place", "windows", "length", "plain", "slots"])
+                    rows += [(key_.as_py(), int(hashes[k : k + 1].view(np.int64)[0]), k, windows, length, plain, False, [] if plain else chunk.slots(k, length)) for k in np.flatnonzero(good).tolist()]
+                    templates += 0 if plain else int(good.sum())
+                if not templates:
+                    hashes, good = chunk.windows(tokens, False, whole=True)
+                    slots = chunk.slots(0, tokens, whole=True)
+                    if good[0] and tokens - len(set(slots)) >= LEAST_GIVEN:
+                        rows.append((key_.as_py(), int(hashes.view(np.int64)[0]), 0, windows, tokens, False, True, slots))
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["item_id", "hash", "place", "windows", "length", "plain", "whole", "slots"])
 
     return kept.mapInArrow(cut, WINDOW_SCHEMA.format(key=key))
 
 
-def _candidates(docs: DataFrame, flags, lengths: list[int], id_col: str, text_col: str, window: int, chunk_tokens: int = 400_000) -> DataFrame:
+def _candidates(docs: DataFrame, flags, lengths: list[tuple[int, bool]], id_col: str, text_col: str, window: int, chunk_tokens: int = 400_000) -> DataFrame:
     kept = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     key = kept.schema["key"].dataType.simpleString()
 
@@ -179,16 +205,16 @@ def _candidates(docs: DataFrame, flags, lengths: list[int], id_col: str, text_co
 
         def found(keys: list, ids: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
             chunk, rows = Chunk(canon, ids), []
-            for length in lengths:
-                words = None
-                for plain in (True, False) if length == window else (True,):
-                    hashes, good = chunk.windows(length, plain)
+            for length, whole in lengths:
+                words = chunk.windows(length, True)[0].view(np.int64) if whole else None
+                for plain in (False,) if whole else (True, False) if length == window else (True,):
+                    hashes, good = chunk.windows(length, plain, whole)
                     if plain:
                         words = hashes.view(np.int64)
                     hit = passes[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)].astype(bool) & good
                     for k in np.flatnonzero(hit).tolist():
                         owner = int(chunk.text[k])
-                        rows.append((keys[owner], int(hashes[k : k + 1].view(np.int64)[0]), k - int(chunk.start[owner]), plain, int(words[k]), [] if plain else chunk.slots(k, length)))
+                        rows.append((keys[owner], int(hashes[k : k + 1].view(np.int64)[0]), k - int(chunk.start[owner]), plain, int(words[k]), [] if plain else chunk.slots(k, length, whole)))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [kind, pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string())]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "hash", "place", "plain", "words", "slots"])
@@ -219,18 +245,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     bits = np.zeros(1 << FILTER_BITS, dtype=np.uint8)
     bits[places] = 1
     flags = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    # only items shorter than a window need windows of other lengths
-    lengths = sorted(r.length for r in bench.select("length").distinct().collect())
+    # only items shorter than a window or without a template window need windows of other lengths
+    lengths = sorted((r.length, r.whole) for r in bench.select("length", "whole").distinct().collect())
 
     found = _candidates(docs, flags, lengths, id_col, text_col, window)
-    met = found.join(bench.select("item_id", "hash", F.col("place").alias("item_place"), "windows", F.col("plain").alias("item_plain"), F.col("slots").alias("item_slots")), "hash").filter(F.col("plain") == F.col("item_plain"))
+    met = found.join(bench.select("item_id", "hash", F.col("place").alias("item_place"), "windows", F.col("plain").alias("item_plain"), "whole", F.col("slots").alias("item_slots")), "hash").filter(F.col("plain") == F.col("item_plain"))
     met = met.filter(F.size("slots") == F.size("item_slots")).withColumn("same", F.col("slots") == F.col("item_slots"))
     met = checkpointed(met)  # read three times below; the texts are searched once
 
     # template matches with other values: each value of the item must stand for one value in the document
     by_words = bench.filter("plain").select(F.col("item_id").alias("i"), F.col("hash").alias("w")).distinct()
     # what the same item holds word by word needs no template
-    other = met.filter(~F.col("same")).join(by_words, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("words") == F.col("w")), "left_anti")
+    unlike = met.filter(~F.col("same")).join(by_words, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("words") == F.col("w")), "left_anti")
+    other = unlike.filter(~F.col("whole"))
     pairs = other.select("key", "item_id", "windows", "item_place", "place", F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).select("key", "item_id", "windows", "item_place", "place", F.col("x.item_slots").alias("was"), F.col("x.slots").alias("now"))
     votes = pairs.groupBy("key", "item_id", "was", "now").agg(F.count("*").alias("n"))
     chosen = votes.groupBy("key", "item_id", "was").agg(F.max(F.struct("n", "now")).getField("now").alias("means"))
@@ -241,7 +268,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         .agg(F.bool_and(F.col("now") == F.col("means")).alias("holds"))
         .filter("holds")
     )
-    held = met.filter("same").select("key", "item_id", "windows", "item_place", F.lit(True).alias("same")).unionByName(agreed.select("key", "item_id", "windows", "item_place", F.lit(False).alias("same")))
+    # a whole item's template is judged by itself, and stands for all its windows
+    said = F.size(F.array_distinct(F.arrays_zip("item_slots", "slots"))) == F.size(F.array_distinct("item_slots"))
+    wholes = unlike.filter("whole").filter(said).select("key", "item_id", "windows", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("item_place"), F.lit(False).alias("same"))
+    held = wholes.unionByName(met.filter("same").select("key", "item_id", "windows", "item_place", F.lit(True).alias("same"))).unionByName(agreed.select("key", "item_id", "windows", "item_place", F.lit(False).alias("same")))
     each = held.groupBy("key", "item_id", "windows", "item_place").agg(F.bool_or("same").alias("same"))
     return (
         each.groupBy("key", "item_id", "windows")

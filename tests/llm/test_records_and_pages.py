@@ -151,6 +151,15 @@ def test_templates_pass_a_crowded_filter(spark, monkeypatch):
     assert hits[0, 1].share > 0.7 and not hits[0, 1].verbatim and hits[1, 1].share == 1.0 and hits[1, 1].verbatim
 
 
+def test_items_without_a_template_window_are_found_with_other_values(spark):
+    dense = "Tom has 3 kg, Ann 5 kg, Bob 7 kg, Eve 9 kg"
+    bench = spark.createDataFrame([(1, "What is 12 times 15?"), (2, dense), (3, "12 + 15 = 27"), (4, "Is 5 more than 5 or 4?")], "item_id long, text string")
+    other = dense.replace("Tom", "Jim").replace("3", "4").replace("kg", "km")
+    hits = found(spark, bench, "So: what is 7 times 9? Right", "What is 7 times 9?", "Area is 7 times 9", f"Well {other} then", other.replace("km", "lb", 1), "1 + 2 = 3", "Is 6 more than 6 or 1?", "Is 6 more than 7 or 1?", "What is 12 times 15?")
+    assert set(hits) == {(0, 1), (1, 1), (3, 2), (6, 4), (8, 1)}
+    assert not hits[0, 1].verbatim and hits[8, 1].verbatim and hits[3, 2].share == 1.0
+
+
 def test_decontamination_of_odd_rows(odd, none, items):
     assert decontam.contaminated(odd, items).count() == 0 and decontam.decontaminate(odd, items).count() == 10
     assert decontam.contaminated(none, items).count() == 0 and decontam.contaminated(odd, items.limit(0)).count() == 0
