@@ -5,7 +5,7 @@ Texts become tokens in two forms: plain (lower case) and template, in which numb
 benchmark's windows by hash. Where a window matches as a template only, its slots are compared: within one document and
 item, every benchmark value must stand for one value throughout, so a question asked with other numbers or names is
 caught while a chance likeness of templates is not. A document is reported with an item if the windows that hold cover at least
-`share` of the item's.
+`share` of the item's, or if `run` of its tokens in a row do, however long the item is.
 
 Documents are read once; a bitmap of 2**22 flags, whatever the size of the benchmark, keeps windows that can't match from
 being dealt out at all, and the join on the full hash decides: a window that passes goes in both forms, and its template is
@@ -29,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stripewise.llm.common import checkpointed
 
 WINDOW = 8
 SHARE = 0.2
+RUN = 50
 LEAST_LITERAL = 5
 LEAST_GIVEN = 2
 FILTER_BITS = 22
@@ -236,7 +238,7 @@ def _candidates(docs: DataFrame, flags, lengths: list[tuple[int, bool]], id_col:
     return kept.mapInArrow(search, CANDIDATE_SCHEMA.format(key=key))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
     """id, item_id, windows (of the item that hold), item_windows, share and verbatim (no slot differs) of contaminated documents."""
     spark = docs.sparkSession
     bench = checkpointed(benchmark_windows(items, item_col, item_text, window))
@@ -270,13 +272,22 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     )
     # a whole item's template is judged by itself, and stands for all its windows
     said = F.size(F.array_distinct(F.arrays_zip("item_slots", "slots"))) == F.size(F.array_distinct("item_slots"))
-    wholes = unlike.filter("whole").filter(said).select("key", "item_id", "windows", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("item_place"), F.lit(False).alias("same"))
-    held = wholes.unionByName(met.filter("same").select("key", "item_id", "windows", "item_place", F.lit(True).alias("same"))).unionByName(agreed.select("key", "item_id", "windows", "item_place", F.lit(False).alias("same")))
+    wholes = unlike.filter("whole").filter(said).select("key", "item_id", "windows", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("item_place"), F.lit(0).alias("place"), F.lit(False).alias("same"))
+    held = wholes.unionByName(met.filter("same").select("key", "item_id", "windows", "item_place", "place", F.lit(True).alias("same"))).unionByName(agreed.select("key", "item_id", "windows", "item_place", "place", F.lit(False).alias("same")))
     each = held.groupBy("key", "item_id", "windows", "item_place").agg(F.bool_or("same").alias("same"))
+    judged = each.groupBy("key", "item_id", "windows").agg(F.count("*").cast("int").alias("n"), F.bool_and("same").alias("verbatim"))
+    enough = F.col("n") >= share * F.col("windows")
+    # in shorter items a run is a share of the windows that is enough
+    least = max(1, run - window + 1)
+    if bench.filter(share * F.col("windows") > least).limit(1).count():
+        shifts = held.filter(share * F.col("windows") > least).select("key", "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+        first = F.col("item_place") - F.row_number().over(W.partitionBy("key", "item_id", "shift").orderBy("item_place"))
+        runs = shifts.withColumn("first", first).groupBy("key", "item_id", "shift", "first").agg(F.count("*").alias("length")).filter(F.col("length") >= least)
+        runs = runs.select(F.col("key").alias("k"), F.col("item_id").alias("i"), F.lit(True).alias("ran")).distinct()
+        judged = judged.join(runs, F.col("key").eqNullSafe(F.col("k")) & F.col("item_id").eqNullSafe(F.col("i")), "left")
+        enough = enough | F.col("ran").isNotNull()
     return (
-        each.groupBy("key", "item_id", "windows")
-        .agg(F.count("*").cast("int").alias("n"), F.bool_and("same").alias("verbatim"))
-        .filter(F.col("n") >= share * F.col("windows"))
+        judged.filter(enough)
         .select(F.col("key").alias(id_col), "item_id", F.col("n").alias("windows"), F.col("windows").alias("item_windows"), (F.col("n") / F.col("windows")).alias("share"), "verbatim")
     )
 

@@ -160,6 +160,13 @@ def test_items_without_a_template_window_are_found_with_other_values(spark):
     assert not hits[0, 1].verbatim and hits[8, 1].verbatim and hits[3, 2].share == 1.0
 
 
+def test_long_runs_of_long_items_are_found(spark):
+    passage = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(350)]
+    bench = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    hits = found(spark, bench, "so " + " ".join(passage[100:160]) + " ends", " ".join(passage[100:130]) + " and " + " ".join(passage[200:230]), " ".join(passage[:50]), " ".join(passage[:49]))
+    assert {k: (r.windows, r.item_windows, r.verbatim) for k, r in hits.items()} == {(0, 1): (53, 343, True), (2, 1): (43, 343, True)}
+
+
 def test_decontamination_of_odd_rows(odd, none, items):
     assert decontam.contaminated(odd, items).count() == 0 and decontam.decontaminate(odd, items).count() == 10
     assert decontam.contaminated(none, items).count() == 0 and decontam.contaminated(odd, items.limit(0)).count() == 0
