@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stripewise.llm.common import SPACE, checkpointed, release
+from stripewise.llm.common import SPACE, checkpointed, stored
 
 #: The band of document frequency, as shares of all documents: idf between log(1/HI) and log(1/LO).
 LO, HI = 0.0005, 0.03
@@ -139,8 +139,7 @@ def match(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: f
     # copies of a text count once, both for the terms and for the documents of the band
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     distinct = texts.select(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).distinct().count()
-    terms = checkpointed(lexicon(texts.distinct(), distinct, lo, hi))
-    release(docs.sparkSession)  # the shuffle of the texts
+    terms, _ = stored(lexicon(texts.distinct(), distinct, lo, hi), "lexicon")
     small = terms.count() <= broadcast_terms
     # the empty word stands for the row itself, so that rows without lexicon terms pass the join
     terms = terms.select("term", F.lit(True).alias("known")).unionByName(terms.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(False).alias("known")))

@@ -196,6 +196,39 @@ def test_word_hashes():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_long_texts_are_hashed_block_by_block():
+    rng = np.random.default_rng(5)
+    for text in (b"a bc def" * 40, b"x" * 5000, b" " * 100, b"ab " * 33, bytes(rng.choice(np.frombuffer(b"ab \n", np.uint8), 3000))):
+        whole = lm_scoring.word_hashes([text])[0].tolist()
+        for block in (1, 7, 64, 4096):
+            assert lm_scoring.long_word_hashes(text, block).tolist() == whole
+
+
+def test_scores_are_the_same_by_relays_and_in_small_groups(docs, odd):
+    for df in (docs, odd):
+        said = collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scoring.score_texts(df).collect())
+        for options in ({"group_bytes": 5000}, {"group_bytes": 20_000, "tokens_per_owner": 50, "fan": 8}):
+            got = lm_scoring.score_texts(df, **options).collect()
+            assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == said
+
+
+def test_counts_beyond_32_bits():
+    keys, big = np.array([3, 2**63 + 5], np.uint64), np.array([2**33, 7], np.uint64)
+    columns = lm_scoring._messages(1, keys, big, big, np.array([True, False]), owners=1)
+    table = lm_scoring._table({k: v * 2 for k, v in columns.items()})
+    tally = lm_scoring.Tally(table)
+    assert tally.whole.tolist() == [2**34, 14] and tally.keys.tolist() == keys.tolist() and tally.words.tolist() == [True, False]
+    assert lm_scoring._unpack_counts(lm_scoring._pack_counts(tally.whole)).tolist() == [2**34, 14]
+    assert lm_scoring._unpack(lm_scoring._pack(keys)).tolist() == keys.tolist()
+    assert lm_scoring._unpack_counts(lm_scoring._pack_counts(np.zeros(3, np.uint64))).tolist() == [0, 0, 0]
+
+
+def test_a_text_of_fifty_megabytes(spark):
+    df = spark.range(3).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 1, F.repeat(F.lit("some words of a long text "), 2_000_000)).otherwise(F.lit("some words")).alias("text"))
+    got = {r.doc_id: r for r in lm_scoring.score_texts(df).collect()}
+    assert got[1].n_tokens == 12_000_001 and got[0].n_tokens == 3 and all(r.score < 0 for r in got.values())
+
+
 # I-Match
 
 
