@@ -33,8 +33,8 @@ from stripewise.llm.common import discard, split_of, stored
 #: Text of a group; a longer text is a group of its own.
 GROUP_BYTES = 12 << 20
 #: Tokens whose n-grams an owner counts, on average; owners that a group or a relay sends to.
-TOKENS_PER_OWNER = 4_000_000
-LEAST_OWNERS = 32
+TOKENS_PER_OWNER = 1_000_000
+LEAST_OWNERS = 8
 FAN = 2048
 #: Cells of the histogram: log2 ratios by quarters within +-40.
 _GRID, _REACH = 4, 40
@@ -327,9 +327,10 @@ MESSAGE_SCHEMA = "part long, owner long, keys binary, whole binary, main binary,
 REPLY_SCHEMA = "part long, owner long, whole binary, main binary"
 
 
-def _messages(part: int, keys: np.ndarray, whole: np.ndarray, main: np.ndarray, words: np.ndarray, owners: int, first: int = 0, step: int = 1, n: int | None = None) -> dict[str, list]:
+def _messages(part: int, keys: np.ndarray, whole: np.ndarray, main: np.ndarray | None, words: np.ndarray, owners: int, first: int = 0, step: int = 1, n: int | None = None) -> dict[str, list]:
     """What is asked of owners `first`, `first + step` and so on (n of them), each for the hashes up to the next one's.
 
+    Without `main` the counts without the tuning part are the whole ones: then nothing is sent for them, nor sent back.
     Owners that are asked for nothing get no row: there are never more rows than keys, however many owners there are.
     """
     n = -(-owners // step) if n is None else n
@@ -340,7 +341,7 @@ def _messages(part: int, keys: np.ndarray, whole: np.ndarray, main: np.ndarray,
         "owner": [first + k * step for k, _, _ in spans],
         "keys": [_pack(keys[a:b]) for _, a, b in spans],
         "whole": [_pack_counts(whole[a:b]) for _, a, b in spans],
-        "main": [_pack_counts(main[a:b]) for _, a, b in spans],
+        "main": [b"" if main is None else _pack_counts(main[a:b]) for _, a, b in spans],
         "words": [np.packbits(words[a:b]).tobytes() for _, a, b in spans],
     }
 
@@ -359,8 +360,9 @@ class Tally:
         self.whole, self.main = np.zeros(len(self.keys), np.uint64), np.zeros(len(self.keys), np.uint64)
         self.words = np.zeros(len(self.keys), bool)
         for at, whole, main, bits in zip(self.places, *(table.column(c) for c in ("whole", "main", "words")), strict=True):
-            self.whole[at] += _unpack_counts(whole.as_py())
-            self.main[at] += _unpack_counts(main.as_py())
+            counts = _unpack_counts(whole.as_py())
+            self.whole[at] += counts
+            self.main[at] += _unpack_counts(main.as_py()) if main.as_py() else counts
             self.words[at] |= np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(at)).astype(bool)
 
 
@@ -375,7 +377,7 @@ def counted(groups: DataFrame, order: int, owners: int, n_groups: int, fan: int)
                 row = pa.Table.from_batches([batch.slice(k, 1)])
                 grams = Grams.read(row, order)
                 counts = grams.counted(np.frombuffer(row.column("folds")[0].as_py(), np.uint8) != 2)
-                main = np.zeros_like(counts) if row.column("tuning")[0].as_py() else counts
+                main = np.zeros_like(counts) if row.column("tuning")[0].as_py() else None
                 yield from _table(_messages(row.column("part")[0].as_py(), grams.keys, counts, main, grams.words, owners, step=step)).to_batches()
 
     def answer(table: pa.Table) -> pa.Table:
@@ -386,7 +388,7 @@ def counted(groups: DataFrame, order: int, owners: int, n_groups: int, fan: int)
             "part": table.column("part").to_pylist(),
             "owner": table.column("owner").to_pylist(),
             "whole": [_pack_counts(tally.whole[at]) for at in tally.places],
-            "main": [_pack_counts(tally.main[at]) for at in tally.places],
+            "main": [_pack_counts(tally.main[at]) if main.as_py() else b"" for at, main in zip(tally.places, table.column("main"), strict=True)],
         }
         sums = [pa.array([x if k == 0 else 0 for k in range(table.num_rows)], pa.int64()) for x in totals]
         made = _table(replies)
@@ -413,10 +415,10 @@ def counted(groups: DataFrame, order: int, owners: int, n_groups: int, fan: int)
         keys = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
         whole, main = _joined(counts, "whole"), _joined(counts, "main")
         places = [np.searchsorted(keys, x) for x in lists]
-        return _table({"part": table.column("part").to_pylist(), "owner": table.column("owner").to_pylist(), "whole": [_pack_counts(whole[at]) for at in places], "main": [_pack_counts(main[at]) for at in places]})
+        return _table({"part": table.column("part").to_pylist(), "owner": table.column("owner").to_pylist(), "whole": [_pack_counts(whole[at]) for at in places], "main": [_pack_counts(main[at]) if x.as_py() else b"" for at, x in zip(places, table.column("main"), strict=True)]})
 
     inner, inner_path = stored(asked.groupBy("node").applyInArrow(relay, MESSAGE_SCHEMA).groupBy("owner").applyInArrow(answer, answer_schema), "lm-inner")
-    outer = asked.select("node", "part", "owner", "keys").groupBy("node").cogroup(inner.select(F.col("part").alias("node"), "owner", "whole", "main").groupBy("node")).applyInArrow(back, REPLY_SCHEMA)
+    outer = asked.select("node", "part", "owner", "keys", "main").groupBy("node").cogroup(inner.select(F.col("part").alias("node"), "owner", "whole", "main").groupBy("node")).applyInArrow(back, REPLY_SCHEMA)
     sums = inner.select(F.lit(-1).cast("long").alias("part"), "owner", F.lit(None).cast("binary").alias("whole"), F.lit(None).cast("binary").alias("main"), "tokens", "distinct", "main_tokens").filter("tokens + distinct + main_tokens > 0")
     nothing = F.lit(0).cast("long")
     replies, path = stored(outer.withColumns({"tokens": nothing, "distinct": nothing, "main_tokens": nothing}).unionByName(sums), "lm-replies")

@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import html
+import random
 import re
 import struct
+import time
 
 import pytest
 import xxhash
@@ -303,27 +305,109 @@ def test_wrappers_align():
     assert html_wrappers.fold("<ul> <li> # </li> <li> # </li> <li> # </li> </ul>".split()) == ["<ul>", "(<li> # </li>)+", "</ul>"]
 
 
+def known_of(spark, *pages, host="h", **options):
+    return html_wrappers.wrappers(spark.createDataFrame([(host, p) for p in pages], "host string, html string"), **options).first()
+
+
+def path(*signs):
+    at = 0
+    for sign in signs:
+        at = html_wrappers.path_of(at, sign)
+    return at
+
+
 def test_wrappers_of_a_host(spark):
-    rows = [("h", "\n".join(html_wrappers.scan(p)[0]), "body>article", 5, True) for p in ("<body><article><p>a</p></article></body>", "<body><article><p>a</p><p>b</p></article></body>", "<body><nav>x</nav><article><p>a</p></article></body>")]
-    got = html_wrappers.wrappers(spark.createDataFrame(rows, "host string, stream string, region string, mass long, explicit boolean")).first()
-    assert got.pages == 3 and got.region == "body>article" and "(<nav>)?" in got.wrapper and ")+" in got.wrapper
+    got = known_of(spark, *("<body><article><p>a</p></article></body>", "<body><article><p>a</p><p>b</p></article></body>", "<body><nav>x</nav><article><p>c</p></article></body>"))
+    assert got.pages == 3 and got.region == path("body", "article") and got.explicit and "(<nav>)?" in got.wrapper and ")+" in got.wrapper
+
+
+def test_texts_become_slots_or_strings_of_the_template(spark):
+    pages = [f"<body><div class=a><p>the same on all</p></div><div class=b><p>story {k} is unlike the others</p></div></body>" for k in range(5)]
+    got = known_of(spark, *pages, pages[0])
+    assert re.fullmatch("<body> <div.a> <p> =[0-9a-f]+ </p> </div.a> <div.b> <p> # </p> </div.b> </body>", got.wrapper)
+    assert got.region == path("body", "div.b") and len(got.fixed) == 1 and got.pages == 6
+
+
+def test_inference_finds_the_article_where_names_say_nothing(spark):
+    """Neither elements nor names tell which part is the article, and the repeated part is the longer one."""
+    same = "the same long words of the house " * 20
+
+    def page(k):
+        return f"<body><div class='q1'><p>{same}</p></div><div class='q2'><p>news {k} of the day</p><p>{'word%d ' % k * 9}</p></div><div class='q3'><p>{same}</p></div></body>"
+
+    got = texts(spark, *(page(k) for k in range(6)))
+    wrapper = known_of(spark, *(page(k) for k in range(6)))
+    assert wrapper.wrapper.count("#") == 1 and wrapper.region == path("body", "div.q2")
+    assert got == {k: f"news {k} of the day {' '.join(['word%d' % k] * 9)}" for k in range(6)}
+    # with nothing to compare it with, the page is taken as it is
+    assert same.strip() in texts(spark, page(1))[0]
+
+
+def test_an_article_element_without_the_text_is_not_believed(spark):
+    pages = [f"<body><main><p>ok {k}</p></main><div class='zz'><p>{'story%d ' % k * 50}</p></div></body>" for k in range(4)]
+    assert texts(spark, *pages)[1] == " ".join(["story1"] * 50)
+
+
+def test_names_are_a_prior_that_never_empties_a_page(spark):
+    names = ["post has-sidebar", "page legal", "rating", "reply", "share", "notice", "banner-like notice"]
+    rows, said = [], {}
+    for n, name in enumerate(names):
+        pages = [f"<body><nav><a href=/>Home</a></nav><div class='{name}'><p>story {k}</p><p>{'word%d ' % k * 30}</p></div></body>" for k in range(5)]
+        # beside an article such an element still goes
+        both = [p.replace("</body>", f"<div class='content'><p>{'true%d ' % k * 40}</p></div></body>") for k, p in enumerate(pages)]
+        for way, some in enumerate((pages, pages[:1], [pages[0]] * 3, both)):
+            for k, page in enumerate(some):
+                rows.append((len(rows), f"http://h{n}-{way}.example/", page))
+                if way < 3:
+                    said[rows[-1][0]] = f"story {k if way == 0 else 0} " + " ".join(["word%d" % (k if way == 0 else 0)] * 30)
+                elif n:
+                    said[rows[-1][0]] = " ".join(["true%d" % k] * 40)
+    got = {r.page_id: r.text for r in html_wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: got[k] for k in said} == said
+
+
+def test_equal_pages_of_a_host_keep_their_text(spark):
+    page = "<div class='wrap'><p>one paragraph</p><p>and another</p></div>"
+    assert set(texts(spark, page, page, page).values()) == {"one paragraph and another"}
+    near = [f"<div class='wrap'><p>a paragraph that near copies share as it is</p><p>and more {k}</p></div>" for k in range(4)]
+    assert texts(spark, *near)[3] == "a paragraph that near copies share as it is and more 3"
+
+
+def test_very_many_tags_take_linear_time(spark):
+    for page in ("<div>" * 100_000 + "x", "<b>" * 50_000 + "<p>x<div></div>" * 100, "<p>a" * 50_000, "<td>" * 30_000, "</i>" * 100_000, "<li><ul>" * 20_000, "".join(f"<div class='c{'abcdefghij'[k % 10]}'><p>t{k}</p></div>" for k in range(30_000))):
+        began = time.perf_counter()
+        stream = html_wrappers.fold(html_wrappers.scan(page)["stream"].split("\n"))
+        other = html_wrappers.fold(html_wrappers.scan(page + "<h2>new</h2>")["stream"].split("\n"))
+        html_wrappers.align(stream, other)
+        html_wrappers.text_of(page, None, False, frozenset(), frozenset())
+        assert time.perf_counter() - began < 30
 
 
 def test_regions_by_either_way(spark):
     kept = spark.createDataFrame([(k, "hot" if k % 3 else f"h{k}", "x" * k) for k in range(60)], "page_id long, host string, html string")
-    regions = spark.createDataFrame([("hot", "a>b", True), ("h0", None, False)], "host string, region string, explicit boolean")
-    ways = [{(r.page_id, r.host, r.html, r.region, r.explicit) for r in html_wrappers.with_regions(kept, regions, most).collect()} for most in (1 << 20, 0)]
-    assert ways[0] == ways[1] and len(ways[0]) == 60 and (0, "h0", "", None, False) in ways[0]
+    regions = spark.createDataFrame([("hot", 7, True, [1, 2]), ("h0", None, False, None)], "host string, region long, explicit boolean, fixed array<long>")
+    ways = [{(r.page_id, r.host, r.html, r.region, r.explicit, tuple(r.fixed or ())) for r in html_wrappers.with_regions(kept, regions, most).collect()} for most in (1 << 20, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 60 and (0, "h0", "", None, False, ()) in ways[0]
 
 
 def test_wrappers_of_many_streams_and_their_required_elements(spark):
-    page = "<html> <body> <div.a> # </div.a> {} <p> # </p> {} </body> </html>"
-    rows = [("h", page.format("<p> # </p> " * k, f"<ul> {'<li> # </li> ' * j}</ul>" if j else "").replace("  ", " ").strip().replace(" ", "\n"), r, m, False) for k in range(12) for j in range(4) for r, m in (("html>body>div.a", 5), ("html>body>ul", 50))]
-    schema = "host string, stream string, region string, mass long, explicit boolean"
-    got = html_wrappers.wrappers(spark.createDataFrame(rows, schema), fan=4).collect()
-    # the list holds more text but the wrapper has it in an optional group
-    assert len(got) == 1 and got[0].pages == 96 and got[0].region == "html>body>div.a" and "(<ul>)?" in got[0].wrapper
-    assert html_wrappers.required(["<a>", "(<b>)?", "(<c>)?", "(</c>)?", "(</b>)?", "(<d> # </d>)+", "</a>"]) == ["a", "a>d"]
+    page = "<html><body>{}<div class=a><p>{}</p></div>{}</body></html>"
+    rows = [page.format("<p>x</p>" * k, f"told {k} {j} " * 5, f"<ul class=b>{f'<li><div>long text {k} {j} of the list</div>' * 9 * j}</ul>" if j else "") for k in range(12) for j in range(4)]
+    got = known_of(spark, *rows, fan=4)
+    # the list holds more text on most pages, but the wrapper has it in an optional group
+    assert got.pages == 48 and got.region not in (path("html", "body", "ul.b"), path("html", "body", "ul.b", "li", "div")) and "(<ul.b>)?" in got.wrapper
+    assert html_wrappers.required(["<a>", "(<b>)?", "(<c>)?", "(</c>)?", "(</b>)?", "(<d> # </d>)+", "</a>"]) == [path("a"), path("a", "d")]
+
+
+def test_matches_rise_in_both():
+    rng = random.Random(4)
+    for size in (5, 400):
+        a = [str(rng.randrange(size)) for _ in range(size)]
+        b = [x for x in a if rng.random() > 0.2] + ["z"]
+        for most in (0, 40_000):
+            got = html_wrappers.matches(a, b, most)
+            assert all(a[x] == b[y] for x, y in got) and all(x < u and y < v for (x, y), (u, v) in zip(got, got[1:], strict=False))
+        assert size < 10 or len(got) >= 0.5 * size
 
 
 # the pipeline
