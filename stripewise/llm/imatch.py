@@ -5,16 +5,16 @@ push their own words out of the band nor into it. Since a term of the band is in
 lexicon has at most (mean distinct terms of a text) / lo terms however many documents there are. Its
 size is checked: up to `broadcast_terms` it is broadcast, beyond that it is joined by a shuffle.
 
-A fingerprint takes two levels of subsets, next to the binary logarithm of its number of lexicon terms: at level j each of
-`SUBSETS` disjoint subsets keeps the pseudorandom 2**-j of the lexicon that a term's low bits name, and the subset's terms of
-the document, distinct and sorted, are hashed. A subset holds a half or a quarter of a term on average, so an edit changes few
-of the hashes. The likeness of two fingerprints is, at the first level that both have, the part of equal hashes among the
-subsets that hold a term of either; equal fingerprints are alike by 1, and texts without a common level, or of which one has
-no lexicon term, by 0.
+Several randomised lexicons are drawn from the band, the same for all documents: `PER_SHARE` for each of `SHARES`, each of which
+keeps a pseudorandom part of the band's terms of that size, from three quarters down. For each, the terms of the document that
+it keeps, distinct and sorted, are hashed together; the fingerprint is the list of these hashes. Lexicons that keep most of the band
+differ as soon as a few terms do, sparse ones stand edits of a quarter of the text, so the likeness is graded: the part of
+equal hashes among the lexicons that keep a term of either text.
 
 All on built-in functions. Defined results: a null text counts as the empty text; texts without lexicon terms get "~" and
-a hash of all their own terms, so they are alike by 1 if their terms are the same; texts without words get "-"; repeated rows are rows of their own; ties between equal ids are broken by the text;
-other columns are ignored; an empty table gives no rows.
+a hash of all their own words, so they are alike by 1 if these are the same, and not at all to others; texts without words get
+"-"; repeated rows are rows of their own; rows without an id come first; ties between equal ids are broken by the text; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,19 +23,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stripewise.llm.common import SPACE, checkpointed, stored
+from stripewise.llm.common import checkpointed, stored
 
 #: The band of document frequency, as shares of all documents: idf between log(1/HI) and log(1/LO).
-LO, HI = 0.0005, 0.03
-#: A power of two; a fingerprint names a subset by two hex digits.
-SUBSETS = 64
+LO, HI = 0.02, 0.03
+#: What part of the band a lexicon keeps, as 64ths, and how many lexicons there are of each.
+SHARES = (48, 32, 16, 8, 4)
+PER_SHARE = 6
+LEXICONS = len(SHARES) * PER_SHARE
+#: Hex digits of a lexicon's hash.
+DIGITS = 6
 ROWS_PER_RANGE = 1024
 
 
 def words_of(text: Column) -> Column:
-    """Distinct words, A-Z lower-cased; the empty string may be among them."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.split(F.translate(lower, SPACE, " " * len(SPACE)), " +"))
+    """Distinct words, lower-cased, in order of their first place; the empty string may be among them."""
+    return F.array_distinct(F.split(F.lower(text), r"[ \t\n\x0b\f\r]+"))
+
+
+def kept_by(term: Column) -> Column:
+    """A bit for each lexicon that keeps the term."""
+    bits = [F.when(F.pmod(F.xxhash64(term, F.lit(k)), F.lit(64)) < SHARES[k // PER_SHARE], F.lit(1 << k)).otherwise(F.lit(0)) for k in range(LEXICONS)]
+    return sum(bits[1:], bits[0]).cast("int")
 
 
 def lexicon(texts: DataFrame, documents: int, lo: float = LO, hi: float = HI) -> DataFrame:
@@ -46,92 +55,62 @@ def lexicon(texts: DataFrame, documents: int, lo: float = LO, hi: float = HI) ->
     return df.filter((F.col("df") >= max(2.0, lo * documents)) & (F.col("df") <= max(2.0, hi * documents))).select("term")
 
 
-def _subset_hashes(kept: Column, bits: int) -> Column:
-    """For each subset that holds a term, in order, two hex digits that name it and four of the hash of its sorted terms.
-
-    kept: terms whose low bits name a subset. Turned by those bits, they sort by subset and then by term.
-    """
-    turned = F.sort_array(F.transform(kept, lambda t: F.shiftleft(t, 64 - bits).bitwiseOR(F.shiftrightunsigned(t, bits))))
-
-    def told(subset: Column, hashed: Column) -> Column:
-        return F.concat(F.lpad(F.hex(subset), 2, "0"), F.substring(F.lpad(F.hex(hashed), 16, "0"), 1, 4))
-
-    def step(s: Column, key: Column) -> Column:
-        subset = F.shiftrightunsigned(key, 64 - bits)
-        same = F.struct(s["subset"].alias("subset"), F.xxhash64(s["hashed"], key).alias("hashed"), s["out"].alias("out"))
-        new = F.struct(subset.alias("subset"), F.xxhash64(key).alias("hashed"), F.when(s["subset"] < 0, F.lit("")).otherwise(F.concat(s["out"], told(s["subset"], s["hashed"]))).alias("out"))
-        return F.when(subset == s["subset"], same).otherwise(new)
-
-    start = F.struct(F.lit(-1).cast("long").alias("subset"), F.lit(0).cast("long").alias("hashed"), F.lit("").alias("out"))
-    return F.lower(F.aggregate(turned, start, step, lambda s: F.when(s["subset"] < 0, F.lit("")).otherwise(F.concat(s["out"], told(s["subset"], s["hashed"])))))
-
-
-def own_hash(words: Column) -> Column:
-    """"~" and the hash of the sorted distinct words, or "-" if there are none; 17 characters, filled with spaces."""
-    said = F.array_remove(words, "")
-    return F.when(F.size(said) > 0, F.concat(F.lit("~"), F.lower(F.lpad(F.hex(F.xxhash64(F.sort_array(said))), 16, "0")))).otherwise(F.lit("-" + " " * 16))
-
-
-def with_fingerprint(df: DataFrame, held: str, name: str, otherwise: str, subsets: int = SUBSETS) -> DataFrame:
-    """df and a column `name`: "level:hashes;level:hashes" of the distinct terms in `held`.
+def with_fingerprint(df: DataFrame, held: str, name: str, otherwise: str) -> DataFrame:
+    """df and a column `name`: the hashes of the distinct terms in `held` (term, kept) by lexicon, "-" where none is kept.
 
-    If there are none, what the column `otherwise` says.
-
-    What the hashes share is computed once for each row, in columns that go again.
+    If there are none in any lexicon, what the column `otherwise` says.
     """
-    bits = subsets.bit_length() - 1
-    level = F.greatest(F.lit(bits), F.length(F.bin(F.size(held).cast("long"))) + 1).cast("int")
-    df = df.withColumn("__level", level)
-    df = df.withColumns({"__mask": F.pow(F.lit(2.0), F.col("__level")).cast("long") - 1, "__mask2": F.pow(F.lit(2.0), F.col("__level") + 1).cast("long") - 1})
-    df = df.withColumn("__kept", F.filter(held, lambda t: t.bitwiseAND(F.col("__mask")) < subsets))
-    df = df.withColumn("__kept2", F.filter("__kept", lambda t: t.bitwiseAND(F.col("__mask2")) < subsets))
-    both = F.concat(F.col("__level").cast("string"), F.lit(":"), _subset_hashes(F.col("__kept"), bits), F.lit(";"), (F.col("__level") + 1).cast("string"), F.lit(":"), _subset_hashes(F.col("__kept2"), bits))
-    return df.withColumn(name, F.when(F.size(held) < 1, F.col(otherwise)).otherwise(both)).drop("__level", "__mask", "__mask2", "__kept", "__kept2")
+    terms = F.sort_array(held)
+    df = df.withColumn("__terms", F.when(F.size(held) > 0, terms))
 
+    def hashed(k: int) -> Column:
+        own = F.filter("__terms", lambda t: t["kept"].bitwiseAND(F.lit(1 << k)) != 0)
+        return F.when(F.size(own) > 0, F.substring(F.lpad(F.hex(F.xxhash64(F.transform(own, lambda t: t["term"]))), 16, "0"), 1, DIGITS)).otherwise(F.lit("-" * DIGITS))
 
-def _level(print_: Column, k: int) -> tuple[Column, Column]:
-    part = F.split_part(print_, F.lit(";"), F.lit(k))
-    return F.split_part(part, F.lit(":"), F.lit(1)), F.split_part(part, F.lit(":"), F.lit(2))
+    told = F.lower(F.concat(*(hashed(k) for k in range(LEXICONS))))
+    return df.withColumn(name, F.when(F.col("__terms").isNull(), F.col(otherwise)).otherwise(told)).drop("__terms")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints, from 0 to 1."""
-    (a1, ha1), (a2, ha2), (b1, hb1), (b2, hb2) = _level(a, 1), _level(a, 2), _level(b, 1), _level(b, 2)
-    part = F.when(a1 == b1, _alike(ha1, hb1)).when(a2 == b1, _alike(ha2, hb1)).when(a1 == b2, _alike(ha1, hb2))
-    return F.when(a == b, F.lit(1.0)).when((a == "-") | (b == "-"), F.lit(0.0)).otherwise(F.coalesce(part, F.lit(0.0)))
-
-
-def _alike(a: Column, b: Column) -> Column:
-    """Equal hashes among the subsets that hold a term of either."""
-    (ta, tb), (sa, sb) = ([F.regexp_extract_all(x, F.lit(pattern), F.lit(1)) for x in (a, b)] for pattern in ("(......)", "(..)...."))
-    return F.size(F.array_intersect(ta, tb)) / F.greatest(F.size(F.array_union(sa, sb)), F.lit(1))
+    parts = [(F.substring(a, 1 + DIGITS * k, DIGITS), F.substring(b, 1 + DIGITS * k, DIGITS)) for k in range(LEXICONS)]
+    nothing = F.lit("-" * DIGITS)
+    some = sum((F.when((x == nothing) & (y == nothing), 0).otherwise(1) for x, y in parts), F.lit(0))
+    same = sum((F.when((x == y) & (x != nothing), 1).otherwise(0) for x, y in parts), F.lit(0))
+    whole = (F.length(a) == LEXICONS * DIGITS) & (F.length(b) == LEXICONS * DIGITS)
+    return F.when(a == b, F.lit(1.0)).when(whole, same / F.greatest(some, F.lit(1))).otherwise(F.lit(0.0))
 
 
 def ranged(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = ROWS_PER_RANGE, most: int = 50_000) -> DataFrame:
-    """id, text, part and next_text, the text of the row that follows by id (after the last: the first).
+    """part, rank, id, text and next_text, the text of the row that follows by id (after the last: the first).
 
-    Rows are dealt to ranges of the id, so that no task sorts all of them; the first row of each range closes the one
-    before. The bounds of the ranges are fixed first, `most` at most.
+    Rows are dealt to ranges of the id and, among equal ids or rows without one, of a hash of the text, so that no task
+    sorts all of them; the first row of each range closes the one before. The bounds come from a range partitioning of ids
+    and hashes alone, `most` at most.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = max(1, min(-(-rows.select("id").count() // rows_per_range), most))
-    cuts = rows.approxQuantile("id", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    part = _rank_in("id", sorted({int(x) for x in cuts})) if cuts else F.lit(0)
-    rows = rows.withColumn("part", part)
-    order = W.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), "text")
-    ranked = rows.withColumns({"next_text": F.lead("text").over(order), "rank": F.row_number().over(order)})
-    firsts = rows.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull(), "id", "text")).alias("first")).select(F.col("part").alias("p"), F.col("first.text").alias("opening"))
-    closing = firsts.join(_before(rows), "p").select(F.col("before").alias("part"), "opening")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    order = [F.col("id").asc_nulls_first(), F.col("tie").asc()]
+    light = rows.select("id", "tie")
+    parts = max(1, min(-(-light.count() // rows_per_range), most))
+    cuts = []
+    if parts > 1:
+        dealt = light.repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(F.col("id").isNotNull(), "id", "tie")).alias("x"))
+        cuts = sorted((r.x.id is not None, r.x.id or 0, r.x.tie) for r in dealt.collect())[1:]  # `most` at most
+    rows = rows.withColumn("part", _rank_in(cuts) if cuts else F.lit(0))
+    within = W.partitionBy("part").orderBy(*order, "text")
+    ranked = rows.withColumns({"next_text": F.lead("text").over(within), "rank": F.row_number().over(within)})
+    firsts = rows.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull(), "id", "tie", "text")).alias("first")).select(F.col("part").alias("p"), F.col("first.text").alias("opening"))
+    closing = firsts.join(_before(firsts.select("p")), "p").select(F.col("before").alias("part"), "opening")
     return ranked.join(closing, "part").select("part", "rank", "id", "text", F.coalesce("next_text", "opening").alias("next_text"))
 
 
-def _before(rows: DataFrame) -> DataFrame:
+def _before(ranges: DataFrame) -> DataFrame:
     """p and before: the range in front of each, the last one for the first. One row for each range, `most` at most."""
-    ranges = rows.groupBy("part").agg(F.count("*").alias("rows")).select(F.col("part").alias("p"))
     return ranges.select("p", F.coalesce(F.lag("p").over(W.orderBy("p")), F.max("p").over(W.partitionBy())).alias("before"))
 
 
-def match(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: float = LO, hi: float = HI, subsets: int = SUBSETS, broadcast_terms: int = 2_000_000) -> DataFrame:
+def match(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: float = LO, hi: float = HI, broadcast_terms: int = 2_000_000) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
     The edited text has the last quarter of the code points (rounded down) replaced by the first as many of the next row's.
@@ -139,36 +118,32 @@ def match(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: f
     # copies of a text count once, both for the terms and for the documents of the band
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     distinct = texts.select(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).distinct().count()
-    terms, _ = stored(lexicon(texts.distinct(), distinct, lo, hi), "lexicon")
+    terms, _ = stored(lexicon(texts.distinct(), distinct, lo, hi).withColumn("kept", kept_by(F.col("term"))), "lexicon")
     small = terms.count() <= broadcast_terms
     # the empty word stands for the row itself, so that rows without lexicon terms pass the join
-    terms = terms.select("term", F.lit(True).alias("known")).unionByName(terms.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(False).alias("known")))
+    terms = terms.unionByName(terms.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(0).alias("kept")))
 
     n, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     rows = ranged(docs, id_col, text_col).select("part", "rank", "id", "text", n.cast("long").alias("n_chars"), F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut)).alias("edited"))
-    rows = rows.select("part", "rank", "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), words_of(F.col("text")).alias("words"), words_of(F.col("edited")).alias("edited_words"))
-    # hashes travel in one column: each more makes the code of the aggregation below larger
-    rows = rows.withColumn("hashes", F.concat("edited_sha256", own_hash(F.col("words")), own_hash(F.col("edited_words"))))
+    rows = rows.select("part", "rank", "id", "n_chars", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"), words_of(F.col("text")).alias("words"), words_of(F.col("edited")).alias("edited_words"))
+    rows = rows.withColumns({"own_hash": own_hash(F.col("words")), "other_hash": own_hash(F.col("edited_words"))})
     both = F.array(F.struct(F.lit(False).alias("of_edited"), F.array_union("words", F.array(F.lit(""))).alias("words")), F.struct(F.lit(True).alias("of_edited"), F.col("edited_words").alias("words")))
-    said = rows.select("part", "rank", "id", "n_chars", "hashes", F.explode(both).alias("x"))
+    passed = ["part", "rank", "id", "n_chars", "sha", "own_hash", "other_hash"]
+    said = rows.select(*passed, F.explode(both).alias("x"))
     # the grouping below keeps to the partitions of `part`, so terms are dealt out only if the lexicon can't be broadcast
-    dealt = said.select("part", "rank", "id", "n_chars", "hashes", "x.of_edited", F.explode("x.words").alias("word")).select("part", "rank", "id", "n_chars", "hashes", "of_edited", F.xxhash64("word").alias("term"))
+    dealt = said.select(*passed, "x.of_edited", F.explode("x.words").alias("word")).select(*passed, "of_edited", F.xxhash64("word").alias("term"))
+    told = F.when(F.col("kept") != 0, F.struct("term", "kept"))
     held = (
         dealt.join(F.broadcast(terms) if small else terms, "term")
         .groupBy("part", "rank")
-        .agg(
-            F.first("id").alias("id"),
-            F.first("n_chars").alias("n_chars"),
-            F.first("hashes").alias("hashes"),
-            F.collect_list(F.when(F.col("known") & ~F.col("of_edited"), F.col("term"))).alias("own"),
-            F.collect_list(F.when(F.col("known") & F.col("of_edited"), F.col("term"))).alias("other"),
-        )
+        .agg(*(F.first(c).alias(c) for c in passed[2:]), F.collect_list(F.when(~F.col("of_edited"), told)).alias("own"), F.collect_list(F.when(F.col("of_edited"), told)).alias("other"))
     )
-    held = held.withColumns({"edited_sha256": F.substring("hashes", 1, 64), "own_hash": F.rtrim(F.substring("hashes", 65, 17)), "other_hash": F.rtrim(F.substring("hashes", 82, 17))}).drop("hashes")
-    both = with_fingerprint(with_fingerprint(held, "own", "fingerprint", "own_hash", subsets), "other", "edited_fingerprint", "other_hash", subsets)
-    prints = checkpointed(both.drop("own", "other", "own_hash", "other_hash"))
+    held = held.withColumns({c: F.when(F.col(c) == 0, F.lit("-")).otherwise(F.concat(F.lit("~"), F.lower(F.lpad(F.hex(c), 16, "0")))) for c in ("own_hash", "other_hash")})
+    both = with_fingerprint(with_fingerprint(held, "own", "fingerprint", "own_hash"), "other", "edited_fingerprint", "other_hash")
+    prints = checkpointed(both.select("part", "rank", "id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint"))
 
-    closing = prints.filter("rank = 1").select(F.col("part").alias("p"), F.col("fingerprint").alias("opening")).join(_before(prints), "p").select(F.col("before").alias("part"), "opening")
+    firsts = prints.filter("rank = 1").select(F.col("part").alias("p"), F.col("fingerprint").alias("opening"))
+    closing = firsts.join(_before(firsts.select("p")), "p").select(F.col("before").alias("part"), "opening")
     following = prints.withColumn("following", F.lead("fingerprint").over(W.partitionBy("part").orderBy("rank"))).join(closing, "part").withColumn("following", F.coalesce("following", "opening"))
     return following.select(
         F.col("id").alias(id_col),
@@ -181,12 +156,19 @@ def match(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo: f
     )
 
 
-def _rank_in(column: str, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at or below the value, by halving; 0 for null."""
-    array = f"cast(split('{','.join(map(str, bounds))}', ',') AS array<bigint>)"
+def own_hash(words: Column) -> Column:
+    """A hash of the words, 0 if there are none."""
+    return F.when(F.array_join(words, "") == "", F.lit(0).cast("long")).otherwise(F.xxhash64(words))
+
+
+def _rank_in(bounds: list[tuple[bool, int, int]]) -> Column:
+    """How many of the sorted bounds (there is an id, id, tie) are at or below the row's, by halving."""
+    columns = [f"cast(split('{','.join(str(int(b[k])) for b in bounds)}', ',') AS array<bigint>)" for k in range(3)]
     middle = "cast((s.lo + s.hi) div 2 AS int)"
+    bound = ", ".join(f"{c}[{middle}]" for c in columns)
+    row = "cast(id IS NOT NULL AS bigint), coalesce(id, 0L), tie"
     return F.expr(
         f"aggregate(sequence(1, {len(bounds).bit_length() + 1}), named_struct('lo', 0, 'hi', {len(bounds)}), (s, _) -> "
-        f"CASE WHEN s.lo >= s.hi THEN s WHEN {array}[{middle}] <= {column} THEN named_struct('lo', {middle} + 1, 'hi', s.hi) "
+        f"CASE WHEN s.lo >= s.hi THEN s WHEN struct({bound}) <= struct({row}) THEN named_struct('lo', {middle} + 1, 'hi', s.hi) "
         f"ELSE named_struct('lo', s.lo, 'hi', {middle}) END, s -> s.lo)"
     )
