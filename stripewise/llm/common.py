@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: ASCII white space: a word is a maximal run of anything else.
 SPACE = " \t\n\x0b\x0c\r"
@@ -92,5 +93,34 @@ def word_count(column: Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def bounded_sample(rows: DataFrame, most: int, most_bytes: int, group: str = "label") -> DataFrame:
+    """Of each group of `rows` (id, text, label) at most `most` distinct rows, and of these as many as have `most_bytes` of text together.
+
+    Those with the least hashes of id, text and label are taken, whatever the partitions; rows with over a sixteenth of the bytes
+    are never. What is not near the least hashes goes before anything is shuffled, so a group's ranking sees some 1.5 * most rows.
+    """
+    rows = rows.filter(16 * F.octet_length("text") <= most_bytes).withColumn("h", F.xxhash64("id", "text", "label")).withColumn("g", F.col(group))
+    share = F.least(F.lit(1.0), F.lit(1.5 * most + 20.0) / F.count("*"))
+    shares = rows.groupBy("g").agg(share.alias("share"))
+    near = rows.join(F.broadcast(shares), "g").filter((F.col("h").cast("double") + 2.0**63) / 2.0**64 < F.col("share"))  # one row for each group
+    once = near.groupBy("g", "h").agg(*(F.first(c).alias(c) for c in ("id", "text", "label")))
+    order = W.partitionBy("g").orderBy("h")
+    ranked = once.withColumns({"r": F.row_number().over(order), "bytes": F.sum(F.octet_length("text")).over(order.rowsBetween(W.unboundedPreceding, 0))})
+    return ranked.filter((F.col("r") <= most) & (F.col("bytes") <= most_bytes)).select("id", "text", "label", "h")
+
+
+def fresh_names(docs: DataFrame, *columns: str) -> dict[str, str]:
+    """For each of the wanted columns a name that `docs` lacks."""
+    taken = {c.lower() for c in docs.columns}
+    out = {}
+    for name in columns:
+        fresh = name
+        while fresh.lower() in taken:
+            fresh = f"_{fresh}"
+        taken.add(fresh.lower())
+        out[name] = fresh
+    return out
+
+
 def partitions_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

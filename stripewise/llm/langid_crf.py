@@ -1,13 +1,15 @@
 """Language identification by a linear-chain conditional random field over words.
 
-The words of a text (runs of letters, lower-cased) are labelled in chains of up to `CHAIN` consecutive words, which together
-cover the whole text. A word's potentials come from hashed affixes and byte n-grams, and from a lexicon of the training
-texts' words with their shares by language; transitions are learned on sequences spliced from texts of different
-languages, so that a chain may switch. Forward-backward gives each word's marginals; a document takes the language with the
-largest sum, and its share of the words is the score.
+The words of a text (runs of letters, lower-cased; runs of over 40 letters are cut into such) are labelled as one chain, however
+long the text. A word's potentials come from hashed affixes and byte n-grams, and from a lexicon of the training texts' words with their
+shares by language; transitions are learned on sequences spliced from texts of different languages, so that a chain may switch.
+Forward-backward gives each word's marginals; a document takes the language with the largest sum, and its share of the words is
+the score. Long chains are cut into blocks that are worked side by side: the product of a block's matrices carries the forward
+and backward messages over it, so the marginals are those of the whole chain.
 
-The model is fitted on the driver on at most `sample` rows of each language that are not held out, chosen by a hash of the
-id, and on `TRAIN_WORDS` words of each at most; the bounds are parameters. Prediction reads text only, in batches of bounded size.
+The model is fitted on the driver on at most `sample` rows of each language that are not held out and `sample_bytes` of their
+text, chosen by a hash; both are parameters, and with over TOTAL / `sample` languages each has the less. Of each text runs of words
+spread evenly over all of it are learned from. Prediction reads text only, in batches of bounded size.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and where nothing can be learned; ties go to the
 language first in code-point order; repeated rows are rows of their own; other columns are ignored; an empty table
@@ -26,17 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from stripewise.llm.common import split_of
+from stripewise.llm.common import bounded_sample, split_of
 
 FEATURES = 1 << 15
 CHAIN = 64
-SAMPLE = 300
+#: Rows of a language to fit on, their bytes, and rows of all languages.
+SAMPLE, SAMPLE_BYTES, TOTAL = 300, 16 << 20, 60_000
 TRAIN_WORDS = 60_000
-MAX_LANGUAGES = 256
 
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]{1,40}")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -48,7 +49,7 @@ def words_of(text: str | None) -> list[str]:
 
 def features_of(word: str) -> list[int]:
     """Hashed affixes of one to three characters, n-grams of three and four bytes, and the word itself if it is short."""
-    raw = f"^{word[:40]}$".encode("utf-8", "surrogatepass")
+    raw = f"^{word}$".encode("utf-8", "surrogatepass")
     mask = FEATURES - 1
     out = [crc32(word[:k].encode("utf-8", "surrogatepass"), 1) & mask for k in (1, 2, 3)]
     out += [crc32(word[-k:].encode("utf-8", "surrogatepass"), 2) & mask for k in (1, 2, 3)]
@@ -82,25 +83,32 @@ class Model:
         return (out + np.stack([self.lexicon.get(w, unknown) for w in words]) @ self.lexical).astype(np.float32)
 
 
-def forward_backward(potentials: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, first: np.ndarray, pairs: bool = False):
-    """Marginals (sequence, place, label) of chains padded to the same length, and the expected label pairs if asked for."""
+def forward_backward(potentials: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, first: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None, pairs: bool = False):
+    """Marginals (sequence, place, label) of chains padded to the same length, and the expected label pairs if asked for.
+
+    Parts of longer chains have what reaches their first places, by label (`start`, in place of `first`), and what comes
+    back to their last ones (`end`).
+    """
+    start = np.exp(first - first.max()) if start is None else start
     n, length, size = potentials.shape
     psi = np.exp(potentials - potentials.max(axis=2, keepdims=True))
     step = np.exp(transitions - transitions.max())
     alpha = np.empty_like(psi)
-    alpha[:, 0] = psi[:, 0] * np.exp(first - first.max())
-    alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
+    alpha[:, 0] = psi[:, 0] * start
+    alpha[:, 0] /= np.maximum(alpha[:, 0].sum(axis=1, keepdims=True), 1e-30)
     for t in range(1, length):
         a = (alpha[:, t - 1] @ step) * psi[:, t]
         alpha[:, t] = a / np.maximum(a.sum(axis=1, keepdims=True), 1e-30)
     beta = np.ones_like(psi)
+    if end is not None:
+        beta *= end[:, None, :]
     expected = np.zeros((size, size))
     for t in range(length - 2, -1, -1):
         ahead = psi[:, t + 1] * beta[:, t + 1]
         b = ahead @ step.T
         b /= np.maximum(b.sum(axis=1, keepdims=True), 1e-30)
         inside = (t < lengths - 1)[:, None]
-        beta[:, t] = np.where(inside, b, 1)
+        beta[:, t] = np.where(inside, b, beta[:, t])
         if pairs:
             both = alpha[:, t][:, :, None] * step * ahead[:, None, :]
             both /= np.maximum(both.sum(axis=(1, 2), keepdims=True), 1e-30)
@@ -110,6 +118,27 @@ def forward_backward(potentials: np.ndarray, lengths: np.ndarray, transitions: n
     return (marginals, expected) if pairs else marginals
 
 
+def block_matrices(potentials: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, opening: np.ndarray) -> np.ndarray:
+    """For each block what goes from the labels of the place before it to those of its last one; of a chain's opening block, from its first place on."""
+    n, length, size = potentials.shape
+    psi = np.exp(potentials - potentials.max(axis=2, keepdims=True))
+    step = np.exp(transitions - transitions.max())
+    out = np.where(opening[:, None, None], np.eye(size, dtype=psi.dtype), step) * psi[:, 0][:, None, :]
+    for t in range(1, length):
+        longer = (out.reshape(-1, size) @ step).reshape(n, size, size) * psi[:, t][:, None, :]
+        longer /= np.maximum(longer.max(axis=(1, 2), keepdims=True), 1e-30)
+        out = np.where((t < lengths)[:, None, None], longer, out)
+    return out / np.maximum(out.max(axis=(1, 2), keepdims=True), 1e-30)
+
+
+def spread(words: list[str], most: int, run: int = 16) -> list[str]:
+    """At most about `most` of the words, in runs that are spread evenly over all of them."""
+    if len(words) <= most:
+        return words
+    runs = max(1, most // run)
+    return [w for k in range(runs) for w in words[k * (len(words) - run) // max(1, runs - 1) :][:run]]
+
+
 def fit(texts: dict[str, list[str]], epochs: int = 4, chain: int = 16, sequences: int = 4000, batch: int = 200, rate: float = 0.3, seed: int = 3) -> Model:
     """A model of texts by language."""
     languages = sorted(texts)
@@ -119,8 +148,8 @@ def fit(texts: dict[str, list[str]], epochs: int = 4, chain: int = 16, sequences
         stream: list[str] = []
         for text in texts[language]:
             # each text gives a like part of the words, so one long text doesn't stand for its language
-            stream += words_of(text)[: max(50, TRAIN_WORDS // max(1, len(texts[language])))]
-        streams.append(stream[:TRAIN_WORDS] or ["a"])
+            stream += spread(words_of(text), max(50, TRAIN_WORDS // max(1, len(texts[language]))))
+        streams.append(stream or ["a"])
     counts = [Counter(s) for s in streams]
     lexicon = {}
     for word in set().union(*counts):
@@ -169,24 +198,16 @@ def fit(texts: dict[str, list[str]], epochs: int = 4, chain: int = 16, sequences
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, held: int = 2, sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, held: int = 2, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """The model of at most `sample` rows of each language whose crc32(id) modulo `mod` isn't `held`; None if there are none."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (split_of("id", mod) != held))
-    languages = known.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
-    if languages > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-    # ids are ranked first, in salted parts, and only the chosen rows' texts are read
-    dealt = known.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("salt", F.pmod("h", F.lit(64)))
-    parts = dealt.withColumn("r", F.row_number().over(W.partitionBy("lang", "salt").orderBy("h", "id"))).filter(F.col("r") <= sample)
-    chosen = parts.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).filter(F.col("r") <= sample).select("id", "lang").distinct()
-    rows = known.join(F.broadcast(chosen), ["id", "lang"])  # `sample` rows of each language
-    # whole long texts aren't needed to fit: the first words of each are what fit() takes
-    rows = rows.select("id", "lang", F.substring("text", 1, 8 * max(400, 8 * TRAIN_WORDS // sample)).alias("text")).orderBy("lang", F.xxhash64("id"), "id", F.xxhash64("text")).collect()
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
+    known = known.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & (split_of("id", mod) != held))
+    n = known.select("label").distinct().count()
+    each = max(1, min(sample, TOTAL // max(1, n)))
+    rows = bounded_sample(known, each, sample_bytes).orderBy("label", "h").collect()  # `each` rows of each language
     texts: dict[str, list[str]] = {}
     for row in rows:
-        if len(texts.setdefault(row.lang, [])) < sample:
-            texts[row.lang].append(row.text)
+        texts.setdefault(row.label, []).append(row.text)
     return fit(texts) if texts else None
 
 
@@ -220,30 +241,64 @@ class Labeller:
         self.learn(words)
         return np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def marginal_sums(self, potentials: list[np.ndarray]) -> np.ndarray:
-        """Sums of the words' marginals of each text."""
+    def marginal_sums(self, potentials: list[np.ndarray], chain: int = CHAIN) -> np.ndarray:
+        """Sums of the words' marginals of each text, by blocks of `chain` words."""
         n = np.array(list(map(len, potentials)))
-        out = np.zeros((len(n), len(self.model.languages)))
-        chains = -(-n // CHAIN)
-        if not chains.sum():
+        size = len(self.model.languages)
+        out = np.zeros((len(n), size))
+        blocks = -(-n // chain)
+        if not blocks.sum():
             return out
         flat = np.concatenate(potentials)
-        owner = np.repeat(np.arange(len(n)), chains)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(chains) - chains, chains)
-        start = np.repeat(np.cumsum(n) - n, chains) + within * CHAIN
-        lengths = np.minimum(np.repeat(n, chains) - within * CHAIN, CHAIN)
-        for lo in range(0, len(owner), 4096):
-            some = slice(lo, lo + 4096)
-            wide = int(lengths[some].max())
-            places = start[some][:, None] + np.arange(wide)
-            inside = np.arange(wide) < lengths[some][:, None]
+        owner = np.repeat(np.arange(len(n)), blocks)
+        opening = np.cumsum(blocks) - blocks
+        within = np.arange(len(owner)) - np.repeat(opening, blocks)
+        start = np.repeat(np.cumsum(n) - n, blocks) + within * chain
+        lengths = np.minimum(np.repeat(n, blocks) - within * chain, chain)
+        transitions = self.model.transitions.astype(np.float32)
+        step = np.exp(transitions - transitions.max())
+        first = np.exp(self.model.first - self.model.first.max()).astype(np.float32)
+
+        def padded(some: np.ndarray) -> np.ndarray:
+            places = start[some][:, None] + np.arange(int(lengths[some].max()))
             values = flat[np.minimum(places, len(flat) - 1)]
-            values[~inside] = 0
-            marginals = forward_backward(values, lengths[some], self.model.transitions.astype(np.float32), self.model.first.astype(np.float32))
+            values[np.arange(values.shape[1]) >= lengths[some][:, None]] = 0
+            return values
+
+        # messages over whole blocks, from the first block of each chain on and from its last one back
+        before = np.broadcast_to(first, (len(owner), size)).copy()
+        after = np.ones((len(owner), size), dtype=np.float32)
+        long = np.flatnonzero(blocks[owner] > 1)
+        if len(long):
+            matrices = np.empty((len(owner), size, size), dtype=np.float32)
+            for lo in range(0, len(long), 4096):
+                some = long[lo : lo + 4096]
+                matrices[some] = block_matrices(padded(some), lengths[some], transitions, within[some] == 0)
+            chains = np.flatnonzero(blocks > 1)
+            chains = chains[np.argsort(-blocks[chains], kind="stable")]
+            falling = -blocks[chains]
+            message = np.broadcast_to(first, (len(chains), size)).copy()
+            for k in range(int(blocks.max()) - 1):
+                some = chains[: np.searchsorted(falling, -k - 1, side="left")]  # more than k + 1 blocks
+                m = np.einsum("ni,nij->nj", message[: len(some)], matrices[opening[some] + k])
+                message = m / np.maximum(m.sum(axis=1, keepdims=True), 1e-30)
+                before[opening[some] + k + 1] = message @ step
+            # the shorter chains join in as the walk comes to their last blocks
+            message = np.ones((len(chains), size), dtype=np.float32)
+            for k in range(int(blocks.max()) - 1, 0, -1):
+                count = np.searchsorted(falling, -k, side="left")  # more than k blocks
+                some = chains[:count]
+                m = np.einsum("nij,nj->ni", matrices[opening[some] + k], message[:count])
+                message[:count] = m / np.maximum(m.sum(axis=1, keepdims=True), 1e-30)
+                after[opening[some] + k - 1] = message[:count]
+        for lo in range(0, len(owner), 4096):
+            some = np.arange(lo, min(lo + 4096, len(owner)))
+            marginals = forward_backward(padded(some), lengths[some], transitions, self.model.first, before[some], after[some])
+            inside = np.arange(marginals.shape[1]) < lengths[some][:, None]
             np.add.at(out, owner[some], (marginals * inside[:, :, None]).sum(axis=1))
         return out
 
-    def label(self, texts: Iterator[str | None], chunk: int = 100_000) -> Iterator[tuple[str, float]]:
+    def label(self, texts: Iterator[str | None], chunk: int = 250_000) -> Iterator[tuple[str, float]]:
         waiting, size = [], 0
         for text in texts:
             ids = self.ids_of(text)
@@ -283,8 +338,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang:
     return docs.mapInArrow(run, f"{schema}, `{lang}` string, `{score}` double")
 
 
-def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, held: int = 2, sample: int = SAMPLE) -> DataFrame:
+def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, held: int = 2, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """id, held_out, lang_pred and score of every row."""
-    model = train(docs, id_col, text_col, lang_col, mod, held, sample)
+    model = train(docs, id_col, text_col, lang_col, mod, held, sample, sample_bytes)
     found = identify(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), model)
     return found.select(F.col("id").alias(id_col), (split_of("id", mod) == held).alias("held_out"), "lang_pred", "score")

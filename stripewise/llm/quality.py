@@ -5,9 +5,9 @@ of its neighbours in the training texts, normalised; a document is pooled as the
 vectors, beside a few shares of surface forms. A network of two layers turns that into a logit, and a temperature fitted on rows that the
 training did not see turns the logit into a probability.
 
-The model is fitted on the driver on at most `sample` labelled rows, chosen by a hash of the id among those that are not
-held out; the bound is the parameter. Tokens that the sample lacks take their own index vector by shape. Scoring reads every
-whole text, in batches.
+The model is fitted on the driver on at most `sample` labelled rows and `sample_bytes` of their text, chosen by a hash among those
+that have a document and are not held out; both bounds are parameters. Tokens that the sample lacks take their own index vector
+by shape. Scoring reads every whole text, in batches, and very long ones in pieces that end at white space.
 
 Defined results: null and empty texts are scored like texts without tokens; rows of one id are scored each by its own text; if no
 label can be learned from (none, or one class only), scores are the share of label 1, or 0.5; other columns are
@@ -25,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stripewise.llm.common import split_of
+from stripewise.llm.common import bounded_sample, split_of
 
 DIM = 64
 SPARSE = 4
-#: Rows to fit on at most.
-SAMPLE = 5000
+#: Rows to fit on at most, and bytes of their texts. Characters of a piece of a long text.
+SAMPLE, SAMPLE_BYTES = 5000, 64 << 20
+PIECE = 200_000
 #: Of the fitted rows, every so many are kept from training, for the temperature.
 CALIBRATION = 5
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
+_SPACE = re.compile(r"\s")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -81,41 +83,78 @@ class Vectors:
 
     def pooled(self, text: str | None) -> np.ndarray:
         """Mean and spread of the tokens' vectors, and the surface shares."""
-        tokens = tokens_of(text or "")
-        if not tokens:
-            return np.zeros(2 * DIM + 8, dtype=np.float32)
         get, learn = self.ids.get, self.id_of
-        ids = np.fromiter((k if (k := get(t)) is not None else learn(t) for t in tokens), dtype=np.int64, count=len(tokens))
-        counts = np.bincount(ids, minlength=len(self.model.vectors)).astype(np.float32)
-        some = np.flatnonzero(counts)
-        weights = counts[some] / len(ids)
+        surface, parts, times, total = Surface(), [], [], 0
+        for piece in pieces_of(text or ""):
+            tokens = tokens_of(piece)
+            if tokens:
+                ids, counts = np.unique(np.fromiter((k if (k := get(t)) is not None else learn(t) for t in tokens), dtype=np.int64, count=len(tokens)), return_counts=True)
+                parts.append(ids)
+                times.append(counts)
+                total += len(tokens)
+            surface.add(piece, tokens)
+        if not total:
+            return np.zeros(2 * DIM + 8, dtype=np.float32)
+        some, counts = parts[0], times[0]
+        if len(parts) > 1:
+            some, where = np.unique(np.concatenate(parts), return_inverse=True)
+            counts = np.bincount(where, weights=np.concatenate(times))
+        weights = counts.astype(np.float32) / total
         vectors = self.model.vectors[some]
         mean = weights @ vectors
         spread = np.sqrt(np.maximum(weights @ (vectors * vectors) - mean * mean, 0))
-        return np.concatenate([mean, spread, surface(text, tokens)]).astype(np.float32)
-
-
-def surface(text: str, tokens: list[str]) -> np.ndarray:
-    """Shares that the order of tokens and their case hold, each between 0 and 1."""
-    n = len(tokens)
-    words = [t for t in tokens if t[0].isalnum() or t[0] == "_"]
-    m = max(1, len(words))
-    same = sum(map(str.__eq__, words[1:], words))
-    length = len(text)
-    letters = sum(map(len, words))
-    return np.array(
-        [
-            (n - len(words)) / n,
-            sum(map(str.isupper, words)) / m,
-            same / m,
-            len(set(words)) / m,
-            min(1.0, letters / m / 12),
-            letters / length,
-            min(1.0, text.count("\n") / m),
-            min(1.0, m / 200),
-        ],
-        dtype=np.float32,
-    )
+        return np.concatenate([mean, spread, surface.shares()]).astype(np.float32)
+
+
+def pieces_of(text: str, size: int | None = None) -> Iterator[str]:
+    """The text in pieces of about `size` characters that end at white space, so that no token is cut."""
+    size = size or PIECE
+    at = 0
+    while at < len(text):
+        if len(text) - at <= size:
+            yield text[at:]
+            return
+        end = _SPACE.search(text, at + size)
+        end = end.end() if end else len(text)
+        yield text[at:end]
+        at = end
+
+
+class Surface:
+    """Shares that the order of tokens and their case hold, each between 0 and 1, of a text given piece by piece."""
+
+    def __init__(self) -> None:
+        self.tokens = self.words = self.capital = self.same = self.letters = self.length = self.lines = 0
+        self.last: str | None = None
+        self.distinct: set[str] = set()
+
+    def add(self, text: str, tokens: list[str]) -> None:
+        words = [t for t in tokens if t[0].isalnum() or t[0] == "_"]
+        self.tokens += len(tokens)
+        self.words += len(words)
+        self.capital += sum(map(str.isupper, words))
+        self.same += sum(map(str.__eq__, words[1:], words)) + bool(words and words[0] == self.last)
+        self.letters += sum(map(len, words))
+        self.length += len(text)
+        self.lines += text.count("\n")
+        self.distinct.update(words)
+        self.last = words[-1] if words else self.last
+
+    def shares(self) -> np.ndarray:
+        m = max(1, self.words)
+        return np.array(
+            [
+                (self.tokens - self.words) / self.tokens,
+                self.capital / m,
+                self.same / m,
+                len(self.distinct) / m,
+                min(1.0, self.letters / m / 12),
+                self.letters / self.length,
+                min(1.0, self.lines / m),
+                min(1.0, m / 200),
+            ],
+            dtype=np.float32,
+        )
 
 
 @dataclass
@@ -228,12 +267,14 @@ def fit(texts: list[str], labels: list[int], hidden: int = 24, epochs: int = 40,
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", mod: int = 5, held: int = 0, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", mod: int = 5, held: int = 0, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """The model of at most `sample` labelled rows whose crc32(id) modulo `mod` isn't `held`."""
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(split_of("id", mod) != held)
-    known = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "id")  # `sample` rows
-    rows = rows.orderBy(F.xxhash64("id"), "id", "label", F.xxhash64("text")).limit(sample).collect()
+    # labels without a document don't use up the sample; ids alone are read for this
+    present = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
+    present = present.distinct().orderBy(F.xxhash64("id"), "id", "label").limit(2 * sample)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(present), "id")  # 2 * `sample` rows
+    rows = bounded_sample(rows.withColumn("all", F.lit(0)), sample, sample_bytes, group="all").orderBy("h").collect()
     return fit([r.text for r in rows], [r.label for r in rows])
 
 
@@ -259,8 +300,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     return docs.mapInArrow(run, f"{schema}, `{name}` double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", mod: int = 5, held: int = 0, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", mod: int = 5, held: int = 0, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """id, held_out, score and predicted of every row."""
-    model = train(docs, labels, id_col, text_col, mod=mod, held=held, sample=sample)
+    model = train(docs, labels, id_col, text_col, mod=mod, held=held, sample=sample, sample_bytes=sample_bytes)
     scored = score(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), model)
     return scored.select(F.col("id").alias(id_col), (split_of("id", mod) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stripewise.llm import imatch, langid_crf, lm_scoring, mixing, quality, token_counts
-from stripewise.llm.common import scratch_path
+from stripewise.llm.common import bounded_sample, scratch_path
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -395,6 +395,85 @@ def test_forward_backward_against_enumeration():
 # quality
 
 
+def test_long_texts_are_one_chain():
+    rng = np.random.default_rng(3)
+    model = langid_crf.Model(["a", "b", "c"], np.zeros((langid_crf.FEATURES, 3), np.float32), {}, np.zeros((3, 3)), rng.normal(0, 2, (3, 3)), rng.normal(size=3))
+    texts = [rng.normal(0, 1, (n, 3)).astype(np.float32) for n in (0, 1, 5, 64, 65, 200, 1000, 129, 128)]
+    whole = langid_crf.Labeller(model).marginal_sums(texts, chain=10_000)
+    for chain in (1, 7, 64):
+        assert np.allclose(langid_crf.Labeller(model).marginal_sums(texts, chain), whole, rtol=2e-3, atol=2e-3)
+
+
+def test_spread_takes_from_the_whole_text():
+    text = [str(k) for k in range(10_000)]
+    some = langid_crf.spread(text, 160)
+    assert len(some) == 160 and some[0] == "0" and some[-1] == "9999" and langid_crf.spread(text[:9], 16) == text[:9]
+    assert langid_crf.words_of("x" * 95) == ["x" * 40, "x" * 40, "x" * 15]
+
+
+def test_predictions_against_brute_force(docs):
+    """Every text by one loop over its words, without blocks, batches or remembered potentials."""
+    model = langid_crf.train(docs)
+    step = np.exp(model.transitions - model.transitions.max())
+    got = {r.doc_id: r for r in langid_crf.languages(docs).collect()}
+    for r in docs.filter("doc_id % 3 = 0").collect():
+        words_ = langid_crf.words_of(r.text)
+        if not words_:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        psi = np.exp(np.concatenate([model.potentials([w]) for w in words_]).astype(np.float64))
+        alpha, beta = [psi[0] * np.exp(model.first)], [np.ones(len(model.languages))]
+        for p in psi[1:]:
+            a = (alpha[-1] @ step) * p
+            alpha.append(a / a.sum())
+        for p in psi[:0:-1]:
+            b = step @ (p * beta[-1])
+            beta.append(b / b.sum())
+        marginals = np.array(alpha) * np.array(beta[::-1])
+        sums = (marginals / marginals.sum(axis=1, keepdims=True)).sum(axis=0)
+        assert got[r.doc_id].score == pytest.approx(sums.max() / len(words_), abs=2e-3)
+        assert got[r.doc_id].lang_pred == model.languages[int(sums.argmax())] or np.sort(sums)[-1] - np.sort(sums)[-2] < 1e-2
+
+
+def test_samples_are_bounded_and_spread(spark):
+    rows = [(k, "same text", "a") for k in range(400)] + [(7, "hot", "b")] * 500 + [(k, "y" * 5000, "c") for k in range(50)]
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    got = collections.Counter(r.label for r in bounded_sample(df, 100, 400_000).collect())
+    assert got["a"] == 100 and got["b"] == 1 and got["c"] == 50
+    assert collections.Counter(r.label for r in bounded_sample(df, 100, 160_000).collect())["c"] <= 32
+    again = bounded_sample(df.repartition(5), 100, 400_000).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, bounded_sample(df, 100, 400_000).collect()))
+
+
+def test_quality_scores_against_brute_force(spark):
+    """Pooling token by token, and the network's sums one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    for r in docs.filter("doc_id % 40 = 0").collect():
+        tokens = re.findall(r"\w+|[^\w\s]+", r.text or "")
+        x = np.zeros(2 * quality.DIM + 8)
+        if tokens:
+            rows = [model.vectors[model.vocabulary.get(t, model.shapes.get(quality.shape_of(t), len(model.vectors) - 1))] for t in tokens]
+            x[: quality.DIM], x[quality.DIM : -8] = np.mean(rows, axis=0), np.std(rows, axis=0)
+            ws = [t for t in tokens if t[0].isalnum() or t[0] == "_"]
+            m = max(1, len(ws))
+            x[-8:] = [1 - len(ws) / len(tokens), sum(t.isupper() for t in ws) / m, sum(a == b for a, b in zip(ws, ws[1:], strict=False)) / m, len(set(ws)) / m, min(1, sum(map(len, ws)) / m / 12), sum(map(len, ws)) / len(r.text), min(1, r.text.count("\n") / m), min(1, m / 200)]
+        hidden = [math.tanh(sum((x - model.centre) / model.scale * model.w1[:, j]) + model.b1[j]) for j in range(model.w1.shape[1])]
+        score = 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, model.w2, strict=True)) + model.b2) / model.temperature))
+        assert got[r.doc_id].score == pytest.approx(score, abs=2e-3) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
+
+
+def test_long_texts_are_pooled_in_pieces(monkeypatch):
+    model = quality.fit(["good words here, and more of them"] * 3 + ["BAD!!! BAD bad 99"] * 3, [1, 1, 1, 0, 0, 0])
+    text = "Some good words, some BAD ones 12\n " * 300
+    whole = quality.Vectors(model).pooled(text)
+    monkeypatch.setattr(quality, "PIECE", 100)
+    assert "".join(quality.pieces_of(text)) == text
+    assert np.allclose(quality.Vectors(model).pooled(text), whole, atol=1e-5)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
