@@ -9,11 +9,14 @@ caught while a chance likeness of templates is not. A document is reported with
 
 Documents are read once; a bitmap of 2**22 flags, whatever the size of the benchmark, keeps windows that can't match from
 being dealt out at all, and the join on the full hash decides: a window that passes goes in both forms, and its template is
-set aside only where the same item is known to hold it word by word. Benchmark items shorter than a window are sought as a whole.
-Items without a template window (those, and items in which no window has enough literal words) are also sought by one template
-of the whole item, in which capitalised function words stay words; it holds if its slots are consistent, and it is made for
-items in which two tokens at least are given, as literal words or as values that come again. With fewer (`12 + 15`, a single
-name) any numbers or names would do: those are sought in plain form only. Each length of such items is a pass over the tokens.
+set aside only where the same item is known to hold it word by word. Equal items are sought once. Windows are hashed by doubling:
+every further length costs one step over the tokens.
+
+Benchmark items shorter than a window are sought as a whole. Items in which too few windows have enough literal words to reach the
+share as templates (short items, and those that are mostly numbers and names) are also sought by one template of the whole item, in
+which capitalised function words stay words; it holds if its slots are consistent, and it is made for items in which two tokens
+at least are given, as literal words or as values that come again. With fewer (`12 + 15`, a single name) any numbers or
+names would do: those are sought in plain form only.
 
 Defined results: null and empty texts and items match nothing; rows that share an id are judged together, null ids too;
 repeated items are reported by their item_id each; other columns are ignored; an empty table gives no rows.
@@ -39,6 +42,7 @@ RUN = 50
 LEAST_LITERAL = 5
 LEAST_GIVEN = 2
 FILTER_BITS = 22
+BROADCAST_WINDOWS = 100_000
 
 UNITS = frozenset(
     "% percent km m cm mm mi mile miles ft foot feet inch inches yd yard yards kg g mg lb lbs oz ton tons tonne tonnes l ml litre litres liter liters gallon gallons "
@@ -107,13 +111,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _window_hashes(tokens: np.ndarray, length: int, seed: int) -> np.ndarray:
-    n = len(tokens) - length + 1
-    total = np.full(n, np.uint64(seed * 2 + length * 64 + 1))
-    for k in range(length):
-        total = total * _ODD + tokens[k : k + n]
-        total ^= total >> np.uint64(31)
-    return _mixed(total)
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _ODD
+    x += b
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 class Chunk:
@@ -137,6 +141,7 @@ class Chunk:
         self.template = np.where(kinds == _WORD, self.plain, _MARKS[kinds])
         self._common = common
         self._canon = canon
+        self._doubled: dict[int, list[np.ndarray]] = {}
 
     @cached_property
     def whole_kinds(self) -> np.ndarray:
@@ -147,11 +152,24 @@ class Chunk:
     def whole_template(self) -> np.ndarray:
         return np.where(self.whole_kinds == _WORD, self.plain, _MARKS[self.whole_kinds])
 
+    def hashes(self, length: int, form: int) -> np.ndarray:
+        """Hashes of all windows of a length: two windows of a power of two that overlap, each paired from two of half of it."""
+        levels = self._doubled.get(form)
+        if levels is None:
+            levels = self._doubled[form] = [(self.template, self.plain, self.whole_template)[form] + np.uint64(form + 1)]
+        power = length.bit_length() - 1
+        while len(levels) <= power:
+            half = 1 << (len(levels) - 1)
+            levels.append(_paired(levels[-1][:-half], levels[-1][half:]))
+        n = len(self.flat) - length + 1
+        last = length - (1 << power)
+        return _mixed(_paired(levels[power][:n], levels[power][last : last + n]) + np.uint64(length))
+
     def windows(self, length: int, plain: bool, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the window at each place, and whether it lies in one text and says enough; templates of whole items need a slot only."""
         if len(self.flat) < length:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        hashes = _window_hashes(self.plain if plain else self.whole_template if whole else self.template, length, 2 if whole else int(plain))
+        hashes = self.hashes(length, 1 if plain else 2 if whole else 0)
         good = self.text[length - 1 :] == self.text[: len(hashes)]
         if not plain:
             literal = np.concatenate([[0], np.cumsum((self.whole_kinds if whole else self.kinds) == _WORD)])
@@ -167,8 +185,8 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """All windows of all items: WINDOW_SCHEMA."""
+def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """All windows of all items, and templates of whole items whose windows can't reach the share as templates: WINDOW_SCHEMA."""
     kept = items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
     key = kept.schema["item_id"].dataType.simpleString()
 
@@ -186,7 +204,7 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
                     hashes, good = chunk.windows(length, plain)
                     rows += [(key_.as_py(), int(hashes[k : k + 1].view(np.int64)[0]), k, windows, length, plain, False, [] if plain else chunk.slots(k, length)) for k in np.flatnonzero(good).tolist()]
                     templates += 0 if plain else int(good.sum())
-                if not templates:
+                if templates < 2 * share * windows:
                     hashes, good = chunk.windows(tokens, False, whole=True)
                     slots = chunk.slots(0, tokens, whole=True)
                     if good[0] and tokens - len(set(slots)) >= LEAST_GIVEN:
@@ -203,7 +221,7 @@ def _candidates(docs: DataFrame, flags, lengths: list[tuple[int, bool]], id_col:
     key = kept.schema["key"].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes, canon = np.unpackbits(np.frombuffer(flags.value, dtype=np.uint8)), Canon()
+        passes, canon = np.unpackbits(np.frombuffer(flags.value, dtype=np.uint8), bitorder="little"), Canon()
 
         def found(keys: list, ids: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
             chunk, rows = Chunk(canon, ids), []
@@ -241,17 +259,23 @@ def _candidates(docs: DataFrame, flags, lengths: list[tuple[int, bool]], id_col:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
     """id, item_id, windows (of the item that hold), item_windows, share and verbatim (no slot differs) of contaminated documents."""
     spark = docs.sparkSession
-    bench = checkpointed(benchmark_windows(items, item_col, item_text, window))
-    # at most 2**22 places, whatever the benchmark
-    places = np.array([r.p for r in bench.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("p")).distinct().collect()], dtype=np.int64)
-    bits = np.zeros(1 << FILTER_BITS, dtype=np.uint8)
-    bits[places] = 1
-    flags = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    # only items shorter than a window or without a template window need windows of other lengths
+    # equal items are one unit, told apart again at the end
+    units = checkpointed(items.select(F.col(item_col).alias("named"), F.col(item_text).cast("string").alias("text")).filter("text IS NOT NULL").distinct().withColumn("unit", F.xxhash64("text")))
+    bench = checkpointed(benchmark_windows(units.select("unit", "text").distinct(), "unit", "text", window, share))
+    # 2**22 places as 65,536 numbers of 64 bits, whatever the benchmark
+    place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    words = bench.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((shiftrightunsigned(hash, {64 - FILTER_BITS}) & 63) AS int))")).alias("bits")).collect()
+    bits = np.zeros(1 << max(0, FILTER_BITS - 6), dtype=np.int64)
+    bits[[r.word for r in words]] = [r.bits for r in words]
+    flags = spark.sparkContext.broadcast(bits.tobytes())
+    # only items shorter than a window or with too few templates need windows of other lengths
     lengths = sorted((r.length, r.whole) for r in bench.select("length", "whole").distinct().collect())
 
     found = _candidates(docs, flags, lengths, id_col, text_col, window)
-    met = found.join(bench.select("item_id", "hash", F.col("place").alias("item_place"), "windows", F.col("plain").alias("item_plain"), "whole", F.col("slots").alias("item_slots")), "hash").filter(F.col("plain") == F.col("item_plain"))
+    wanted = bench.select("item_id", "hash", F.col("place").alias("item_place"), "windows", F.col("plain").alias("item_plain"), "whole", F.col("slots").alias("item_slots"))
+    # a window that very many documents share stays where they are if the benchmark's windows are few, else AQE splits it
+    wanted = F.broadcast(wanted) if bench.count() <= BROADCAST_WINDOWS else wanted
+    met = found.join(wanted, "hash").filter(F.col("plain") == F.col("item_plain"))
     met = met.filter(F.size("slots") == F.size("item_slots")).withColumn("same", F.col("slots") == F.col("item_slots"))
     met = checkpointed(met)  # read three times below; the texts are searched once
 
@@ -286,10 +310,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         runs = runs.select(F.col("key").alias("k"), F.col("item_id").alias("i"), F.lit(True).alias("ran")).distinct()
         judged = judged.join(runs, F.col("key").eqNullSafe(F.col("k")) & F.col("item_id").eqNullSafe(F.col("i")), "left")
         enough = enough | F.col("ran").isNotNull()
-    return (
-        judged.filter(enough)
-        .select(F.col("key").alias(id_col), "item_id", F.col("n").alias("windows"), F.col("windows").alias("item_windows"), (F.col("n") / F.col("windows")).alias("share"), "verbatim")
-    )
+    reported = judged.filter(enough).select("key", F.col("item_id").alias("unit"), F.col("n").alias("windows"), F.col("windows").alias("item_windows"), (F.col("n") / F.col("windows")).alias("share"), "verbatim")
+    return reported.join(units.select("unit", F.col("named").alias("item_id")), "unit").select(F.col("key").alias(id_col), "item_id", "windows", "item_windows", "share", "verbatim")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

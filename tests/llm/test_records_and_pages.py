@@ -162,6 +162,43 @@ def test_items_without_a_template_window_are_found_with_other_values(spark):
     assert not hits[0, 1].verbatim and hits[8, 1].verbatim and hits[3, 2].share == 1.0
 
 
+def test_recall_and_precision_of_reparameterised_items(spark):
+    """Items of 4 to 40 tokens with a tenth to two thirds of slots, asked again with other numbers, names and units."""
+    rng = random.Random(11)
+    literals = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    names, units = ["Anna", "Boris", "Clara", "Dario", "Elsa", "Felix"], ["km", "kg", "miles", "hours", "litres", "euros"]
+
+    def ask(form, values):
+        return " ".join(values.get(x, x) for x in form)
+
+    def valued(form):
+        return {x: str(rng.randrange(2, 999)) if x[0] == "#" else rng.choice(names) if x[0] == "@" else rng.choice(units) for x in dict.fromkeys(form) if x[0] in "#@&"}
+
+    forms = []
+    for length in range(4, 41):
+        for share in (0.1, 0.3, 0.5, 0.65):
+            form = [rng.choice(literals) for _ in range(length)]
+            for k in rng.sample(range(length), max(1, int(share * length))):
+                form[k] = rng.choice("#@#") + str(rng.randrange(3))
+                if form[k][0] == "#" and k + 1 < length and rng.random() < 0.5:
+                    form[k + 1] = f"&{rng.randrange(2)}"
+            if sum(x[0] not in "#@&" for x in form) >= 2:
+                forms.append(form)
+    bench = spark.createDataFrame([(k, ask(f, valued(f))) for k, f in enumerate(forms)], "item_id long, text string")
+
+    def filler():
+        return " ".join(rng.choice([rng.choice(literals), rng.choice(literals), str(rng.randrange(99)), rng.choice(names)]) for _ in range(60))
+
+    docs = [f"{filler()} {ask(f, valued(f))} {filler()}" for f in forms]
+    # the same slots around other words, and the words in another order
+    clean = [filler() for _ in range(200)] + [ask([x if x[0] in "#@&" else rng.choice(literals) for x in f], valued(f)) for f in forms if len(f) > 7] + [ask(rng.sample(f, len(f)), valued(f)) for f in forms if len(f) > 11]
+    hits = set(found(spark, bench, *docs, *clean))
+    caught = sum((k, k) in hits for k in range(len(forms)))
+    wrong = [x for x in hits if x[0] != x[1]]
+    assert caught >= 0.9 * len(forms) and len(wrong) <= 0.02 * len(docs + clean), (caught, len(forms), len(wrong))
+    print("caught", caught, "of", len(forms), "wrong", len(wrong), "of", len(docs + clean))
+
+
 def test_long_runs_of_long_items_are_found(spark):
     passage = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(350)]
     bench = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
