@@ -95,9 +95,40 @@ def decimal_text(x: Column) -> Column:
     return F.when(x % 1 == 0, x.cast("decimal(38,0)").cast("string")).otherwise(x.cast("string"))
 
 
-def decimal_unscaled(x: Column, scale: int) -> Column:
-    """The digits of a decimal of this scale as an integer."""
-    return (x * F.lit(10**scale).cast("decimal(38,0)")).cast("decimal(38,0)")
+def decimal_unscaled(x: Column, scale: int, precision: int = 38) -> Column:
+    """The digits of a decimal of this scale as an integer, of all 38 digits if need be.
+
+    A product that fits 38 digits is computed as such; wider decimals lose digits in products, so theirs are taken from the text.
+    """
+    if precision + scale + 2 <= 38:
+        return (x * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("decimal(38,0)")
+    return F.translate(F.format_number(x, scale), ",.", "").cast("decimal(38,0)")
+
+
+def decimal_scale(x: Column, scale: int) -> Column:
+    """What the stream of scales holds: the scale for every value that is there."""
+    return F.when(x.isNotNull(), F.lit(scale))
+
+
+def _little_endian(bits: Column, digits: int) -> Column:
+    def turned(x: Column) -> Column:
+        told = F.lpad(F.hex(x), digits, "0")
+        return F.unhex(F.concat(*(F.substring(told, k, 2) for k in range(digits - 1, 0, -2))))
+
+    # the bits are asked for once, and then turned
+    return F.element_at(F.transform(F.array(bits), turned), 1)
+
+
+def double_bytes(x: Column) -> Column:
+    """The eight bytes of a double, the lowest first; NaN has one form."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.coalesce(x.cast("double"), F.lit(0.0)))
+    return F.when(x.isNotNull(), _little_endian(bits.cast("long"), 16))
+
+
+def float_bytes(x: Column) -> Column:
+    """The four bytes of a float, the lowest first; NaN has one form."""
+    bits = F.call_function("java_method", F.lit("java.lang.Float"), F.lit("floatToIntBits"), F.coalesce(x.cast("float"), F.lit(0.0).cast("float")))
+    return F.when(x.isNotNull(), _little_endian(bits.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), 8))
 
 
 def byte_length(x: Column) -> Column:

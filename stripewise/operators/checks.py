@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from stripewise.operators.statistics import column_statistics
 
 
-def verify_list(df: DataFrame, column: str) -> DataFrame:
-    """expected (sum of lengths), found (exploded elements) and holds."""
-    said = df.agg(F.coalesce(F.sum(F.when(F.col(column).isNotNull(), F.size(column))), F.lit(0)).cast("long").alias("expected"))
+def verify_list(df: DataFrame, column: str, lengths: str | None = None) -> DataFrame:
+    """expected (sum of lengths), found (exploded elements) and holds. lengths: a column that says them, where they are stored apart."""
+    length = F.col(lengths) if lengths else F.when(F.col(column).isNotNull(), F.size(column))
+    said = df.agg(F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("expected"))
     found = df.select(F.explode(column)).agg(F.count("*").alias("found"))
     return _side_by_side(said, found).select("expected", "found", (F.col("expected") == F.col("found")).alias("holds"))
 
 
-def verify_map(df: DataFrame, column: str) -> DataFrame:
-    """expected, keys, values and holds: as many keys and values as the lengths say."""
-    said = df.agg(F.coalesce(F.sum(F.when(F.col(column).isNotNull(), F.size(column))), F.lit(0)).cast("long").alias("expected"))
-    keys = df.select(F.explode(F.map_keys(column))).agg(F.count("*").alias("keys"))
-    values = df.select(F.explode(F.map_values(column))).agg(F.count("*").alias("values"))
+def verify_map(df: DataFrame, column: str | tuple[str, str], lengths: str | None = None) -> DataFrame:
+    """expected, keys, values and holds: as many keys and values as the lengths say. column: a map, or a list of keys and one of values."""
+    parts = (F.map_keys(column), F.map_values(column)) if isinstance(column, str) else tuple(map(F.col, column))
+    length = F.col(lengths) if lengths else F.when(parts[0].isNotNull(), F.size(parts[0]))
+    said = df.agg(F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("expected"))
+    keys, values = (df.select(F.explode(x)).agg(F.count("*").alias(name)) for x, name in zip(parts, ("keys", "values"), strict=True))
     both = _side_by_side(_side_by_side(said, keys), values)
     return both.select("expected", "keys", "values", ((F.col("expected") == F.col("keys")) & (F.col("expected") == F.col("values"))).alias("holds"))
 
@@ -39,14 +41,17 @@ def verify_union(df: DataFrame, column: str, variants: int) -> DataFrame:
     return df.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
 
 
-def verify_struct(df: DataFrame, column: str) -> DataFrame:
-    """present: rows whose struct is there; stray: rows without it that have a field; holds."""
-    fields = df.schema[column].dataType.names
+def verify_struct(df: DataFrame, column: str, present: str | None = None) -> DataFrame:
+    """present: rows whose struct is there; stray: rows without it that have a field; holds.
+
+    present: a column that says whether it is there, where that is stored apart from the fields.
+    """
+    there = F.coalesce(F.col(present), F.lit(False)) if present else F.col(column).isNotNull()
     held = F.lit(False)
-    for name in fields:
+    for name in df.schema[column].dataType.names:
         held = held | F.col(column)[name].isNotNull()
-    stray = F.count_if(F.col(column).isNull() & F.coalesce(held, F.lit(False)))
-    return df.agg(F.count_if(F.col(column).isNotNull()).alias("present"), stray.alias("stray")).select("present", "stray", (F.col("stray") == 0).alias("holds"))
+    stray = F.count_if(~there & F.coalesce(held, F.lit(False)))
+    return df.agg(F.count_if(there).alias("present"), stray.alias("stray")).select("present", "stray", (F.col("stray") == 0).alias("holds"))
 
 
 def verify_rows(df: DataFrame, expected: int) -> DataFrame:

@@ -30,6 +30,37 @@ def with_row_number(df: DataFrame, order_by: Sequence[str | Column], name: str =
     return placed.join(F.broadcast(offsets), "__range").withColumn(name, F.col("__offset") + F.col("__place").bitwiseAND(F.lit(_LOCAL))).drop("__range", "__place", "__offset")
 
 
+def in_ranges(df: DataFrame, by: Sequence[str], order_by: str, name: str = "range") -> DataFrame:
+    """df with the range of (by, order_by) that each row was dealt to, numbered in order, so that a key of any size is in many."""
+    return settled(df.repartitionByRange(*by, order_by).withColumn(name, F.spark_partition_id()))
+
+
+def with_previous(ranged: DataFrame, column: str, by: Sequence[str], order_by: str, name: str, first: str, range_name: str = "range") -> DataFrame:
+    """Rows of `in_ranges` with the column's value in the row before of the same `by`, and whether there is none before.
+
+    Rows look back within their range; a range's first row of a key takes the last value of the ranges before it, which is one
+    row for each range and key.
+    """
+    within = W.partitionBy(range_name, *by).orderBy(order_by)
+    ends = ranged.groupBy(range_name, *by).agg(F.max_by(F.struct(F.col(column).alias("x")), order_by).alias("last"))
+    carried = F.lag("last").over(W.partitionBy(*by).orderBy(range_name))
+    ends = ends.select(F.col(range_name).alias("__range"), *(F.col(c).alias(f"__by_{k}") for k, c in enumerate(by)), carried.alias("__carried"))
+    on = [F.col(range_name) == F.col("__range"), *(F.col(c).eqNullSafe(F.col(f"__by_{k}")) for k, c in enumerate(by))]
+    looked = ranged.withColumns({"__place": F.row_number().over(within), "__before": F.lag(column).over(within)}).join(ends, on)
+    opens = F.col("__place") == 1
+    return looked.withColumns({name: F.when(opens, F.col("__carried.x")).otherwise(F.col("__before")), first: opens & F.col("__carried").isNull()}).drop("__place", "__before", "__carried", "__range", *(f"__by_{k}" for k in range(len(by))))
+
+
+def with_running_sum(ranged: DataFrame, column: str, by: Sequence[str], order_by: str, name: str, range_name: str = "range") -> DataFrame:
+    """Rows of `in_ranges` with the sum of the column up to and with each row of the same `by`: within ranges, then over their totals."""
+    within = W.partitionBy(range_name, *by).orderBy(order_by).rowsBetween(W.unboundedPreceding, 0)
+    totals = ranged.groupBy(range_name, *by).agg(F.sum(column).alias("__total"))
+    before = F.sum("__total").over(W.partitionBy(*by).orderBy(range_name)) - F.col("__total")
+    totals = totals.select(F.col(range_name).alias("__range"), *(F.col(c).alias(f"__by_{k}") for k, c in enumerate(by)), before.alias("__earlier"))
+    on = [F.col(range_name) == F.col("__range"), *(F.col(c).eqNullSafe(F.col(f"__by_{k}")) for k, c in enumerate(by))]
+    return ranged.withColumn(name, F.sum(column).over(within)).join(totals, on).withColumn(name, F.col(name) + F.col("__earlier")).drop("__earlier", "__range", *(f"__by_{k}" for k in range(len(by))))
+
+
 def assign_row_groups(df: DataFrame, order_by: Sequence[str | Column], stride: int = STRIDE, name: str = "row_group") -> DataFrame:
     """df with the number of each row's group of `stride` rows in the order; the last group may be smaller."""
     if stride < 1:

@@ -55,7 +55,7 @@ def _integer_total(x: Column) -> Column:
     return (high * F.lit(1 << 42).cast("decimal(13,0)") + middle * F.lit(1 << 21).cast("decimal(7,0)") + low).cast("decimal(38,0)")
 
 
-def measures(kind: str, x: Column, scale: int = 0) -> dict[str, Column]:
+def measures(kind: str, x: Column, scale: int = 0, precision: int = 38) -> dict[str, Column]:
     """Aggregates over the non-null values of a column of this kind."""
     if kind == "boolean":
         return {"true_count": F.count_if(x), "false_count": F.count_if(~x)}
@@ -68,7 +68,7 @@ def measures(kind: str, x: Column, scale: int = 0) -> dict[str, Column]:
         wide = x.cast("double")
         return {"double_min": F.min(wide), "double_max": F.max(wide), "double_sum": F.coalesce(F.sum(wide), F.lit(0.0))}
     if kind == "decimal":
-        whole = E.decimal_unscaled(x, scale)
+        whole = E.decimal_unscaled(x, scale, precision)
         return {"decimal_min": F.min(whole), "decimal_max": F.max(whole), "decimal_total": _total(whole)}
     if kind == "timestamp":
         millis = E.epoch_millis(x)
@@ -91,7 +91,7 @@ def column_label(node: Node) -> str:
 
 def _row(node: Node, value: Column, counted: Column | None) -> Column:
     """The struct of a node's measures. counted: whether a row has a value, be it null, for the node; None if every row has."""
-    own = measures(node.kind, value, _scale(node) or 0)
+    own = measures(node.kind, value, _scale(node) or 0, node.data_type.precision if isinstance(node.data_type, T.DecimalType) else 38)
     if counted is None:
         own |= {"num_values": F.count(F.lit(1)), "num_present": F.count(value)}
     else:

@@ -372,10 +372,7 @@ def union_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("int_deltas", "SELECT event_id, user_id - lag(user_id) OVER (PARTITION BY event_type ORDER BY event_id) AS delta FROM events")
 def int_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    before = F.lag("user_id").over(W.partitionBy("event_type").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select("event_id", E.wrapping_delta(F.col("user_id"), before).alias("delta"))
+    return runs.deltas(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), "user_id", "event_id", ["event_type"]).select("event_id", "delta")
 
 
 @query(
@@ -395,26 +392,118 @@ def _encoded(spark: SparkSession, sf_dir: str, column, encoder: str) -> DataFram
     return found.select("row_group", "n", F.length("encoded").alias("bytes"), F.hex("encoded").alias("encoded"))
 
 
-@query("byte_rle")
+def _rle_sql(values: str, n: str, run: str, head: str, number: str) -> str:
+    """The encoder as a walk over places, for a list of (row_group, k, x).
+
+    values: the rows; n: how many values a row group has, for the report; run: the length of the run at a place from the ends
+    of stretches; head: the bytes of a run; number: the bytes of a literal.
+    """
+    return f"""
+WITH RECURSIVE v AS ({values}),
+s AS (SELECT row_group, k, x, lead(x) OVER g - x AS d FROM v WINDOW g AS (PARTITION BY row_group ORDER BY k)),
+c AS (SELECT *, count(*) OVER (PARTITION BY row_group) AS size, CASE WHEN lead(d) OVER (PARTITION BY row_group ORDER BY k) IS DISTINCT FROM d THEN k END AS stop_d,
+  CASE WHEN d IS DISTINCT FROM 0 THEN k END AS stop_x FROM s),
+r AS (SELECT row_group, k, x, d, size, least(130, {run}) AS run FROM (
+  SELECT *, min(stop_d) OVER w AS end_d, min(stop_x) OVER w AS end_x FROM c WINDOW w AS (PARTITION BY row_group ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))),
+walk AS (
+  SELECT row_group, max(size) AS size, 0 AS place, 0 AS pending, NULL::INT AS lit, NULL::INT AS lits, NULL::INT AS first, NULL::INT AS length FROM r GROUP BY row_group
+  UNION ALL
+  SELECT w.row_group, w.size,
+    (CASE WHEN t THEN w.place + r.run ELSE w.place + 1 END)::INT,
+    (CASE WHEN t THEN w.place + r.run WHEN w.place + 1 - w.pending = 128 THEN w.place + 1 ELSE w.pending END)::INT,
+    CASE WHEN (t AND w.place > w.pending) OR (NOT t AND w.place + 1 - w.pending = 128) THEN w.pending END,
+    (CASE WHEN t AND w.place > w.pending THEN w.place - w.pending WHEN NOT t AND w.place + 1 - w.pending = 128 THEN 128 END)::INT,
+    CASE WHEN t THEN w.place END, (CASE WHEN t THEN r.run END)::INT
+  FROM walk w JOIN r ON r.row_group = w.row_group AND r.k = w.place, LATERAL (SELECT r.run >= 3 AND w.place - w.pending + 2 < 128 AS t)
+),
+g AS (
+  SELECT row_group, lit AS first, lits AS length, false AS is_run FROM walk WHERE lit IS NOT NULL
+  UNION ALL SELECT row_group, first, length, true FROM walk WHERE first IS NOT NULL
+  UNION ALL SELECT row_group, pending, (size - pending)::INT, false FROM walk WHERE place = size AND pending < size
+),
+b AS (
+  SELECT g.row_group, g.first, {head} AS hex FROM g JOIN r ON r.row_group = g.row_group AND r.k = g.first WHERE is_run
+  UNION ALL
+  SELECT g.row_group, g.first, printf('%02X', 256 - g.length) || string_agg({number}, '' ORDER BY r.k)
+  FROM g JOIN r ON r.row_group = g.row_group AND r.k >= g.first AND r.k < g.first + g.length WHERE NOT is_run GROUP BY g.row_group, g.first, g.length
+),
+e AS (SELECT row_group, string_agg(hex, '' ORDER BY first) AS encoded FROM b GROUP BY row_group)
+SELECT e.row_group, n, cast(length(encoded) // 2 AS int) AS bytes, encoded FROM e JOIN ({n}) AS m ON m.row_group = e.row_group
+"""
+
+
+_EVENT_N = f"SELECT row_group, cast(count(*) AS int) AS n FROM ({_EVENT_ROWS}) GROUP BY row_group"
+_EVENT_X = f"SELECT row_group, (row_number() OVER (PARTITION BY row_group ORDER BY event_id) - 1)::INT AS k, {{}} AS x FROM ({_EVENT_ROWS})"
+_SAME, _STEPS = "end_x - k + 1", "CASE WHEN k + 2 >= size OR d NOT BETWEEN -128 AND 127 THEN 1 ELSE least(end_d, size - 2) - k + 2 END"
+
+
+def _varint_sql(x: str) -> str:
+    """Numbers below 2**28 as base-128 bytes."""
+    return f"CASE WHEN {x} < 128 THEN printf('%02X', {x}) WHEN {x} < 16384 THEN printf('%02X%02X', {x} % 128 + 128, {x} // 128) WHEN {x} < 2097152 THEN printf('%02X%02X%02X', {x} % 128 + 128, {x} // 128 % 128 + 128, {x} // 16384) ELSE printf('%02X%02X%02X%02X', {x} % 128 + 128, {x} // 128 % 128 + 128, {x} // 16384 % 128 + 128, {x} // 2097152) END"
+
+
+_BYTES_SQL = ("printf('%02X%02X', length - 3, x)", "printf('%02X', x)")
+
+
+def _ints_sql(number: str) -> tuple[str, str]:
+    return f"printf('%02X%02X', length - 3, (d + 256) % 256) || {_varint_sql(number)}", _varint_sql(number)
+
+
+@query("byte_rle", _rle_sql(_EVENT_X.format("(user_id % 3)::INT"), _EVENT_N, _SAME, *_BYTES_SQL))
 def byte_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _encoded(spark, sf_dir, (F.col("user_id") % 3).cast("int"), "byte")
 
 
-@query("bool_rle")
+@query(
+    "bool_rle",
+    _rle_sql(f"SELECT row_group, (k // 8)::INT AS k, cast(sum(CASE WHEN x THEN 1 << (7 - k % 8) ELSE 0 END) AS int) AS x FROM ({_EVENT_X.format('value > 50')}) GROUP BY row_group, k // 8", _EVENT_N, _SAME, *_BYTES_SQL),
+)
 def bool_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _encoded(spark, sf_dir, F.col("value") > 50, "boolean")
 
 
-@query("int_rle")
+@query("int_rle", _rle_sql(_EVENT_X.format("user_id"), _EVENT_N, _STEPS, *_ints_sql("(CASE WHEN x < 0 THEN -2 * x - 1 ELSE 2 * x END)")))
 def int_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _encoded(spark, sf_dir, F.col("user_id"), "int")
 
 
-@query("int_rle_unsigned")
+@query("int_rle_unsigned", _rle_sql(_EVENT_X.format("event_id // 3"), _EVENT_N, _STEPS, *_ints_sql("x")))
 def int_rle_unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _encoded(spark, sf_dir, F.floor(F.col("event_id") / 3).cast("long"), "unsigned")
 
 
+@query("int_rle_runs", _rle_sql(_EVENT_X.format("CASE WHEN event_id % 400 < 290 THEN (event_id // 50) * 7 - 500 ELSE user_id END"), _EVENT_N, _STEPS, *_ints_sql("(CASE WHEN x < 0 THEN -2 * x - 1 ELSE 2 * x END)")))
+def int_rle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs shorter and longer than the longest group between stretches of literals that fill theirs."""
+    return _encoded(spark, sf_dir, F.when(F.col("event_id") % 400 < 290, F.floor(F.col("event_id") / 50) * 7 - 500).otherwise(F.col("user_id")).cast("long"), "int")
+
+
+_NIBBLES = "list_aggregate(list_transform(range(0, {0}), lambda j: list_aggregate(list_transform(range(0, 2), lambda h: substr('0123456789ABCDEF', 1 + 8 * substr(b, {1} - 8 * j + 4 * h, 1)::INT + 4 * substr(b, {1} + 1 - 8 * j + 4 * h, 1)::INT + 2 * substr(b, {1} + 2 - 8 * j + 4 * h, 1)::INT + substr(b, {1} + 3 - 8 * j + 4 * h, 1)::INT, 1)), 'string_agg', '')), 'string_agg', '')"
+
+
+@query("double_bytes", f"SELECT event_id, {_NIBBLES.format(8, 57)} AS encoded FROM (SELECT event_id, ((value - 50) / 7)::DOUBLE::BIT::VARCHAR AS b FROM events)")
+def double_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.hex(E.double_bytes((F.col("value") - 50) / 7)).alias("encoded"))
+
+
+@query("float_bytes", f"SELECT event_id, {_NIBBLES.format(4, 25)} AS encoded FROM (SELECT event_id, (value - 50)::FLOAT::BIT::VARCHAR AS b FROM events)")
+def float_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.hex(E.float_bytes((F.col("value") - 50).cast("float"))).alias("encoded"))
+
+
+@query("decimal_scales", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN 2 END AS scale FROM orders")
+def decimal_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice").cast("decimal(15,2)"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", E.decimal_scale(price, 2).alias("scale"))
+
+
+@query("wide_decimals", "SELECT o_orderkey, cast(cast(cast(o_totalprice AS decimal(15,2)) * 100 AS bigint) AS varchar) || '1234567890123450' AS unscaled FROM orders")
+def wide_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digits of decimals of 38 digits, 18 of them behind the point."""
+    text = F.concat(F.col("o_totalprice").cast("decimal(15,2)").cast("string"), F.lit("1234567890123450"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", E.decimal_unscaled(text.cast("decimal(38,18)"), 18).cast("string").alias("unscaled"))
+
+
 # Files
 
 
@@ -472,17 +561,134 @@ def orc_rowgroup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tail.running_groups(tail.statistics(spark, path, "row_group").filter(F.col("column_id") == 3)).select("row_group", "num_present", "int_min", "int_max", "int_sum")
 
 
-@query("orc_layout")
+_EVENT_TYPE = "struct<event_id:bigint,ts:timestamp,user_id:bigint,event_type:string,value:double,props:string>"
+
+
+@query(
+    "orc_layout",
+    f"SELECT count(*) AS rows, 'snappy' AS codec, true AS bounded_blocks, 2000 AS row_index_stride, '{_EVENT_TYPE}' AS schema, true AS tiled, true AS streams_fill FROM events",
+)
 def orc_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codec, block size, stride and rows of each file, without their names."""
+    """What all files say of themselves; whether stripes tile the contents and streams fill the stripes."""
     path = _written(spark, sf_dir, "events", orc.WriteConfig().with_compression("snappy").with_row_index_stride(2000))
-    return tail.files(spark, path).drop("file")
+    files, stripes = tail.files(spark, path), tail.stripes(spark, path)
+    ends = stripes.groupBy("file").agg((F.sum(F.col("index_length") + F.col("data_length") + F.col("footer_length")) + 3).alias("ends"), F.sum("rows").alias("own"))
+    filled = tail.streams(spark, path).groupBy("file", "stripe", "area").agg(F.sum("length").alias("length")).groupBy("file", "stripe").pivot("area", ["index", "data"]).sum("length")
+    filled = stripes.join(filled, ["file", "stripe"]).groupBy("file").agg(F.bool_and((F.col("index") == F.col("index_length")) & (F.col("data") == F.col("data_length"))).alias("filled"))
+    told = files.join(ends, "file").join(filled, "file")
+    return told.groupBy("codec", "row_index_stride", "schema").agg(
+        F.sum("rows").alias("rows"),
+        F.bool_and((F.col("block_size") > 0) & (F.col("block_size") <= 256 << 10)).alias("bounded_blocks"),
+        F.bool_and((F.col("ends") == F.col("content_length")) & (F.col("own") == F.col("rows"))).alias("tiled"),
+        F.bool_and("filled").alias("streams_fill"),
+    )
 
 
-@query("orc_types")
+@query(
+    "orc_types",
+    "SELECT * FROM (VALUES (0, 'struct', '1,2,4', 'vec_id,embedding,label'), (1, 'bigint', '', ''), (2, 'array', '3', ''), (3, 'float', '', ''), (4, 'int', '', '')) AS t(column_id, kind, children, field_names)",
+)
 def orc_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _written(spark, sf_dir, "embeddings", orc.WriteConfig(), files=1)
-    return tail.types(spark, path).drop("file")
+    found = tail.types(spark, path)
+    return found.select("column_id", "kind", F.array_join(F.transform("children", lambda x: x.cast("string")), ",").alias("children"), F.array_join("field_names", ",").alias("field_names"))
+
+
+@query("orc_streams", "SELECT * FROM (VALUES (1, 'data'), (2, 'data,secondary'), (3, 'data'), (5, 'data')) AS t(column_id, streams)")
+def orc_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data streams of columns without nulls: numbers, times, and doubles. (Strings have a dictionary or not, as it pays.)"""
+    path = _written(spark, sf_dir, "events", orc.WriteConfig(), files=1)
+    found = tail.streams(spark, path).filter("area = 'data' AND stripe = 0 AND column_id IN (1, 2, 3, 5)")
+    return found.groupBy("column_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "kind"))), lambda x: x["kind"]), ",").alias("streams"))
+
+
+@query("orc_encodings", "SELECT * FROM (VALUES (0, 'direct'), (1, 'direct_v2'), (2, 'direct_v2'), (3, 'direct_v2'), (5, 'direct')) AS t(column_id, encoding)")
+def orc_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written(spark, sf_dir, "events", orc.WriteConfig(), files=1)
+    return tail.encodings(spark, path).filter("stripe = 0 AND column_id IN (0, 1, 2, 3, 5)").select("column_id", "encoding")
+
+
+@query("orc_column_sizes", "SELECT 5 AS column_id, cast(1 AS bigint) AS data_streams, 8 * count(*) AS data_length FROM events")
+def orc_column_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles that aren't compressed fill eight bytes each."""
+    path = _written(spark, sf_dir, "events", orc.WriteConfig(), files=1)
+    streams = tail.streams(spark, path).filter("area = 'data' AND stripe = 0").groupBy("column_id").agg(F.count("*").alias("data_streams"))
+    return tail.column_sizes(spark, path).join(streams, "column_id").filter("column_id = 5").select("column_id", "data_streams", "data_length")
+
+
+@query("orc_positions", "SELECT cast(count(*) // 1000 + CASE WHEN count(*) % 1000 > 0 THEN 1 ELSE 0 END AS bigint) AS entries, cast(8000 AS bigint) AS step FROM events")
+def orc_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the row groups of uncompressed doubles begin: 8,000 bytes apart for 1,000 rows."""
+    path = _scratch(spark, "orc-positions")
+    orc.write(orc.with_orc_timestamps(table(spark, sf_dir, "events")), path, orc.WriteConfig(row_index_stride=STRIDE).with_whole_groups(), files=1)
+    found = tail.positions(spark, path).filter("column_id = 5").select("row_group", F.element_at("positions", 1).alias("at"))
+    return found.agg(F.count("*").alias("entries"), F.coalesce(F.max(F.when(F.col("row_group") > 0, (F.col("at") / F.col("row_group")).cast("long"))), F.lit(8000)).alias("step"))
+
+
+@query("orc_blocks", "SELECT true AS framed, true AS bounded, true AS sizes_agree")
+def orc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The framing of compressed streams: blocks follow one another to the end, and headers and payloads are the lengths that footers say."""
+    path = _written(spark, sf_dir, "lineitem", orc.WriteConfig().with_compression("zlib", block_size=64 << 10))
+    found = tail.blocks(spark, path)
+    said = tail.streams(spark, path).filter("length > 0").agg(F.sum("length").alias("said"))
+    sums = found.agg(F.bool_and("whole").alias("framed"), F.bool_and(F.col("payload_bytes") <= F.col("blocks") * (64 << 10)).alias("bounded"), F.sum(F.col("header_bytes") + F.col("payload_bytes")).alias("found"))
+    return sums.crossJoin(said).select("framed", "bounded", (F.col("found") == F.col("said")).alias("sizes_agree"))  # one row each
+
+
+_KINDS_SQL = (
+    "SELECT event_id AS x, CASE WHEN event_id % 7 <> 0 THEN event_id * event_id END AS y, 'hello ' || (event_id // 3) AS z, value AS a, value::FLOAT AS b, "
+    "CAST(DATE '1970-01-01' + cast(event_id % 20000 AS int) AS date) AS c, event_id % 3 = 0 AS d, cast(cast(value AS decimal(15,2)) AS double) AS e, "
+    "CASE WHEN event_id % 5 <> 0 THEN (3 * event_id) || ',' || (3 * event_id + 1) ELSE '' END AS f, event_id % 2 = 1 AS g, timestamp '2015-01-01' + to_seconds(event_id) AS h, "
+    "hex(event_type) AS i, cast(event_id % 2 AS int) AS k_tag, CASE WHEN event_id % 2 = 0 THEN user_id END AS k_0, CASE WHEN event_id % 2 = 1 THEN value::FLOAT END AS k_1, CASE WHEN event_id % 11 <> 0 THEN user_id END AS s_u FROM events"
+)
+
+
+def _all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of column: numbers, text, date, boolean, decimal, list, map, time, binary, union and a struct that may be null."""
+    e = F.col("event_id")
+    union = M.union((e % 2).cast("int"), F.col("user_id"), F.col("value").cast("float"))
+    return table(spark, sf_dir, "events").select(
+        e.alias("x"),
+        F.when(e % 7 != 0, e * e).alias("y"),
+        F.concat(F.lit("hello "), F.floor(e / 3).cast("string")).alias("z"),
+        F.col("value").alias("a"),
+        F.col("value").cast("float").alias("b"),
+        F.date_add(F.lit("1970-01-01").cast("date"), (e % 20000).cast("int")).alias("c"),
+        (e % 3 == 0).alias("d"),
+        F.col("value").cast("decimal(15,2)").alias("e"),
+        F.when(e % 5 != 0, F.array(3 * e, 3 * e + 1)).otherwise(F.array().cast("array<bigint>")).alias("f"),
+        F.create_map(F.lit("param"), e % 2 == 1, F.lit("setting"), e % 2 == 0).alias("g"),
+        F.timestamp_seconds(e + E.EPOCH_2015).alias("h"),
+        F.col("event_type").cast("binary").alias("i"),
+        union.alias("k"),
+        F.when(e % 11 != 0, F.struct(F.col("user_id").alias("u"))).alias("s"),
+    )
+
+
+def _flat_kinds(df: DataFrame) -> DataFrame:
+    """The columns of `_all_kinds` as plain ones that SQL can compare."""
+    return df.select(
+        "x", "y", "z", "a", "b", "c", "d", F.col("e").cast("double").alias("e"), F.array_join(F.transform("f", lambda v: v.cast("string")), ",").alias("f"), F.col("g")["param"].alias("g"),
+        F.col("h").cast("timestamp_ntz").alias("h"), F.hex("i").alias("i"), F.col("k.tag").alias("k_tag"), F.col("k.c0").alias("k_0"), F.col("k.c1").alias("k_1"), F.col("s.u").alias("s_u"),
+    )
+
+
+@query("orc_roundtrip_kinds", _KINDS_SQL)
+def orc_roundtrip_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "orc-kinds")
+    orc.write(_all_kinds(spark, sf_dir), path, orc.WriteConfig().with_compression("zstd"))
+    return _flat_kinds(orc.read(spark, path))
+
+
+@query("orc_roundtrip_batches", "SELECT 10 * count(*) AS rows, cast(10 * sum(event_id % 2) AS bigint) AS sum, cast(10 AS bigint) AS batches FROM events")
+def orc_roundtrip_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten batches of one column of longs, each committed to the same table."""
+    path = _scratch(spark, "orc-batches")
+    batch = orc.as_table(table(spark, sf_dir, "events").select((F.col("event_id") % 2).alias("x"))).coalesce(1)
+    for _ in range(10):
+        orc.append_batch(batch, path)
+    read = orc.read(spark, path).select("value", F.col("_metadata.file_path").alias("file"))
+    return read.agg(F.count("*").alias("rows"), F.sum("value").alias("sum"), F.count_distinct("file").alias("batches"))
 
 
 @query(
@@ -516,6 +722,42 @@ def verify_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.verify_struct(_struct(spark, sf_dir), "st")
 
 
+# The same on tables whose parts are stored apart and don't agree
+
+
+@query("verify_list_lengths", "SELECT cast(sum(event_id % 5) AS bigint) AS expected, cast(sum(CASE WHEN event_id % 97 = 0 THEN 0 ELSE event_id % 5 END) AS bigint) AS found, sum(event_id % 5) = sum(CASE WHEN event_id % 97 = 0 THEN 0 ELSE event_id % 5 END) AS holds FROM events")
+def verify_list_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("event_id") % 5).cast("int")
+    df = table(spark, sf_dir, "events").select(n.alias("n"), F.when(F.col("event_id") % 97 != 0, F.array_repeat("user_id", n)).alias("f"))
+    return checks.verify_list(df, "f", lengths="n")
+
+
+@query("verify_map_lengths", 'SELECT cast(sum(event_id % 4) AS bigint) AS expected, cast(sum(event_id % 4) AS bigint) AS "keys", cast(sum(CASE WHEN event_id % 50 = 3 THEN 1 ELSE event_id % 4 END) AS bigint) AS "values", sum(event_id % 4) = sum(CASE WHEN event_id % 50 = 3 THEN 1 ELSE event_id % 4 END) AS holds FROM events')
+def verify_map_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("event_id") % 4).cast("int")
+    values = F.array_repeat("value", F.when(F.col("event_id") % 50 == 3, 1).otherwise(n))
+    df = table(spark, sf_dir, "events").select(n.alias("n"), F.array_repeat("event_type", n).alias("k"), values.alias("v"))
+    return checks.verify_map(df, ("k", "v"), lengths="n")
+
+
+@query(
+    "verify_union_strays",
+    "SELECT variant::INT AS variant, count(*) FILTER (event_id % 2 = variant) AS tagged, count(*) FILTER (event_id % 2 <> variant AND (variant = 0 OR event_id % 30 = 0)) AS stray, "
+    "count(*) FILTER (event_id % 2 <> variant AND (variant = 0 OR event_id % 30 = 0)) = 0 AS holds FROM events, (VALUES (0), (1)) AS t(variant) GROUP BY variant",
+)
+def verify_union_strays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c1 = F.when((F.col("event_id") % 2 == 1) | (F.col("event_id") % 30 == 0), F.col("value"))
+    df = table(spark, sf_dir, "events").select(F.struct((F.col("event_id") % 2).cast("int").alias("tag"), F.col("user_id").alias("c0"), c1.alias("c1")).alias("k"))
+    return checks.verify_union(df, "k", 2)
+
+
+@query("verify_struct_flags", "SELECT count(*) FILTER (event_id % 7 <> 0) AS present, count(*) FILTER (event_id % 7 = 0 AND event_id % 3 = 0) AS stray, count(*) FILTER (event_id % 7 = 0 AND event_id % 3 = 0) = 0 AS holds FROM events")
+def verify_struct_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = F.when((F.col("event_id") % 7 != 0) | (F.col("event_id") % 3 == 0), F.col("user_id"))
+    df = table(spark, sf_dir, "events").select((F.col("event_id") % 7 != 0).alias("there"), F.struct(field.alias("u")).alias("st"))
+    return checks.verify_struct(df, "st", present="there")
+
+
 @query("verify_rows", "SELECT count(*) AS expected, count(*) AS found, true AS holds FROM events")
 def verify_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of a written table against those of its source."""

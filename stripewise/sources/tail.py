@@ -1,75 +1,172 @@
-"""What ORC files say about themselves, as small tables: layout, types, stripes and statistics from their tails.
+"""What ORC files say about themselves, as small tables: layout, types, stripes, streams, encodings and statistics.
 
-Files are opened by the driver through the Hadoop file system that Spark uses; only tails and row indexes are read, at most
-`max_files` files.
+Tails, stripe footers and row indexes are read through the Hadoop file system that Spark uses, by `threads` threads of the
+driver, which owns the JVM's reader; rows go to the shared folder every `CHUNK` files, so that the driver holds no more however
+many files there are. What needs the files' contents (the framing of compressed blocks) is read by the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stripewise.storage import shared_folder
+
 STATISTICS_SCHEMA = (
     "file string, stripe int, row_group int, column_id int, num_present bigint, has_null boolean, int_min bigint, int_max bigint, int_sum bigint, "
     "double_min double, double_max double, double_sum double, string_min string, string_max string, total_length bigint, true_count bigint, "
     "date_min date, date_max date, millis_min bigint, millis_max bigint, decimal_min string, decimal_max string, decimal_sum string"
 )
+CHUNK = 2000
+THREADS = 16
 
 
-def _files(spark: SparkSession, path: str, max_files: int) -> list[str]:
+def _files(spark: SparkSession, path: str) -> Iterator[str]:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
     listed = root.getFileSystem(conf).listFiles(root, True)
-    found = []
     while listed.hasNext():
         name = listed.next().getPath()
         if not name.getName().startswith(("_", ".")):
-            found.append(name.toString())
-    if len(found) > max_files:
-        raise ValueError(f"{len(found)} files; ask for part of them, or raise max_files")
-    return sorted(found)
+            yield name.toString()
 
 
-def _readers(spark: SparkSession, path: str, max_files: int) -> Iterator[tuple[str, object]]:
+def _reader(spark: SparkSession, name: str):
     orc, conf = spark._jvm.org.apache.orc.OrcFile, spark._jsc.hadoopConfiguration()
-    for name in _files(spark, path, max_files):
-        yield name, orc.createReader(spark._jvm.org.apache.hadoop.fs.Path(name), orc.readerOptions(conf))
+    return orc.createReader(spark._jvm.org.apache.hadoop.fs.Path(name), orc.readerOptions(conf))
+
+
+def _table(spark: SparkSession, path: str, rows_of: Callable, schema: str, chunk: int | None = None, threads: int = THREADS) -> DataFrame:
+    """rows_of(file name, reader) of every file below the path."""
+    names, target = _files(spark, path), None
+    with ThreadPoolExecutor(threads) as pool:
+        while some := list(islice(names, chunk or CHUNK)):
+            rows = [row for part in pool.map(lambda name: rows_of(name, _reader(spark, name)), some) for row in part]
+            df = spark.createDataFrame(rows, schema)
+            if target is None and len(some) < (chunk or CHUNK):
+                return df
+            target = target or f"{shared_folder(spark)}/orc-tails-{uuid.uuid4().hex}"
+            df.write.mode("append").parquet(target)
+    return spark.read.schema(df.schema).parquet(target) if target else spark.createDataFrame([], schema)
 
 
-def files(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+def files(spark: SparkSession, path: str, **options) -> DataFrame:
     """file, rows, stripes, codec, block_size, row_index_stride, content_length, writer_version and schema of each file."""
-    rows = [
-        (name, r.getNumberOfRows(), r.getStripes().size(), r.getCompressionKind().toString().lower(), r.getCompressionSize(), r.getRowIndexStride(), r.getContentLength(), r.getWriterVersion().toString(), r.getSchema().toString())
-        for name, r in _readers(spark, path, max_files)
-    ]
-    return spark.createDataFrame(rows, "file string, rows bigint, stripes int, codec string, block_size int, row_index_stride int, content_length bigint, writer_version string, schema string")
+
+    def rows(name: str, r) -> list[tuple]:
+        return [(name, r.getNumberOfRows(), r.getStripes().size(), r.getCompressionKind().toString().lower(), r.getCompressionSize(), r.getRowIndexStride(), r.getContentLength(), r.getWriterVersion().toString(), r.getSchema().toString())]
+
+    return _table(spark, path, rows, "file string, rows bigint, stripes int, codec string, block_size int, row_index_stride int, content_length bigint, writer_version string, schema string", **options)
 
 
-def stripes(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+def stripes(spark: SparkSession, path: str, **options) -> DataFrame:
     """file, stripe, offset, index_length, data_length, footer_length and rows of each stripe."""
-    rows = [
-        (name, k, s.getOffset(), s.getIndexLength(), s.getDataLength(), s.getFooterLength(), s.getNumberOfRows())
-        for name, r in _readers(spark, path, max_files)
-        for k, s in enumerate(r.getStripes())
-    ]
-    return spark.createDataFrame(rows, "file string, stripe int, offset bigint, index_length bigint, data_length bigint, footer_length bigint, rows bigint")
 
+    def rows(name: str, r) -> list[tuple]:
+        return [(name, k, s.getOffset(), s.getIndexLength(), s.getDataLength(), s.getFooterLength(), s.getNumberOfRows()) for k, s in enumerate(r.getStripes())]
 
-def types(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    return _table(spark, path, rows, "file string, stripe int, offset bigint, index_length bigint, data_length bigint, footer_length bigint, rows bigint", **options)
+
+
+def types(spark: SparkSession, path: str, **options) -> DataFrame:
     """file, column_id, kind, children and field_names of each file's type tree, in pre-order."""
-    rows = []
-    for name, r in _readers(spark, path, max_files):
-        waiting = [r.getSchema()]
+
+    def rows(name: str, r) -> list[tuple]:
+        found, waiting = [], [r.getSchema()]
         while waiting:
             node = waiting.pop(0)
             children = list(node.getChildren() or [])
-            names = list(node.getFieldNames() or []) if node.getCategory().toString() == "STRUCT" or node.getCategory().getName() == "struct" else []
-            rows.append((name, node.getId(), node.getCategory().getName(), [c.getId() for c in children], names))
+            names = list(node.getFieldNames() or []) if node.getCategory().getName() == "struct" else []
+            found.append((name, node.getId(), node.getCategory().getName(), [c.getId() for c in children], names))
             waiting = children + waiting
-    return spark.createDataFrame(rows, "file string, column_id int, kind string, children array<int>, field_names array<string>")
+        return found
+
+    return _table(spark, path, rows, "file string, column_id int, kind string, children array<int>, field_names array<string>", **options)
+
+
+def _footers(r) -> Iterator[tuple[int, object, object]]:
+    """Number, description and footer of each stripe."""
+    records = r.rows()
+    try:
+        for k, stripe in enumerate(r.getStripes()):
+            yield k, stripe, records.readStripeFooter(stripe)
+    finally:
+        records.close()
+
+
+def streams(spark: SparkSession, path: str, **options) -> DataFrame:
+    """file, stripe, place, column_id, kind, area (index or data), offset and length of each stream, in the order they are stored."""
+
+    def rows(name: str, r) -> list[tuple]:
+        found = []
+        for k, stripe, footer in _footers(r):
+            at = stripe.getOffset()
+            for place, s in enumerate(footer.getStreamsList()):
+                kind = s.getKind().toString().lower()
+                area = "index" if kind.startswith(("row_index", "bloom_filter")) else "data"
+                found.append((name, k, place, s.getColumn(), kind, area, at, s.getLength()))
+                at += s.getLength()
+        return found
+
+    return _table(spark, path, rows, "file string, stripe int, place int, column_id int, kind string, area string, offset bigint, length bigint", **options)
+
+
+def encodings(spark: SparkSession, path: str, **options) -> DataFrame:
+    """file, stripe, column_id, encoding and dictionary_size of every column in each stripe."""
+
+    def rows(name: str, r) -> list[tuple]:
+        return [(name, k, column, e.getKind().toString().lower(), e.getDictionarySize() if e.hasDictionarySize() else None) for k, _, footer in _footers(r) for column, e in enumerate(footer.getColumnsList())]
+
+    return _table(spark, path, rows, "file string, stripe int, column_id int, encoding string, dictionary_size bigint", **options)
+
+
+def positions(spark: SparkSession, path: str, **options) -> DataFrame:
+    """file, stripe, row_group, column_id and positions (where its streams are to be sought) of every row index entry."""
+
+    def rows(name: str, r) -> list[tuple]:
+        return [(name, n, g, k, [int(x) for x in entry.getPositionsList()]) for n, g, k, entry in _index(spark, r)]
+
+    return _table(spark, path, rows, "file string, stripe int, row_group int, column_id int, positions array<bigint>", **options)
+
+
+def column_sizes(spark: SparkSession, path: str, **options) -> DataFrame:
+    """column_id, streams, index_length and data_length in bytes as stored, over all files: what fills the stripes."""
+    said = streams(spark, path, **options)
+    sizes = {f"{area}_length": F.coalesce(F.sum(F.when(F.col("area") == area, F.col("length"))), F.lit(0)) for area in ("index", "data")}
+    return said.groupBy("column_id").agg(F.count("*").alias("streams"), *(x.alias(name) for name, x in sizes.items()))
+
+
+def blocks(spark: SparkSession, path: str, **options) -> DataFrame:
+    """file, stripe, column_id, kind, blocks, stored_as_is (blocks that don't shrink), header_bytes and payload_bytes of compressed streams.
+
+    Read from the files' contents, by the executors; a file must fit a binary cell (2 GB).
+    """
+    wanted = streams(spark, path, **options).join(files(spark, path, **options).filter("codec <> 'none'").select("file"), "file").filter("length > 0")
+    name = F.regexp_replace("path", "^file:/+", "/")
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(name.alias("name"), "content")
+    listed = wanted.groupBy(F.regexp_replace("file", "^file:/+", "/").alias("name")).agg(F.collect_list(F.struct("file", "stripe", "column_id", "kind", "offset", "length")).alias("streams"))
+
+    def frames(batches):
+        import pandas as pd
+
+        for batch in batches:
+            found = []
+            for content, listed_ in zip(batch["content"], batch["streams"], strict=True):
+                for s in listed_:
+                    at, end, n, same, payload = s["offset"], s["offset"] + s["length"], 0, 0, 0
+                    while at < end:
+                        head = int.from_bytes(content[at : at + 3], "little")
+                        n, same, payload, at = n + 1, same + (head & 1), payload + (head >> 1), at + 3 + (head >> 1)
+                    found.append((s["file"], s["stripe"], s["column_id"], s["kind"], n, same, 3 * n, payload, at == end))
+            yield pd.DataFrame(found, columns=["file", "stripe", "column_id", "kind", "blocks", "stored_as_is", "header_bytes", "payload_bytes", "whole"])
+
+    return held.join(listed, "name").select("content", "streams").mapInPandas(frames, "file string, stripe int, column_id int, kind string, blocks int, stored_as_is int, header_bytes bigint, payload_bytes bigint, whole boolean")
 
 
 def _measures(s) -> list:
@@ -101,31 +198,38 @@ def _measures(s) -> list:
     return [s.getNumberOfValues(), s.hasNull(), *out.values()]
 
 
-def statistics(spark: SparkSession, path: str, level: str = "file", max_files: int = 1000) -> DataFrame:
+def _index(spark: SparkSession, r) -> Iterator[tuple[int, int, int, object]]:
+    """Stripe, row group, column and entry of the row indexes."""
+    width = r.getSchema().getMaximumId() + 1
+    wanted = spark.sparkContext._gateway.new_array(spark._jvm.boolean, width)
+    for k in range(width):
+        wanted[k] = True
+    reader = r.rows()
+    try:
+        for n in range(r.getStripes().size()):
+            index = reader.readRowIndex(n, wanted, wanted).getRowGroupIndex()
+            for k in range(width):
+                if index[k] is not None:
+                    for g in range(index[k].getEntryCount()):
+                        yield n, g, k, index[k].getEntry(g)
+    finally:
+        reader.close()
+
+
+def statistics(spark: SparkSession, path: str, level: str = "file", **options) -> DataFrame:
     """Stored column statistics by file, stripe or row_group: STATISTICS_SCHEMA, with null for what doesn't apply."""
-    rows: list[tuple] = []
-    for name, r in _readers(spark, path, max_files):
+    if level not in ("file", "stripe", "row_group"):
+        raise ValueError("level is 'file', 'stripe' or 'row_group'")
+
+    def rows(name: str, r) -> list[tuple]:
         if level == "file":
-            rows += [(name, None, None, k, *_measures(s)) for k, s in enumerate(r.getStatistics())]
-        elif level == "stripe":
-            rows += [(name, n, None, k, *_measures(s)) for n, stripe in enumerate(r.getStripeStatistics()) for k, s in enumerate(stripe.getColumnStatistics())]
-        elif level == "row_group":
-            width = r.getSchema().getMaximumId() + 1
-            wanted = spark.sparkContext._gateway.new_array(spark._jvm.boolean, width)
-            for k in range(width):
-                wanted[k] = True
-            reader = r.rows()
-            for n in range(r.getStripes().size()):
-                index = reader.readRowIndex(n, wanted, wanted).getRowGroupIndex()
-                impl = spark._jvm.org.apache.orc.impl.ColumnStatisticsImpl
-                for k in range(width):
-                    if index[k] is not None:
-                        column = r.getSchema().findSubtype(k)
-                        rows += [(name, n, g, k, *_measures(impl.deserialize(column, index[k].getEntry(g).getStatistics()))) for g in range(index[k].getEntryCount())]
-            reader.close()
-        else:
-            raise ValueError("level is 'file', 'stripe' or 'row_group'")
-    return spark.createDataFrame(rows, STATISTICS_SCHEMA)
+            return [(name, None, None, k, *_measures(s)) for k, s in enumerate(r.getStatistics())]
+        if level == "stripe":
+            return [(name, n, None, k, *_measures(s)) for n, stripe in enumerate(r.getStripeStatistics()) for k, s in enumerate(stripe.getColumnStatistics())]
+        deserialize = spark._jvm.org.apache.orc.impl.ColumnStatisticsImpl.deserialize
+        return [(name, n, g, k, *_measures(deserialize(r.getSchema().findSubtype(k), entry.getStatistics()))) for n, g, k, entry in _index(spark, r)]
+
+    return _table(spark, path, rows, STATISTICS_SCHEMA, **options)
 
 
 def running_groups(stored: DataFrame) -> DataFrame:

@@ -1,3 +1,7 @@
+import decimal
+import struct
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -5,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stripewise.functions import encodings as E
 from stripewise.operators import runs
+from stripewise.operators.statistics import column_statistics
 
 
 def h(text):
@@ -47,6 +52,89 @@ def test_byte_runs_round_trip(values):
     assert runs.byte_rle_decode(runs.byte_rle(bytes(values))) == bytes(values)
 
 
+def stepwise(values, run_at):
+    """The groups by the format's rule, value by value."""
+    place = pending = 0
+    while place < len(values):
+        run = min(run_at(place), 130)
+        if run >= 3 and place - pending + 2 < 128:
+            if place > pending:
+                yield pending, place - pending, False
+            yield place, run, True
+            place = pending = place + run
+        else:
+            place += 1
+            if place - pending == 128:
+                yield pending, 128, False
+                pending = place
+    if pending < len(values):
+        yield pending, len(values) - pending, False
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.sampled_from([1, 1, 1, 2, 3, 4, 131, 260])), max_size=120))
+@settings(max_examples=150, deadline=None)
+def test_groups_are_those_of_the_stepwise_rule(parts):
+    values = [x for x, n in parts for _ in range(n)] + list(range(126)) * (len(parts) % 2)
+
+    def run_at(k):
+        end = k + 1
+        while end < len(values) and values[end] == values[k]:
+            end += 1
+        return end - k
+
+    x = np.array(values, dtype=np.int64)
+    assert not len(x) or list(runs._groups(runs._stretches(x[1:] == x[:-1]))) == list(stepwise(values, run_at))
+
+
+@given(st.lists(st.integers(-(2**63), 2**63 - 1) | st.integers(-3, 3), max_size=300))
+@settings(max_examples=100, deadline=None)
+def test_integer_runs_keep_their_values(values):
+    data, out, at = runs.int_rle(values), [], 0
+
+    def number(at):
+        x = shift = 0
+        while True:
+            x |= (data[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if data[at - 1] < 128:
+                return (x >> 1) ^ -(x & 1), at
+
+    while at < len(data):
+        head = data[at]
+        if head < 128:
+            step = data[at + 1] - 256 if data[at + 1] > 127 else data[at + 1]
+            first, at = number(at + 2)
+            out += [(first + k * step + 2**63) % 2**64 - 2**63 for k in range(head + 3)]
+        else:
+            at += 1
+            for _ in range(256 - head):
+                x, at = number(at)
+                out.append(x)
+    assert out == values
+
+
+def test_wide_decimals(spark):
+    texts = {"38,0": ["99999999999999999999999999999999999999", "-99999999999999999999999999999999999999", "0"], "38,18": ["1234567890123456789.5", "99999999999999999999.999999999999999999", "-0.000000000000000001"], "38,38": ["0.99999999999999999999999999999999999999", "-0.00000000000000000000000000000000000001"]}
+    for kind, values in texts.items():
+        scale = int(kind.split(",")[1])
+        df = spark.createDataFrame([(v,) for v in values], "t string").select("t", F.col("t").cast(f"decimal({kind})").alias("x"))
+        said = {v: int(decimal.Decimal(v).scaleb(scale, decimal.Context(prec=60))) for v in values}
+        assert {r.t: int(r.u) for r in df.select("t", E.decimal_unscaled(F.col("x"), scale).alias("u")).collect()} == said
+        row = column_statistics(df.select("x")).filter("column = 'x'").first()
+        assert (int(row.decimal_min), int(row.decimal_max)) == (min(said.values()), max(said.values()))
+        total = sum(said.values())
+        assert row.decimal_total is None or int(row.decimal_total) == total
+
+
+def test_float_bytes(spark):
+    values = [0.0, -0.0, 1.5, -2.75e-300, 5e-324, float("inf"), float("-inf"), 3.4e38]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", E.double_bytes(F.col("v")).alias("d"), E.float_bytes(F.col("v")).alias("f")).collect()
+    for r in rows:
+        assert bytes(r.d) == struct.pack("<d", r.v)
+        assert bytes(r.f) == np.float32(r.v).tobytes()
+    assert spark.sql("SELECT cast(null AS double) AS v").select(E.double_bytes(F.col("v")).alias("d")).first().d is None
+
+
 def test_boolean_runs():
     assert runs.bool_rle([]) == b""
     assert runs.bool_rle([c == "T" for c in "TFTFTFFFT"]) == bytes((254, 0b10101000, 0b10000000))
@@ -104,3 +192,24 @@ def test_run_segments(spark):
     df = spark.createDataFrame([(k, c) for k, c in enumerate("aabbba")] + [(6, None), (7, None)], "at int, c string")
     rows = runs.run_segments(df, "c", "at").orderBy("run").collect()
     assert [(r.value, r.first, r.last, r.length) for r in rows] == [("a", 0, 1, 2), ("b", 2, 4, 3), ("a", 5, 5, 1), (None, 6, 7, 2)]
+
+
+def test_runs_and_deltas_over_few_keys_are_the_same_in_many_ranges(spark):
+    rows = [(k, "a" if k % 3 else None, (k // 4) % 3) for k in range(200)]
+    df = spark.createDataFrame(rows, "at int, g string, x int").repartition(4)
+    got = sorted((r.g or "", r.run, r.value, r["first"], r["last"], r.length) for r in runs.run_segments(df, "x", "at", ["g"]).collect())
+    said = []
+    for g in (None, "a"):
+        own = [(k, x) for k, h_, x in rows if h_ == g]
+        run, start = 0, 0
+        for k in range(1, len(own) + 1):
+            if k == len(own) or own[k][1] != own[start][1]:
+                run += 1
+                said.append((g or "", run, own[start][1], own[start][0], own[k - 1][0], k - start))
+                start = k
+    assert got == sorted(said)
+    found = {r.at: r.delta for r in runs.deltas(df, "x", "at", ["g"]).collect()}
+    last = {}
+    for k, g, x in rows:
+        assert found[k] == (x - last[g] if g in last else None)
+        last[g] = x

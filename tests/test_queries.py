@@ -56,3 +56,27 @@ def test_the_library_imports_without_the_optional_folders(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
     assert int(out.stdout) == len(catalogue.QUERIES)
+
+
+def test_the_rest_works_without_what_the_optional_part_needs(tmp_path):
+    import subprocess
+    import sys
+
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('not here')")
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = f"import sys; sys.path[:0] = [{str(tmp_path)!r}, {root!r}]; import __spark_entry__ as e; print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert int(out.stdout) == len(catalogue.QUERIES)
+
+
+def test_the_package_ships_to_executors(spark):
+    import zipfile
+
+    from stripewise.session import ship
+
+    ship(spark)
+    name = next(str(x) for x in spark.sparkContext._python_includes if str(x).endswith("stripewise.zip"))
+    from pyspark import SparkFiles
+
+    names = zipfile.ZipFile(SparkFiles.get(name)).namelist()
+    assert "stripewise/operators/runs.py" in names and not any(n.endswith(".pyc") for n in names)
