@@ -18,12 +18,12 @@ def _stars(directed: DataFrame, keep) -> DataFrame:
     return directed.join(least, "u").filter(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def connected_components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(pairs: DataFrame) -> DataFrame:
     """node and root (the least node of its component) of every node of `pairs`, whose two columns are the ends of links."""
     a, b = pairs.columns
     edges = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges, before = checkpointed(edges), None
-    for _ in range(max_rounds):
+    while True:  # the rounds grow with the logarithm of the longest path
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             break
@@ -34,7 +34,5 @@ def connected_components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         others = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(others.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return checkpointed(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))

@@ -3,12 +3,17 @@
 Fingerprints are cut into m segments on a ring. If two differ in at most t bits, then some segment starts a chain in which,
 for every length l up to m, the first l segments differ in at most floor(l * t / m) bits together. The lengths with a
 budget of zero make the join key (with t = 2 and m = 8, three consecutive equal segments: 24 bits); the longer ones are
-checked on each candidate before the full distance, the last of the budgets, is.
+checked on each candidate before the full distance, the last of the budgets, is. More and shorter segments make longer keys
+(m = 64: 31 bits), so m follows the number of fingerprints, and a key is shared by few of them at any size.
 
 Only distinct fingerprints are compared, so exact copies cost one row each. A key that more than `bucket` fingerprints
-share isn't paired off: its members go the exact way of common neighbours instead. Two fingerprints are within two bits of
-each other just if some value is within one bit of both, so each member is dealt to its 65 values at up to one bit, no
-value has more than 65 members, and each value links its members to the least of them.
+share isn't paired off: its members go the exact way of common neighbours instead. Two fingerprints are within t bits of
+each other just if some value is within t / 2 bits of both (for odd t, with one bit left out of both), so each member is dealt to
+its values of that kind, whose number follows from t alone, and each value links its members to the least of them.
+
+`near_copies` is for looser likeness, as a share of five-word shingles, which no small budget of 64 bits takes: fingerprints of 512
+bits, on whose ring a chain of equal segments is the key, are compared in full. Pairs that are alike enough have an equal chain with
+a probability below one; the module's tests measure it.
 
 Defined results: a null or empty text has no words and fingerprint zero, which is linked like any other; fewer words than a
 shingle takes count as one shingle; repeated rows are rows of their own; a null id is kept and never names a component
@@ -25,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stripewise.llm.common import checkpointed
+from stripewise.llm.common import checkpointed, fresh_names, stored
 from stripewise.llm.components import connected_components
 
 BITS = 64
 _SLICE = 1 << 15
+#: Fingerprints of `near_copies`: 64-bit parts, segments on their ring, and bits in which near copies differ at most. In 512 bits
+#: texts whose shingles are alike by 0.8 differ in 78 on average, with a deviation of 8.
+PARTS, SEGMENTS, NEAR = 8, 64, 88
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -67,11 +75,22 @@ def rotated(fp: Column, by: int) -> Column:
     return fp if by == 0 else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by))
 
 
-def links(fps: DataFrame, most: int = 2, segments: int = 8, bucket: int = 64) -> DataFrame:
+def segments_for(n: int, most: int = 2, share: int = 8) -> int:
+    """The fewest segments whose keys are so long that n random fingerprints share one with `share` others at most."""
+    for segments in (8, 16, 32, 64):
+        if segments > most:
+            free = sum(length * most // segments == 0 for length in range(1, segments + 1))
+            if share << (free * (BITS // segments)) >= n:
+                return segments
+    return 64
+
+
+def links(fps: DataFrame, most: int = 2, segments: int | None = None, bucket: int = 64) -> DataFrame:
     """Pairs a, b of the distinct fingerprints in `fps` (column fp) that join all that are within `most` bits.
 
     Every pair within `most` bits is in one component of the result; pairs of crowded keys may be given by a path.
     """
+    segments = segments or segments_for(fps.count(), most)
     if BITS % segments or not 0 < most < segments:
         raise ValueError("segments must divide 64 and be more than the bits allowed")
     width = BITS // segments
@@ -84,12 +103,13 @@ def links(fps: DataFrame, most: int = 2, segments: int = 8, bucket: int = 64) ->
         .withColumn("key", F.shiftrightunsigned("ring", BITS - free * width))
     )
     sizes = keyed.groupBy("start", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = checkpointed(keyed.join(sizes, ["start", "key"]).select("start", "key", "n", "fp", "ring"))
+    shared, _ = stored(keyed.join(sizes, ["start", "key"]).select("start", "key", "n", "fp", "ring"), "simhash-keys")
 
     few = shared.filter(F.col("n") <= bucket)
     a, b = few.select("start", "key", F.col("fp").alias("a"), F.col("ring").alias("ra")), few.select("start", "key", F.col("fp").alias("b"), F.col("ring").alias("rb"))
     differ = F.col("ra").bitwiseXOR(F.col("rb"))
-    chain = [F.bit_count(F.shiftrightunsigned(differ, BITS - length * width)) <= budgets[length - 1] for length in range(free + 1, segments)]
+    rises = [length for length in range(free + 1, segments) if budgets[length - 1] < budgets[length]]  # the last length of each budget
+    chain = [F.bit_count(F.shiftrightunsigned(differ, BITS - length * width)) <= budgets[length - 1] for length in rises]
     near = F.bit_count(differ) <= most
     for check in reversed(chain):
         near = check & near
@@ -100,20 +120,23 @@ def links(fps: DataFrame, most: int = 2, segments: int = 8, bucket: int = 64) ->
 
 
 def neighbour_links(fps: DataFrame, most: int = 2) -> DataFrame:
-    """The same by common neighbours: for up to two bits, in rows that grow with the fingerprints, not with the pairs."""
-    if most > 2:
-        raise ValueError("common neighbours at one bit cover two bits at most")
-    bits = [F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(BITS)]
-    if most == 2:
-        values = [F.struct(F.lit(-1).alias("bit"), F.col("fp").alias("x"))] + [F.struct(F.lit(-1).alias("bit"), F.col("fp").bitwiseXOR(bit).alias("x")) for bit in bits]
-    else:  # at one bit, both have the same value without that bit
-        values = [F.struct(F.lit(k).alias("bit"), F.col("fp").bitwiseAND(F.bitwise_not(bit)).alias("x")) for k, bit in enumerate(bits)]
-    dealt = fps.select("fp", F.explode(F.array(*values)).alias("value"))
-    met = dealt.groupBy("value").agg(F.collect_set("fp").alias("members")).filter(F.size("members") > 1)  # 65 members at most
+    """The same by common neighbours, in rows that grow with the fingerprints, not with the pairs."""
+    bits = F.array(*(F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(BITS)))
+    # for odd `most` one bit is left out of both, and half of the others stand on either side
+    if most % 2:
+        without = F.posexplode(F.transform(bits, lambda bit: F.col("fp").bitwiseAND(F.bitwise_not(bit))))
+        values = fps.select("fp", without.alias("bit", "x"))
+    else:
+        values = fps.select("fp", F.lit(-1).alias("bit"), F.col("fp").alias("x"))
+    for _ in range(most // 2):
+        turned = F.array_union(F.array("x"), F.transform(bits, lambda bit: F.col("x").bitwiseXOR(bit)))
+        values = values.select("fp", "bit", F.explode(turned).alias("x"))
+        values = values.filter("bit < 0 OR (shiftrightunsigned(x, bit) & 1) = 0").distinct() if most > 2 or most % 2 else values
+    met = values.groupBy("bit", "x").agg(F.collect_set("fp").alias("members")).filter(F.size("members") > 1)  # no more than values of a fingerprint
     return met.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).filter("a <> b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2, segments: int = 8, bucket: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2, segments: int | None = None, bucket: int = 64) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id (the least id reachable over links) of every row."""
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least")))
@@ -123,21 +146,105 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42, parts: int = PARTS) -> np.ndarray:
+    """`parts` numbers of 64 bits, each bit set if it is set in over half of the hashes that the shingles' XXH64 yield for it."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(parts, dtype=np.uint64)
+    digest = partial(xxhash.xxh64_intdigest, seed=seed)
+    n = max(1, len(words) - shingle + 1)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
+    hashes = np.unique(np.fromiter(map(digest, shingles), dtype=np.uint64, count=n))
+    ones = np.zeros((parts, BITS), dtype=np.int64)
+    for k in range(parts):
+        x = hashes * np.uint64(2 * k + 1) + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = np.ascontiguousarray((x ^ (x >> np.uint64(29))).astype("<u8"))
+        for lo in range(0, len(x), _SLICE):
+            ones[k] += np.unpackbits(x[lo : lo + _SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def wide_links(prints: DataFrame, most: int = NEAR, chain: int | None = None, bucket: int = 64) -> DataFrame:
+    """Pairs a, b of nodes in `prints` (node, p0 to p7) that share a chain of equal segments and differ in at most `most` bits.
+
+    A key that more than `bucket` share isn't paired off: its members are compared with the least of them, those that are near it
+    are linked to it, and the others go on with a chain of one segment more, until few are left.
+    """
+    parts = [c for c in prints.columns if c != "node"]
+    n = prints.count()
+    chain = chain or next((c for c in (3, 4, 5) if n <= 8 << (8 * c)), 6)
+    ring = F.concat(*(F.lpad(F.hex(c), 16, "0") for c in parts))
+    ring = F.concat(ring, ring)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        a, b = (prints.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}{k}") for k, c in enumerate(parts))) for side in "ab")
+        differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, len(parts))), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+        return pairs.join(a, "a").join(b, "b").filter(differ <= most).select("a", "b")
+
+    starts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: F.struct(k.alias("start"))))
+    keyed = prints.select("node", starts.alias("x"), ring.alias("ring")).select("node", F.col("x.start").alias("start"), F.xxhash64("x.start", F.substr("ring", 2 * F.col("x.start") + 1, F.lit(2 * chain))).alias("key"))
+    found: list[DataFrame] = []
+    while True:
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+        shared, _ = stored(keyed.join(sizes, "key"), "simhash-chains")
+        few = shared.filter(F.col("n") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # `bucket` at most
+        pairs = few.select(F.posexplode("nodes").alias("at", "a"), "nodes").select("a", F.explode(F.slice("nodes", F.col("at") + 2, F.size("nodes"))).alias("b"))
+        found.append(near(pairs.distinct()))
+        crowded = shared.filter(F.col("n") > bucket)
+        if not crowded.limit(1).count():
+            break
+        tied, _ = stored(near(crowded.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()), "simhash-tied")
+        found.append(tied)
+        chain += 1
+        if chain > SEGMENTS:
+            break
+        left = crowded.filter("node <> least").join(tied.select(F.col("a").alias("least"), F.col("b").alias("node")), ["least", "node"], "left_anti")
+        keyed = left.select("node", "start").join(prints.select("node", ring.alias("ring")), "node").select("node", "start", F.xxhash64("start", F.substr("ring", 2 * F.col("start") + 1, F.lit(2 * chain))).alias("key"))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = NEAR, bucket: int = 64) -> DataFrame:
+    """id and component_id (the least id reachable over links) of every row, by fingerprints of 512 bits."""
+    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    names = [f"p{k}" for k in range(PARTS)]
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.stack([wide_fingerprint(x.as_py(), shingle) for x in batch.column(1)]).view(np.int64) if batch.num_rows else np.zeros((0, PARTS), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(PARTS))], names=["id", *names])
+
+    prints, _ = stored(kept.mapInArrow(compute, f"id {kept.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names)), "simhash-prints")
+    nodes, _ = stored(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
+    found = connected_components(wide_links(nodes.select("node", *names), most, bucket=bucket))
+    rooted = nodes.join(found, "node", "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(*names, "component_id")
+    return prints.join(named, names).select(F.col("id").alias(id_col), "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped: DataFrame | None = None, **options) -> DataFrame:
     """The rows of `docs` that stay if of each group of near copies only the smallest id does, with all their columns.
 
-    Of rows that share an id one stays. Rows without an id stay: no decision can name them.
+    grouped: id and component_id of every row; if it isn't given, that of `near_duplicates`. Of rows that share an id one stays. Rows
+    without an id stay: no decision can name them.
     """
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, **options)
-    kept = checkpointed(found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__kept")).agg(F.count("*").alias("__rows")))
-    once = docs.join(kept.filter("__rows = 1").select("__kept"), F.col(id_col) == F.col("__kept"), "left_semi")
+    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, **options) if grouped is None else grouped
+    kept_name, rows_name = fresh_names(docs, "kept", "rows").values()
+    kept = checkpointed(found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(kept_name)).agg(F.count("*").alias(rows_name)))
+    once = docs.join(kept.filter(F.col(rows_name) == 1).select(kept_name), F.col(id_col) == F.col(kept_name), "left_semi")
     nameless = docs.filter(F.col(id_col).isNull())
     parts = [once, nameless]
-    if kept.filter("__rows > 1").limit(1).count():
-        repeated = docs.join(kept.filter("__rows > 1").select("__kept"), F.col(id_col) == F.col("__kept"), "left_semi")
+    if kept.filter(F.col(rows_name) > 1).limit(1).count():
+        repeated = docs.join(kept.filter(F.col(rows_name) > 1).select(kept_name), F.col(id_col) == F.col(kept_name), "left_semi")
         # the same row wherever it is computed: the least by all that tells rows apart
         others = [c for c in docs.columns if c != id_col]
-        parts.append(repeated.groupBy(id_col).agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("__row")).select(*(F.col(f"__row.{c}").alias(c) if c != id_col else F.col(id_col) for c in docs.columns)))
+        row_name = fresh_names(docs, "row")["row"]
+        parts.append(repeated.groupBy(id_col).agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias(row_name)).select(*(F.col(f"{row_name}.{c}").alias(c) if c != id_col else F.col(id_col) for c in docs.columns)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -79,6 +79,68 @@ def test_links_join_all_that_are_near_even_in_crowded_keys(spark, bucket):
             assert (said[a] == said[b]) == (a == b or (a in roots and roots.get(a) == roots.get(b)))
 
 
+@pytest.mark.parametrize("most", [1, 3, 4])
+def test_common_neighbours_at_other_distances(spark, most):
+    rng = random.Random(most)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    near = [b ^ sum(1 << k for k in rng.sample(range(64), most + extra)) for b in base for extra in (0, 1)]
+    fps = [x - (1 << 64) if x >> 63 else x for x in base + near]
+    df = spark.createDataFrame([(x,) for x in set(fps)], "fp long")
+    got = {r.node: r.root for r in components.connected_components(simhash.neighbour_links(df, most)).collect()}
+    for a in set(fps):
+        for b in set(fps):
+            if a != b and bin((a ^ b) & (1 << 64) - 1).count("1") <= most:
+                assert got[a] == got[b]
+    assert len({got[x] for x in set(fps) if x in got}) >= 6
+
+
+def test_segments_follow_the_number_of_fingerprints():
+    assert [simhash.segments_for(n) for n in (10, 10**6, 10**9, 10**10, 10**11, 10**13)] == [8, 8, 16, 64, 64, 64]
+    assert simhash.segments_for(100, most=9) == 16
+
+
+def test_near_copies_by_five_word_shingles(spark):
+    """Recall by the shingles' likeness, for texts edited word by word, and none of unlike texts."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(3000)]
+
+    def shingles(words):
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    rows, alike = [], {}
+    for k in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(80, 400))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, int(len(words) * rng.choice([0.005, 0.01, 0.02])))):
+            other[at] = rng.choice(vocabulary)
+        a, b = shingles(words), shingles(other)
+        alike[k] = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    half = [(1000 + k, " ".join((rows[2 * k][1].split() * 2)[: len(rows[2 * k][1].split()) // 2] + [rng.choice(vocabulary) for _ in range(150)])) for k in range(60)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows + half, "doc_id long, text string")).collect()}
+    for lo, least in ((0.9, 0.97), (0.8, 0.7)):
+        some = [k for k, x in alike.items() if lo <= x < (1 if lo == 0.9 else 0.9)]
+        caught = sum(got[2 * k + 1] == 2 * k for k in some)
+        print(lo, caught, len(some))
+        assert caught >= least * len(some)
+    assert all(got[2 * k] == 2 * k for k in alike) and all(got[d] == d for d, _ in half)
+
+
+def test_crowded_chains_keep_their_groups(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for k in range(120):
+        other = list(words)
+        other[rng.randrange(300)] = f"x{k}"
+        rows.append((k, " ".join(other)))
+    rows += [(200 + k, " ".join(f"w{rng.randrange(5000)}" for _ in range(300))) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bucket in (4, 64):
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(df, bucket=bucket).collect()}
+        assert {got[k] for k in range(120)} == {0} and all(got[200 + k] == 200 + k for k in range(30))
+
+
 @given(st.integers(0, (1 << 64) - 1), st.sets(st.integers(0, 63), max_size=2))
 @settings(max_examples=300, deadline=None)
 def test_some_segment_starts_a_chain_within_its_budgets(x, flips):
