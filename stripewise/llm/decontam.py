@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stripewise.llm.common import checkpointed
+from stripewise.llm.common import checkpointed, fresh_names
 
 WINDOW = 8
 SHARE = 0.2
@@ -316,5 +316,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` whose id isn't reported by `contaminated`, with all their columns."""
-    found = contaminated(docs, items, id_col, text_col, **options).select(F.col(id_col).alias("__leaked")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("__leaked")), "left_anti")
+    name = fresh_names(docs, "leaked")["leaked"]
+    found = contaminated(docs.select(id_col, text_col), items, id_col, text_col, **options).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(found, docs[id_col].eqNullSafe(F.col(name)), "left_anti")
