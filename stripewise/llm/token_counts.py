@@ -1,7 +1,8 @@
 """Token counts behind a digest cache.
 
 The cache is a Parquet table with one row per (content digest, tokenizer digest). Texts are normalised, digested
-and joined to it; the distinct texts that it lacks are encoded once each and appended; the answer is a second join.
+and joined to it; the distinct texts that it lacks are encoded once each and appended; the answer is a second join. Digests are
+joined before any text is dealt out, so a run over a cache that has them all moves no text.
 
 Defined results: a null text counts as the empty text (0 bytes, 0 tokens); repeated rows are returned as often as they
 came and encoded once; a null id is kept; other columns of the input are ignored; an empty table gives no rows.
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stripewise.llm.common import discard, shuffles_dropped, stored
+
 CACHE_SCHEMA = T.StructType(
     [
         T.StructField("content_digest", T.BinaryType()),
@@ -29,6 +32,9 @@ CACHE_SCHEMA = T.StructType(
     ]
 )
 
+#: Digests that are broadcast at most, 32 bytes each.
+BROADCAST_DIGESTS = 500_000
+
 #: Texts of these characters only are split alike under every Unicode version; others go to the library itself.
 _STABLE = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞₠-₿]")
 _SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -160,11 +166,18 @@ def token_counts(
             counts = count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=CACHE_SCHEMA.names)
 
-    known = read_cache(spark, cache_path).filter(F.col("tokenizer_digest") == version)
-    # one row for each text and task before anything is dealt out, so a text that recurs very often weighs no more than others
-    distinct = keyed.groupBy("content_digest").agg(F.first("content").alias("content"))
-    misses = distinct.join(known.select("content_digest"), "content_digest", "left_anti").select("content_digest", "content")
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    known = read_cache(spark, cache_path).filter(F.col("tokenizer_digest") == version).select("content_digest")
+    lacking, path = stored(keyed.select("content_digest").distinct().join(known, "content_digest", "left_anti"), "token-misses")
+    n = lacking.count()
+    if n:
+        # one row for each text and task before anything is dealt out, so a text that recurs very often weighs no more than others
+        if n <= BROADCAST_DIGESTS:
+            misses = keyed.join(F.broadcast(lacking), "content_digest", "left_semi").groupBy("content_digest").agg(F.first("content").alias("content"))
+        else:
+            misses = keyed.groupBy("content_digest").agg(F.first("content").alias("content")).join(lacking, "content_digest", "left_semi")
+        with shuffles_dropped(spark):
+            misses.select("content_digest", "content").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    discard(spark, path)
 
     counted = read_cache(spark, cache_path).filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
     return (

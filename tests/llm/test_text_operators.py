@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -61,6 +62,38 @@ def test_only_misses_are_encoded_and_versions_are_kept_apart(spark, odd, docs, t
     assert all(r.n_tokens >= 0 for r in other)
 
 
+def test_both_encoders_count_alike():
+    """Seeded texts of special strings, white space, long runs and every range of characters that the faster encoder takes."""
+    with open(BPE, encoding="utf-8") as file:
+        spec = file.read()
+    library, count = Tokenizer.from_str(spec), token_counts.counter(spec)
+    rng = np.random.default_rng(12)
+    specials = [x["content"] for x in json.loads(spec).get("added_tokens", [])] or ["<|endoftext|>"]
+    ranges = [(0x20, 0x7E), (0x20, 0x7E), (0x61, 0x7A), (0xA1, 0xAC), (0xAE, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF)]
+    loose = ["\t", "\n", "\r", "\r\n", " ", "  ", "   ", "'s", "'LL", "’s", "<|", "|>", "1234567890", "a" * 300, " " * 70, "\n\n\n", *specials, *(x[:-1] for x in specials)]
+    texts = []
+    for _ in range(3000):
+        parts = []
+        for _ in range(rng.integers(1, 25)):
+            if rng.random() < 0.4:
+                parts.append(loose[rng.integers(len(loose))])
+            else:
+                lo, hi = ranges[rng.integers(len(ranges))]
+                parts.append("".join(map(chr, rng.integers(lo, hi + 1, rng.integers(1, 12)))))
+        texts.append("".join(parts))
+    texts += [chr(k) * n for k in range(0x20, 0x250) for n in (1, 5)] + ["".join(map(chr, rng.integers(0x20, 0x7F, 50_000)))]
+    texts += ["日本語 и ещё", "e\u0301a\u0300", "\u2028x\u00a0y", "🙂👍🏽"]
+    assert count(texts) == [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_warm_cache_moves_no_text(spark, docs, tmp_path):
+    path = str(tmp_path / "cache")
+    token_counts.token_counts(docs, path, BPE).collect()
+    files = sorted(p.name for p in (tmp_path / "cache").iterdir())
+    again = token_counts.token_counts(docs, path, BPE)
+    assert sorted(p.name for p in (tmp_path / "cache").iterdir()) == files and again.count() == docs.count()
+
+
 def test_no_rows(spark, none):
     assert token_counts.token_counts(none, scratch_path(spark, "cache"), BPE).count() == 0
     assert mixing.mix(none)[0].count() == 0 and mixing.mix(none)[1].count() == 0
@@ -98,6 +131,35 @@ def test_mix(spark, request, table):
     assert collections.Counter(map(tuple, again.collect())) == collections.Counter(map(tuple, rows))
 
 
+def test_taken_words_follow_from_the_slots(spark, odd, docs, monkeypatch):
+    """Every row's words by counting each word of the stream that the slots take."""
+    monkeypatch.setattr(mixing, "FANOUT", 3)
+    monkeypatch.setattr(mixing, "COPIES_AT_ONCE", 2)
+    few = docs.filter("doc_id < 40").select("doc_id", "text", "source")
+    df = few.unionByName(few.filter("doc_id = 3")).unionByName(few.filter("doc_id = 3")).unionByName(few.filter("doc_id < 5"))
+    report, slots = mixing.mix(df, block=16, n_shards=20)
+    sized = df.select("doc_id", "source", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"))
+    placed = mixing.each_copy(mixing.streams(sized, max(1, -(-df.count() // mixing.ROWS_PER_BUCKET)))).collect()
+    uses = collections.Counter()
+    drawn = slots.collect()
+    for r in drawn:
+        uses.update((r.source, r.block * 16 + k) for k in range(r.words))
+    said = sorted((r.doc_id, r["size"], sum(uses[r.source, r.offset + k] for k in range(r["size"]))) for r in placed)
+    assert said == sorted((r.doc_id, r["size"], r.taken) for r in report.collect())
+    # each source's slots are numbered without gaps, and shards are as large as each other
+    for source in {r.source for r in drawn}:
+        mine = sorted(r.slot for r in drawn if r.source == source)
+        assert mine == list(range(len(mine)))
+    sizes = collections.Counter(r.shard for r in drawn)
+    assert len(sizes) == 20 and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_very_many_sources(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"))
+    rows = mixing.mix(df, block=2, n_shards=100)[0].collect()
+    assert len(rows) == 3000 and sum(r.taken for r in rows) == pytest.approx(1.5 * 4 * 3000, abs=1500)
+
+
 def test_water_fill():
     assert mixing.water_fill([100, 100], [3, 1], 300) == [200.0, 100.0]
     assert mixing.water_fill([10, 100, 100], [3, 1, 2], 315) == pytest.approx([20, 295 / 3, 295 * 2 / 3])
