@@ -183,12 +183,14 @@ def page_of(fields: dict, at: int = 0) -> tuple:
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_revisit: int = 100, archive_bytes: int = 16 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z", sample: int = 200) -> None:
     """Write archives of all pages to the table at `path`.
 
-    The dictionary is made of `sample` pages at most; it bears on size only, never on what is stored.
+    The dictionary is made of the beginnings of `sample` pages at most, those with the least hashes; it bears on size only, never on
+    what is stored.
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
-    shared = dictionary([bytes(r.payload) for r in rows.select(F.substring("payload", 1, 8192).alias("payload")).limit(sample).collect()])
+    heads = rows.select("id", F.substring("payload", 1, 8192).alias("payload"))
+    shared = dictionary([bytes(r.payload) for r in heads.orderBy(F.xxhash64("id", "payload"), "payload").limit(sample).collect()])
 
     keyed = rows.withColumns({"digest": F.sha2("payload", 256), "length": F.octet_length("payload").cast("long")})
     firsts = keyed.select("id", "digest", "length").filter(F.col("length") >= least_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
@@ -248,10 +250,15 @@ def read_files(spark: SparkSession, path: str, payloads: bool = True) -> DataFra
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:
-    """Write archives as .warc.zst files to a folder of the driver, one at a time; returns their paths."""
-    paths = []
+    """Write archives as .warc.zst files to a folder of any file system that Spark knows, one at a time; returns their paths."""
+    spark, paths = archives.sparkSession, []
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for row in archives.toLocalIterator():
+        where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.archive}.warc.zst")
+        out = where.getFileSystem(conf).create(where, True)
+        try:
+            out.write(bytearray(row.content))
+        finally:
+            out.close()
         paths.append(f"{folder}/{row.archive}.warc.zst")
-        with open(paths[-1], "wb") as file:
-            file.write(row.content)
     return paths
