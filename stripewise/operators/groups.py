@@ -21,15 +21,26 @@ def with_row_number(df: DataFrame, order_by: Sequence[str | Column], name: str =
     """df with the place of each row in the order, from 0.
 
     Rows are dealt to ranges of the order and numbered within each; the ranges' sizes, one number each, give the
-    offsets. No task sees all rows. The order should be total, else equal rows take places as they come.
+    offsets. No task sees all rows. Rows that the order doesn't tell apart (ties, nulls) are told apart by a hash of what they hold,
+    so that very many of them are dealt out as well. The rows are written to the shared folder once, since what range a row is in must
+    not change.
     """
-    ordered = settled(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("__place", F.monotonically_increasing_id()))
+    held = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]
+    order = [*order_by, F.xxhash64(*held)] if held else list(order_by)
+    ordered = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()))
     placed = ordered.withColumn("__range", F.shiftright("__place", 33))
     sizes = placed.groupBy("__range").agg(F.count("*").alias("__rows"))  # one row for each range
     offsets = sizes.select("__range", (F.sum("__rows").over(W.orderBy("__range")) - F.col("__rows")).alias("__offset"))
     return placed.join(F.broadcast(offsets), "__range").withColumn(name, F.col("__offset") + F.col("__place").bitwiseAND(F.lit(_LOCAL))).drop("__range", "__place", "__offset")
 
 
+def _hashable(kind: T.DataType) -> bool:
+    """Whether a type has no map inside: Spark doesn't hash those."""
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType)
+
+
 def in_ranges(df: DataFrame, by: Sequence[str], order_by: str, name: str = "range") -> DataFrame:
     """df with the range of (by, order_by) that each row was dealt to, numbered in order, so that a key of any size is in many."""
     return settled(df.repartitionByRange(*by, order_by).withColumn(name, F.spark_partition_id()))

@@ -132,3 +132,13 @@ def test_checks(spark, demo):
 def test_null_profile(spark):
     rows = S.null_profile(spark.createDataFrame([(1, None), (2, "a")], "a int, b string")).collect()
     assert [(r.column, r.null_count, r.has_null) for r in rows] == [("a", 0, False), ("b", 1, True)]
+
+
+def test_ties_and_nulls_are_numbered_in_many_ranges(spark):
+    rows = [(None if k % 3 else 7, k, {"a": k}) for k in range(300)]
+    df = spark.createDataFrame(rows, "at int, v int, m map<string,int>").repartition(5)
+    got = groups.with_row_number(df, ["at"]).collect()
+    assert sorted(r.row_number for r in got) == list(range(300))
+    assert [r["at"] for r in sorted(got, key=lambda r: r.row_number)] == [None] * 200 + [7] * 100
+    again = {r.v: r.row_number for r in groups.with_row_number(df.repartition(3), ["at"]).collect()}
+    assert again == {r.v: r.row_number for r in got}
