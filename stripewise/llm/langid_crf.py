@@ -8,7 +8,8 @@ the score. Long chains are cut into blocks that are worked side by side: the pro
 and backward messages over it, so the marginals are those of the whole chain.
 
 The model is fitted on the driver on at most `sample` rows of each language that are not held out and `sample_bytes` of their
-text, chosen by a hash; both are parameters, and with over TOTAL / `sample` languages each has the less. Of each text runs of words
+text, chosen by a hash, and on the `most` languages that have most rows; all are parameters, and with over TOTAL / `sample`
+languages each has the less. Of each text runs of words
 spread evenly over all of it are learned from. Prediction reads text only, in batches of bounded size.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and where nothing can be learned; ties go to the
@@ -33,8 +34,10 @@ from stripewise.llm.common import bounded_sample, split_of
 
 FEATURES = 1 << 15
 CHAIN = 64
-#: Rows of a language to fit on, their bytes, and rows of all languages.
+#: Rows of a language to fit on, their bytes, and rows of all languages together.
 SAMPLE, SAMPLE_BYTES, TOTAL = 300, 16 << 20, 60_000
+#: Languages to learn at most: those with most rows.
+LANGUAGES = 256
 TRAIN_WORDS = 60_000
 
 _WORDS = re.compile(r"[^\W\d_]{1,40}")
@@ -198,13 +201,13 @@ def fit(texts: dict[str, list[str]], epochs: int = 4, chain: int = 16, sequences
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, held: int = 2, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, held: int = 2, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, most: int = LANGUAGES) -> Model | None:
     """The model of at most `sample` rows of each language whose crc32(id) modulo `mod` isn't `held`; None if there are none."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
     known = known.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & (split_of("id", mod) != held))
-    n = known.select("label").distinct().count()
-    each = max(1, min(sample, TOTAL // max(1, n)))
-    rows = bounded_sample(known, each, sample_bytes).orderBy("label", "h").collect()  # `each` rows of each language
+    common = known.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most).select("label")
+    each = max(1, min(sample, TOTAL // max(1, common.count())))
+    rows = bounded_sample(known.join(F.broadcast(common), "label", "left_semi"), each, sample_bytes).orderBy("label", "h").collect()  # `each` rows of each language
     texts: dict[str, list[str]] = {}
     for row in rows:
         texts.setdefault(row.label, []).append(row.text)
@@ -268,11 +271,12 @@ class Labeller:
         # messages over whole blocks, from the first block of each chain on and from its last one back
         before = np.broadcast_to(first, (len(owner), size)).copy()
         after = np.ones((len(owner), size), dtype=np.float32)
+        at_once, matrices_at_once = max(16, 16_384 // size), max(16, 65_536 // size**2)  # memory alike for few languages and many
         long = np.flatnonzero(blocks[owner] > 1)
         if len(long):
             matrices = np.empty((len(owner), size, size), dtype=np.float32)
-            for lo in range(0, len(long), 4096):
-                some = long[lo : lo + 4096]
+            for lo in range(0, len(long), matrices_at_once):
+                some = long[lo : lo + matrices_at_once]
                 matrices[some] = block_matrices(padded(some), lengths[some], transitions, within[some] == 0)
             chains = np.flatnonzero(blocks > 1)
             chains = chains[np.argsort(-blocks[chains], kind="stable")]
@@ -291,8 +295,8 @@ class Labeller:
                 m = np.einsum("nij,nj->ni", matrices[opening[some] + k], message[:count])
                 message[:count] = m / np.maximum(m.sum(axis=1, keepdims=True), 1e-30)
                 after[opening[some] + k - 1] = message[:count]
-        for lo in range(0, len(owner), 4096):
-            some = np.arange(lo, min(lo + 4096, len(owner)))
+        for lo in range(0, len(owner), at_once):
+            some = np.arange(lo, min(lo + at_once, len(owner)))
             marginals = forward_backward(padded(some), lengths[some], transitions, self.model.first, before[some], after[some])
             inside = np.arange(marginals.shape[1]) < lengths[some][:, None]
             np.add.at(out, owner[some], (marginals * inside[:, :, None]).sum(axis=1))
@@ -300,6 +304,7 @@ class Labeller:
 
     def label(self, texts: Iterator[str | None], chunk: int = 250_000) -> Iterator[tuple[str, float]]:
         waiting, size = [], 0
+        chunk = max(10_000, chunk * 16 // max(16, len(self.model.languages) ** 2))
         for text in texts:
             ids = self.ids_of(text)
             waiting.append(self.table[ids])

@@ -466,6 +466,13 @@ def test_long_texts_are_one_chain():
         assert np.allclose(langid_crf.Labeller(model).marginal_sums(texts, chain), whole, rtol=2e-3, atol=2e-3)
 
 
+def test_more_languages_than_are_learned(spark):
+    rows = [(k, f"word{chr(97 + k % 9)} other{chr(97 + k % 9)} " * 4, f"l{k % 9}" if k % 9 < 3 or k < 30 else "l0") for k in range(90)]
+    model = langid_crf.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=3)
+    assert model.languages == ["l0", "l1", "l2"]
+    assert langid_crf.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=500).languages == [f"l{k}" for k in range(9)]
+
+
 def test_spread_takes_from_the_whole_text():
     text = [str(k) for k in range(10_000)]
     some = langid_crf.spread(text, 160)
