@@ -121,3 +121,21 @@ def test_row_groups_of_all_stripes(spark, tiny, tmp_path, monkeypatch):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert len(got) == 300 and got == sorted(con.execute(catalogue.ORACLES["orc_rowgroup_stats"]).fetchall())
+
+
+def test_tails_of_many_files_in_chunks(spark, tmp_path):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id"))).alias("name"))
+    orc.write(df, str(tmp_path / "many"), orc.WriteConfig().with_compression("zlib"), files=7)
+    path = str(tmp_path / "many")
+    for found in (tail.files, tail.stripes, tail.streams, tail.encodings, tail.positions, tail.statistics):
+        whole, parts = found(spark, path), found(spark, path, chunk=2, threads=2)
+        assert parts.schema == whole.schema and sorted(map(repr, parts.collect())) == sorted(map(repr, whole.collect())) != []
+    streams = tail.streams(spark, path)
+    # streams of a stripe follow one another, and of a column with nulls the present bits are stored
+    assert streams.filter("column_id = 2 AND kind = 'present'").count() == tail.files(spark, path).count() == 7
+    assert {r.encoding.split("_")[0] for r in tail.encodings(spark, path).filter("column_id = 2").collect()} <= {"direct", "dictionary"}
+    framed = tail.blocks(spark, path).collect()
+    assert framed and all(r.whole and r.blocks >= 1 for r in framed)
+    none = str(tmp_path / "none")
+    spark.createDataFrame([], "a int").write.parquet(none)
+    assert tail.files(spark, str(tmp_path / "none" / "_SUCCESS")).count() == 0
