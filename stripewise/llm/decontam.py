@@ -9,8 +9,8 @@ caught while a chance likeness of templates is not. A document is reported with
 
 Documents are read once; a bitmap of 2**22 flags, whatever the size of the benchmark, keeps windows that can't match from
 being dealt out at all, and the join on the full hash decides: a window that passes goes in both forms, and its template is
-set aside only where the same item is known to hold it word by word. Equal items are sought once. Windows are hashed by doubling:
-every further length costs one step over the tokens.
+set aside only where the same item is known to hold it word by word. Equal items are sought once. Windows are hashed by doubling, and
+templates of whole items are looked for only where one of their first windows is met, so that their lengths cost no pass each.
 
 Benchmark items shorter than a window are sought as a whole. Items in which too few windows have enough literal words to reach the
 share as templates (short items, and those that are mostly numbers and names) are also sought by one template of the whole item, in
@@ -60,7 +60,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 CANDIDATE_SCHEMA = "key {key}, hash long, place int, plain boolean, words long, slots array<string>"
-WINDOW_SCHEMA = "item_id {key}, hash long, place int, windows int, length int, plain boolean, whole boolean, slots array<string>"
+WINDOW_SCHEMA = "item_id {key}, hash long, place int, windows int, length int, plain boolean, whole boolean, slots array<string>, anchor long"
 
 
 class Canon:
@@ -161,10 +161,20 @@ class Chunk:
         while len(levels) <= power:
             half = 1 << (len(levels) - 1)
             levels.append(_paired(levels[-1][:-half], levels[-1][half:]))
-        n = len(self.flat) - length + 1
+        n = max(0, len(self.flat) - length + 1)
         last = length - (1 << power)
         return _mixed(_paired(levels[power][:n], levels[power][last : last + n]) + np.uint64(length))
 
+    def hashes_at(self, length: int, form: int, places: np.ndarray) -> np.ndarray:
+        """The same of the windows at some places only, from the doublings that there are."""
+        levels = self._doubled[form]
+
+        def doubled(power: int, at: np.ndarray) -> np.ndarray:
+            return levels[power][at] if power < len(levels) else _paired(doubled(power - 1, at), doubled(power - 1, at + (1 << (power - 1))))
+
+        power = length.bit_length() - 1
+        return _mixed(_paired(doubled(power, places), doubled(power, places + (length - (1 << power)))) + np.uint64(length))
+
     def windows(self, length: int, plain: bool, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the window at each place, and whether it lies in one text and says enough; templates of whole items need a slot only."""
         if len(self.flat) < length:
@@ -202,16 +212,17 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
                 windows, templates = tokens - length + 1, 0
                 for plain in (True, False) if length == window else (True,):
                     hashes, good = chunk.windows(length, plain)
-                    rows += [(key_.as_py(), int(hashes[k : k + 1].view(np.int64)[0]), k, windows, length, plain, False, [] if plain else chunk.slots(k, length)) for k in np.flatnonzero(good).tolist()]
+                    rows += [(key_.as_py(), int(hashes[k : k + 1].view(np.int64)[0]), k, windows, length, plain, False, [] if plain else chunk.slots(k, length), None) for k in np.flatnonzero(good).tolist()]
                     templates += 0 if plain else int(good.sum())
                 if templates < 2 * share * windows:
                     hashes, good = chunk.windows(tokens, False, whole=True)
                     slots = chunk.slots(0, tokens, whole=True)
                     if good[0] and tokens - len(set(slots)) >= LEAST_GIVEN:
-                        rows.append((key_.as_py(), int(hashes.view(np.int64)[0]), 0, windows, tokens, False, True, slots))
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["item_id", "hash", "place", "windows", "length", "plain", "whole", "slots"])
+                        anchor = int(chunk.hashes(window, 2)[:1].view(np.int64)[0]) if tokens > window else None
+                        rows.append((key_.as_py(), int(hashes.view(np.int64)[0]), 0, windows, tokens, False, True, slots, anchor))
+            columns = list(zip(*rows, strict=True)) or [[]] * 9
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["item_id", "hash", "place", "windows", "length", "plain", "whole", "slots", "anchor"])
 
     return kept.mapInArrow(cut, WINDOW_SCHEMA.format(key=key))
 
@@ -224,14 +235,34 @@ def _candidates(docs: DataFrame, flags, lengths: list[tuple[int, bool]], id_col:
         passes, canon = np.unpackbits(np.frombuffer(flags.value, dtype=np.uint8), bitorder="little"), Canon()
 
         def found(keys: list, ids: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
-            chunk, rows = Chunk(canon, ids), []
+            chunk, rows, anchors = Chunk(canon, ids), [], None
+
+            def passing(hashes: np.ndarray) -> np.ndarray:
+                return passes[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)].astype(bool)
+
             for length, whole in lengths:
+                if whole and length > window:
+                    if anchors is None:
+                        first = chunk.hashes(window, 2) if len(chunk.flat) >= window else np.zeros(0, np.uint64)
+                        anchors = np.flatnonzero(passing(first))
+                    at = anchors[anchors <= len(chunk.flat) - length]
+                    at = at[chunk.text[at] == chunk.text[at + length - 1]]
+                    hashes = chunk.hashes_at(length, 2, at) if len(at) else np.zeros(0, np.uint64)
+                    met = passing(hashes)
+                    at, hashes = at[met], hashes[met].view(np.int64)
+                    if len(at):
+                        chunk.hashes(1, 1)
+                        words = chunk.hashes_at(length, 1, at).view(np.int64)
+                        for k, h, w in zip(at.tolist(), hashes.tolist(), words.tolist(), strict=True):
+                            owner = int(chunk.text[k])
+                            rows.append((keys[owner], h, k - int(chunk.start[owner]), False, w, chunk.slots(k, length, True)))
+                    continue
                 words = chunk.windows(length, True)[0].view(np.int64) if whole else None
                 for plain in (False,) if whole else (True, False) if length == window else (True,):
                     hashes, good = chunk.windows(length, plain, whole)
                     if plain:
                         words = hashes.view(np.int64)
-                    hit = passes[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)].astype(bool) & good
+                    hit = passing(hashes) & good
                     for k in np.flatnonzero(hit).tolist():
                         owner = int(chunk.text[k])
                         rows.append((keys[owner], int(hashes[k : k + 1].view(np.int64)[0]), k - int(chunk.start[owner]), plain, int(words[k]), [] if plain else chunk.slots(k, length, whole)))
@@ -264,7 +295,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     bench = checkpointed(benchmark_windows(units.select("unit", "text").distinct(), "unit", "text", window, share))
     # 2**22 places as 65,536 numbers of 64 bits, whatever the benchmark
     place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
-    words = bench.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((shiftrightunsigned(hash, {64 - FILTER_BITS}) & 63) AS int))")).alias("bits")).collect()
+    sought = bench.select("hash").unionByName(bench.filter("anchor IS NOT NULL").select(F.col("anchor").alias("hash")))
+    words = sought.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((shiftrightunsigned(hash, {64 - FILTER_BITS}) & 63) AS int))")).alias("bits")).collect()
     bits = np.zeros(1 << max(0, FILTER_BITS - 6), dtype=np.int64)
     bits[[r.word for r in words]] = [r.bits for r in words]
     flags = spark.sparkContext.broadcast(bits.tobytes())
