@@ -1,7 +1,8 @@
 """Connected components of an undirected graph by alternating large-star and small-star steps.
 
 Every step is a grouped minimum and a join, so a node with very many neighbours is pre-aggregated and never gathered in
-one task; the steps are checkpointed and nothing but two numbers reaches the driver.
+one task; the steps are checkpointed and nothing but two numbers reaches the driver. Rows of two kinds come from one frame by
+exploding pairs, not from unions: Spark 4.1's planner may fail to map the partitioning of a union's children.
 """
 
 from __future__ import annotations
@@ -18,6 +19,12 @@ def _stars(directed: DataFrame, keep) -> DataFrame:
     return directed.join(least, "u").filter(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
+def _either(df: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """u and v of each of the pairs of columns, for every row."""
+    pairs = F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in ends))
+    return df.select(F.explode(pairs).alias("x")).select("x.u", "x.v")
+
+
 def connected_components(pairs: DataFrame) -> DataFrame:
     """node and root (the least node of its component) of every node of `pairs`, whose two columns are the ends of links."""
     a, b = pairs.columns
@@ -28,11 +35,9 @@ def connected_components(pairs: DataFrame) -> DataFrame:
         if state == before or state[0] == 0:
             break
         before = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both, F.col("v") > F.col("u")).filter("u <> v").distinct()
+        large = _stars(_either(edges, ("u", "v"), ("v", "u")), F.col("v") > F.col("u")).filter("u <> v").distinct()
         # small star: u hangs to the least of its lower neighbours, and so do the others of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        others = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(others.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return checkpointed(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+        edges = checkpointed(_either(large.join(least, "u"), ("u", "m"), ("v", "m")).filter("u <> v").distinct())
+    roots = edges.groupBy("u").agg(F.min("v").alias("v"))
+    return checkpointed(_either(roots, ("u", "v"), ("v", "v")).distinct().select(F.col("u").alias("node"), F.col("v").alias("root")))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stripewise.llm.common import checkpointed, fresh_names, stored
+from stripewise.llm.common import checkpointed, discard, fresh_names, scratch_path, shuffles_dropped, stored
 from stripewise.llm.components import connected_components
 
 BITS = 64
@@ -186,27 +186,32 @@ def wide_links(prints: DataFrame, most: int = NEAR, chain: int | None = None, bu
 
     starts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: F.struct(k.alias("start"))))
     keyed = prints.select("node", starts.alias("x"), ring.alias("ring")).select("node", F.col("x.start").alias("start"), F.xxhash64("x.start", F.substr("ring", 2 * F.col("x.start") + 1, F.lit(2 * chain))).alias("key"))
-    found: list[DataFrame] = []
+    spark, found, paths = prints.sparkSession, scratch_path(prints.sparkSession, "simhash-links"), []
+
+    def keep(pairs: DataFrame) -> None:
+        with shuffles_dropped(spark):
+            pairs.write.mode("append").parquet(found)
+
     while True:
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-        shared, _ = stored(keyed.join(sizes, "key"), "simhash-chains")
+        shared, path = stored(keyed.join(sizes, "key"), "simhash-chains")
+        paths.append(path)
         few = shared.filter(F.col("n") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # `bucket` at most
         pairs = few.select(F.posexplode("nodes").alias("at", "a"), "nodes").select("a", F.explode(F.slice("nodes", F.col("at") + 2, F.size("nodes"))).alias("b"))
-        found.append(near(pairs.distinct()))
+        keep(near(pairs.distinct()))
         crowded = shared.filter(F.col("n") > bucket)
         if not crowded.limit(1).count():
             break
-        tied, _ = stored(near(crowded.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()), "simhash-tied")
-        found.append(tied)
+        tied, path = stored(near(crowded.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()), "simhash-tied")
+        paths.append(path)
+        keep(tied)
         chain += 1
         if chain > SEGMENTS:
             break
         left = crowded.filter("node <> least").join(tied.select(F.col("a").alias("least"), F.col("b").alias("node")), ["least", "node"], "left_anti")
         keyed = left.select("node", "start").join(prints.select("node", ring.alias("ring")), "node").select("node", "start", F.xxhash64("start", F.substr("ring", 2 * F.col("start") + 1, F.lit(2 * chain))).alias("key"))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    discard(spark, *paths)
+    return spark.read.schema("a long, b long").parquet(found).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = NEAR, bucket: int = 64) -> DataFrame:
