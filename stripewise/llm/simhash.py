@@ -11,9 +11,11 @@ share isn't paired off: its members go the exact way of common neighbours instea
 each other just if some value is within t / 2 bits of both (for odd t, with one bit left out of both), so each member is dealt to
 its values of that kind, whose number follows from t alone, and each value links its members to the least of them.
 
-`near_copies` is for looser likeness, as a share of five-word shingles, which no small budget of 64 bits takes: fingerprints of 512
-bits, on whose ring a chain of equal segments is the key, are compared in full. Pairs that are alike enough have an equal chain with
-a probability below one; the module's tests measure it.
+`near_copies` is for looser likeness, as a share of five-word shingles, which no small budget of 64 bits takes. It is exact too: sets
+that are alike by 4 / 5 share one at least of the first fifth of their shingles, in an order that is the same for all, so those are
+the keys, and pairs of a key are compared by the shingles themselves. Members of a key that links join already aren't compared
+again, which keeps large groups of near copies linear; texts of a crowded key that stay apart are compared by 512 bits
+and more that bound from below in how many shingles two texts differ. Shingles and sets of them are told apart by 64-bit hashes.
 
 Defined results: a null or empty text has no words and fingerprint zero, which is linked like any other; fewer words than a
 shingle takes count as one shingle; repeated rows are rows of their own; a null id is kept and never names a component
@@ -23,21 +25,23 @@ unless it has no other member; other columns are ignored; an empty table gives n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stripewise.llm.common import checkpointed, discard, fresh_names, scratch_path, shuffles_dropped, stored
 from stripewise.llm.components import connected_components
 
 BITS = 64
 _SLICE = 1 << 15
-#: Fingerprints of `near_copies`: 64-bit parts, segments on their ring, and bits in which near copies differ at most. In 512 bits
-#: texts whose shingles are alike by 0.8 differ in 78 on average, with a deviation of 8.
-PARTS, SEGMENTS, NEAR = 8, 64, 88
+#: `near_copies`: likeness as a fraction, and 64-bit parts of the bits that bound it.
+ALIKE, PARTS = (4, 5), 8
+#: Texts of the sample that orders shingles, and shingles of it that are kept; texts that a broadcast picks out; rows of a crowded key in a task.
+SAMPLE, COMMON, BROADCAST_TEXTS, PART = 20_000, 200_000, 100_000, 256
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -146,90 +150,191 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42, parts: int = PARTS) -> np.ndarray:
-    """`parts` numbers of 64 bits, each bit set if it is set in over half of the hashes that the shingles' XXH64 yield for it."""
+def shingle_hashes(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct shingles' XXH64 in ascending order; fewer words than a shingle takes are one, a text without words has none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(parts, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     digest = partial(xxhash.xxh64_intdigest, seed=seed)
     n = max(1, len(words) - shingle + 1)
     shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
-    hashes = np.unique(np.fromiter(map(digest, shingles), dtype=np.uint64, count=n))
-    ones = np.zeros((parts, BITS), dtype=np.int64)
-    for k in range(parts):
-        x = hashes * np.uint64(2 * k + 1) + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = np.ascontiguousarray((x ^ (x >> np.uint64(29))).astype("<u8"))
-        for lo in range(0, len(x), _SLICE):
-            ones[k] += np.unpackbits(x[lo : lo + _SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
-
-
-def wide_links(prints: DataFrame, most: int = NEAR, chain: int | None = None, bucket: int = 64) -> DataFrame:
-    """Pairs a, b of nodes in `prints` (node, p0 to p7) that share a chain of equal segments and differ in at most `most` bits.
-
-    A key that more than `bucket` share isn't paired off: its members are compared with the least of them, those that are near it
-    are linked to it, and the others go on with a chain of one segment more, until few are left.
+    return np.unique(np.fromiter(map(digest, shingles), dtype=np.uint64, count=n))
+
+
+def prefix_of(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, alike: tuple[int, int] = ALIKE) -> np.ndarray:
+    """The first of a set's hashes, so many that sets which are alike enough share one of them at least.
+
+    All sets are ordered alike: hashes that `common` (ascending) lacks come first, by value, then the others by `rank`.
     """
-    parts = [c for c in prints.columns if c != "node"]
-    n = prints.count()
-    chain = chain or next((c for c in (3, 4, 5) if n <= 8 << (8 * c)), 6)
-    ring = F.concat(*(F.lpad(F.hex(c), 16, "0") for c in parts))
-    ring = F.concat(ring, ring)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        a, b = (prints.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}{k}") for k, c in enumerate(parts))) for side in "ab")
-        differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, len(parts))), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-        return pairs.join(a, "a").join(b, "b").filter(differ <= most).select("a", "b")
-
-    starts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: F.struct(k.alias("start"))))
-    keyed = prints.select("node", starts.alias("x"), ring.alias("ring")).select("node", F.col("x.start").alias("start"), F.xxhash64("x.start", F.substr("ring", 2 * F.col("x.start") + 1, F.lit(2 * chain))).alias("key"))
-    spark, found, paths = prints.sparkSession, scratch_path(prints.sparkSession, "simhash-links"), []
-
-    def keep(pairs: DataFrame) -> None:
-        with shuffles_dropped(spark):
-            pairs.write.mode("append").parquet(found)
+    p, q = alike
+    length = len(hashes) - -(-p * len(hashes) // q) + 1
+    if not len(common):
+        return hashes[:length]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    met = common[at] == hashes
+    first = hashes[~met][:length]
+    return first if len(first) == length else np.concatenate([first, hashes[met][np.argsort(rank[at[met]], kind="stable")]])[:length]
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of m residues, a bit that says if an odd number of hashes has it, in 64-bit parts: sets differ in as many hashes as bits, or more.
+
+    m is a power of two, 512 or at least twice the hashes; parts XORed together, half on half, are those of fewer residues.
+    """
+    m = max(64 * PARTS, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def bits_apart(a: str, b: str) -> Column:
+    """In how many bits two columns of `parities` differ, the longer one folded once if need be; 0, which says nothing, where once isn't enough."""
+    n = F.least(F.size(a), F.size(b))
+
+    def folded(c: str) -> Column:
+        halves = F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, n + 1, n), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(c) == n, F.col(c)).otherwise(halves)
+
+    each = F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.when(F.greatest(F.size(a), F.size(b)) <= 2 * n, F.aggregate(each, F.lit(0), lambda total, x: total + x)).otherwise(0)
+
+
+def common_shingles(kept: DataFrame, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts have, as far as a bounded sample shows, ascending, and their rank from the rarest.
+
+    They order the shingles only: whatever they are, no link is lost.
+    """
+    share = min(1.0, SAMPLE / max(1, kept.count()))
+    near = kept.filter((F.octet_length("text") <= 1 << 20) & ((F.col("h").cast("double") + 2.0**63) / 2.0**64 < share)).dropDuplicates(["h"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text.as_py(), shingle).view(np.int64))], names=["s"])
 
-    while True:
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-        shared, path = stored(keyed.join(sizes, "key"), "simhash-chains")
+    counted = near.select("text").mapInArrow(spread, "s long").groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= 4)
+    found = counted.orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    values = found.column("s").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], np.arange(len(values), 0, -1)[order]
+
+
+def set_components(nodes: DataFrame, kept: DataFrame, shingle: int = 5, alike: tuple[int, int] = ALIKE, bucket: int = 16) -> DataFrame:
+    """node and root (the least node of its component) of the nodes that are alike enough to another one.
+
+    nodes: node, h (of one of its texts in `kept`), size, bits (its parities), p0 to p7 (those of 512) and keys (its prefix). Sets that
+    are alike share a key.
+    In a first round each member of a key is compared with the least of them, in a second one with the `bucket` least, in a third one
+    with all the others: but only with those that links so far don't join already. What is compared has sizes and parities that leave
+    it open whether it is alike; then the shingles themselves are counted. So the number of plans doesn't follow the data.
+    """
+    spark, (p, q) = nodes.sparkSession, alike
+    names = [f"p{k}" for k in range(PARTS)]
+    of_key = W.partitionBy("key").orderBy("node")
+    ranked = nodes.select("node", F.explode("keys").alias("key")).withColumns(
+        {"r": F.row_number().over(of_key), "n": F.count("*").over(of_key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "least": F.first("node").over(of_key)}
+    )
+    shared, shared_path = stored(ranked.filter("n > 1"), "simhash-keys")
+    traits = nodes.select("node", "h", "size", "bits", *names)
+    paths, linked = [shared_path], scratch_path(spark, "simhash-links")
+    links = spark.read.schema("a long, b long").parquet
+
+    def side(df: DataFrame, end: str) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"{end}_{c}") for c in df.columns))
+
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names))
+    both = F.col("a_size") + F.col("b_size")
+    open_yet = (q * F.least("a_size", "b_size") >= p * F.greatest("a_size", "b_size")) & ((p + q) * differ <= (q - p) * both) & ((p + q) * bits_apart("a_bits", "b_bits") <= (q - p) * both)
+
+    def linked_by(pairs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+        """Components with the links among `pairs`: a_ and b_ of node, h and size, with repeats. roots: those without them."""
+        ends = [f"{end}_{c}" for end in "ab" for c in ("node", "h", "size")]
+        pairs, path = stored(pairs.select(ends).distinct(), "simhash-pairs")
         paths.append(path)
-        few = shared.filter(F.col("n") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # `bucket` at most
-        pairs = few.select(F.posexplode("nodes").alias("at", "a"), "nodes").select("a", F.explode(F.slice("nodes", F.col("at") + 2, F.size("nodes"))).alias("b"))
-        keep(near(pairs.distinct()))
-        crowded = shared.filter(F.col("n") > bucket)
-        if not crowded.limit(1).count():
-            break
-        tied, path = stored(near(crowded.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()), "simhash-tied")
+        most = 2 * pairs.count()
+        if roots is not None and not most:
+            return roots
+        wanted = pairs.select(F.explode(F.array("a_h", "b_h")).alias("h")).distinct()
+        wanted = F.broadcast(wanted) if most <= BROADCAST_TEXTS else wanted
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for h, text in zip(batch.column(0), batch.column(1), strict=True):
+                    found = pa.array([shingle_hashes(text.as_py(), shingle).view(np.int64)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([h.as_py()], pa.int64()), found], names=["h", "shingles"])
+
+        texts = kept.select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"])
+        counted, path = stored(texts.mapInArrow(sets, "h long, shingles array<long>"), "simhash-sets")
         paths.append(path)
-        keep(tied)
-        chain += 1
-        if chain > SEGMENTS:
+        joined = pairs.join(side(counted, "a"), "a_h").join(side(counted, "b"), "b_h")
+        same = F.size(F.array_intersect("a_shingles", "b_shingles"))
+        more, path = stored(joined.filter((p + q) * same >= p * both).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "simhash-found")
+        paths.append(path)
+        if roots is not None and not more.limit(1).count():
+            return roots
+        with shuffles_dropped(spark):
+            more.write.mode("append").parquet(linked)
+        return connected_components(links(linked))
+
+    firsts = shared.filter("r > 1").select(F.col("least").alias("a_node"), F.col("node").alias("b_node")).distinct()
+    roots = linked_by(firsts.join(side(traits, "a"), "a_node").join(side(traits, "b"), "b_node").filter(open_yet))
+
+    largest = shared.agg(F.max("n")).first()[0] or 0
+    for lo, hi in ((1, 1 + bucket), (1 + bucket, None)):
+        if largest <= lo + 1:
             break
-        left = crowded.filter("node <> least").join(tied.select(F.col("a").alias("least"), F.col("b").alias("node")), ["least", "node"], "left_anti")
-        keyed = left.select("node", "start").join(prints.select("node", ring.alias("ring")), "node").select("node", "start", F.xxhash64("start", F.substr("ring", 2 * F.col("start") + 1, F.lit(2 * chain))).alias("key"))
-    discard(spark, *paths)
-    return spark.read.schema("a long, b long").parquet(found).distinct()
+        # members of keys in which not all are joined yet; the first ones, of the rounds before, have been compared with all
+        left = shared.filter(F.col("r") > lo).join(roots, "node", "left").select("node", "key", "r", "n", F.coalesce("root", "node").alias("root"))
+        apart = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+        left, path = stored(left.join(apart, "key").join(traits, "node"), "simhash-left")
+        paths.append(path)
+        # the others of a key are dealt out by their rank, so that no task has all of a crowded one
+        first = left if hi is None else left.filter(F.col("r") <= hi)
+        first = first.withColumn("part", F.explode(F.sequence(F.floor(F.col("r") / PART), F.floor(F.col("n") / PART))))
+        others = left.withColumn("part", F.floor(F.col("r") / PART))
+        pairs = side(first, "a").join(side(others, "b"), (F.col("a_key") == F.col("b_key")) & (F.col("a_part") == F.col("b_part")) & (F.col("a_r") < F.col("b_r")) & (F.col("a_root") != F.col("b_root")) & open_yet)
+        roots = linked_by(pairs, roots)
+    discard(spark, linked, *paths)
+    return roots
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = NEAR, bucket: int = 64) -> DataFrame:
-    """id and component_id (the least id reachable over links) of every row, by fingerprints of 512 bits."""
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    names = [f"p{k}" for k in range(PARTS)]
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, alike: tuple[int, int] = ALIKE, bucket: int = 16) -> DataFrame:
+    """id and component_id (the least id reachable over links) of every row; linked are texts of whose shingles p / q or more are the same.
+
+    Likeness is that of the sets of shingles (what both have, of what either has), alike = (p, q).
+    """
+    spark, names = docs.sparkSession, [f"p{k}" for k in range(PARTS)]
+    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    common = spark.sparkContext.broadcast(common_shingles(kept, shingle))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            found = np.stack([wide_fingerprint(x.as_py(), shingle) for x in batch.column(1)]).view(np.int64) if batch.num_rows else np.zeros((0, PARTS), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(PARTS))], names=["id", *names])
-
-    prints, _ = stored(kept.mapInArrow(compute, f"id {kept.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names)), "simhash-prints")
-    nodes, _ = stored(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
-    found = connected_components(wide_links(nodes.select("node", *names), most, bucket=bucket))
-    rooted = nodes.join(found, "node", "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(*names, "component_id")
-    return prints.join(named, names).select(F.col("id").alias(id_col), "component_id")
+            node, size, bits, keys = [], [], [], []
+            for text in batch.column(2):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                node.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
+                size.append(len(hashes))
+                bits.append(parities(hashes))
+                keys.append(prefix_of(hashes, *common.value, alike))
+            few = np.array([np.bitwise_xor.reduce(x.reshape(-1, PARTS)) for x in bits], dtype=np.uint64).reshape(-1, PARTS).view(np.int64)
+            lists = [pa.array([x.view(np.int64) for x in some], pa.list_(pa.int64())) for some in (bits, keys)]
+            columns = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64()), *(pa.array(few[:, k]) for k in range(PARTS)), *lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "h", "node", "size", *names, "bits", "keys"])
+
+    id_type = kept.schema["id"].dataType.simpleString()
+    sets, sets_path = stored(kept.select("id", "h", "text").mapInArrow(compute, f"id {id_type}, h long, node long, size long, " + ", ".join(f"{c} long" for c in names) + ", bits array<long>, keys array<long>"), "simhash-texts")
+    alone = sets.groupBy("node").agg(F.min("id").alias("least"), F.min("h").alias("h"), *(F.first(c).alias(c) for c in ("size", *names, "bits", "keys")))
+    nodes, nodes_path = stored(alone, "simhash-nodes")
+    found = set_components(nodes, kept.select("h", "text"), shingle, alike, bucket)
+    rooted = nodes.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    out, _ = stored(sets.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id"), "simhash-copies")
+    common.destroy()
+    discard(spark, sets_path, nodes_path)
+    return out
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped: DataFrame | None = None, **options) -> DataFrame:

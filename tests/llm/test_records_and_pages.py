@@ -141,6 +141,39 @@ def test_crowded_chains_keep_their_groups(spark):
         assert {got[k] for k in range(120)} == {0} and all(got[200 + k] == 200 + k for k in range(30))
 
 
+def texts_and_components(seed, groups, share=4 / 5):
+    """Rows of groups of texts, edited word by word from one or from one another, and for each id the least id that links lead to."""
+    rng = random.Random(seed)
+    rows = []
+    for members, edits, chained in groups:
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(150, 300))]
+        for _ in range(members):
+            other = list(words)
+            for at in rng.sample(range(len(words)), int(len(words) * edits)):
+                other[at] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(other))
+            words = other if chained else words
+    rng.shuffle(rows)
+    sets = [frozenset(zip(*(w[k:] for k in range(5)), strict=False)) for w in (r.split() for r in rows)]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if x == hi else x for x in root]
+    return list(enumerate(rows)), root
+
+
+@pytest.mark.parametrize("bucket", [1, 16])
+def test_near_copies_lose_no_link(spark, bucket):
+    # pairs just above and below the threshold, groups whose members aren't alike to the least of them, and chains
+    groups = [(2, 0.01, True)] * 20 + [(2, 0.02, True)] * 60 + [(40, 0.012, False), (40, 0.02, False), (30, 0.02, True), (25, 0.03, True)]
+    rows, said = texts_and_components(3, groups)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).collect()}
+    assert [got[k] for k in range(len(rows))] == said
+    assert 60 < len(set(said)) < len(rows) - 60
+
+
 @given(st.integers(0, (1 << 64) - 1), st.sets(st.integers(0, 63), max_size=2))
 @settings(max_examples=300, deadline=None)
 def test_some_segment_starts_a_chain_within_its_budgets(x, flips):
