@@ -228,6 +228,7 @@ def set_components(nodes: DataFrame, kept: DataFrame, shingle: int = 5, alike: t
     In a first round each member of a key is compared with the least of them, in a second one with the `bucket` least, in a third one
     with all the others: but only with those that links so far don't join already. What is compared has sizes and parities that leave
     it open whether it is alike; then the shingles themselves are counted. So the number of plans doesn't follow the data.
+    Joins are merges by hint: what Spark takes for small by its compressed size may not fit into the driver as a broadcast.
     """
     spark, (p, q) = nodes.sparkSession, alike
     names = [f"p{k}" for k in range(PARTS)]
@@ -267,7 +268,7 @@ def set_components(nodes: DataFrame, kept: DataFrame, shingle: int = 5, alike: t
         texts = kept.select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"])
         counted, path = stored(texts.mapInArrow(sets, "h long, shingles array<long>"), "simhash-sets")
         paths.append(path)
-        joined = pairs.join(side(counted, "a"), "a_h").join(side(counted, "b"), "b_h")
+        joined = pairs.join(side(counted, "a").hint("merge"), "a_h").join(side(counted, "b").hint("merge"), "b_h")
         same = F.size(F.array_intersect("a_shingles", "b_shingles"))
         more, path = stored(joined.filter((p + q) * same >= p * both).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "simhash-found")
         paths.append(path)
@@ -278,22 +279,22 @@ def set_components(nodes: DataFrame, kept: DataFrame, shingle: int = 5, alike: t
         return connected_components(links(linked))
 
     firsts = shared.filter("r > 1").select(F.col("least").alias("a_node"), F.col("node").alias("b_node")).distinct()
-    roots = linked_by(firsts.join(side(traits, "a"), "a_node").join(side(traits, "b"), "b_node").filter(open_yet))
+    roots = linked_by(firsts.join(side(traits, "a").hint("merge"), "a_node").join(side(traits, "b").hint("merge"), "b_node").filter(open_yet))
 
     largest = shared.agg(F.max("n")).first()[0] or 0
     for lo, hi in ((1, 1 + bucket), (1 + bucket, None)):
         if largest <= lo + 1:
             break
         # members of keys in which not all are joined yet; the first ones, of the rounds before, have been compared with all
-        left = shared.filter(F.col("r") > lo).join(roots, "node", "left").select("node", "key", "r", "n", F.coalesce("root", "node").alias("root"))
+        left = shared.filter(F.col("r") > lo).join(roots.hint("merge"), "node", "left").select("node", "key", "r", "n", F.coalesce("root", "node").alias("root"))
         apart = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-        left, path = stored(left.join(apart, "key").join(traits, "node"), "simhash-left")
+        left, path = stored(left.join(apart.hint("merge"), "key").join(traits.hint("merge"), "node"), "simhash-left")
         paths.append(path)
         # the others of a key are dealt out by their rank, so that no task has all of a crowded one
         first = left if hi is None else left.filter(F.col("r") <= hi)
         first = first.withColumn("part", F.explode(F.sequence(F.floor(F.col("r") / PART), F.floor(F.col("n") / PART))))
         others = left.withColumn("part", F.floor(F.col("r") / PART))
-        pairs = side(first, "a").join(side(others, "b"), (F.col("a_key") == F.col("b_key")) & (F.col("a_part") == F.col("b_part")) & (F.col("a_r") < F.col("b_r")) & (F.col("a_root") != F.col("b_root")) & open_yet)
+        pairs = side(first, "a").join(side(others, "b").hint("merge"), (F.col("a_key") == F.col("b_key")) & (F.col("a_part") == F.col("b_part")) & (F.col("a_r") < F.col("b_r")) & (F.col("a_root") != F.col("b_root")) & open_yet)
         roots = linked_by(pairs, roots)
     discard(spark, linked, *paths)
     return roots
@@ -329,9 +330,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = sets.groupBy("node").agg(F.min("id").alias("least"), F.min("h").alias("h"), *(F.first(c).alias(c) for c in ("size", *names, "bits", "keys")))
     nodes, nodes_path = stored(alone, "simhash-nodes")
     found = set_components(nodes, kept.select("h", "text"), shingle, alike, bucket)
-    rooted = nodes.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    out, _ = stored(sets.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id"), "simhash-copies")
+    rooted = nodes.join(found.hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")).hint("merge"), "root").select("node", "component_id")
+    out, _ = stored(sets.select("id", "node").join(named.hint("merge"), "node").select(F.col("id").alias(id_col), "component_id"), "simhash-copies")
     common.destroy()
     discard(spark, sets_path, nodes_path)
     return out

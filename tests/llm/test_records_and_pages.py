@@ -174,6 +174,29 @@ def test_near_copies_lose_no_link(spark, bucket):
     assert 60 < len(set(said)) < len(rows) - 60
 
 
+def most_rows(spark, since, node, metric="number of output rows"):
+    """The largest value of a metric of nodes so named in any plan after the first `since` ones."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    most, plans = 0, store.executionsList()
+    for k in range(since, plans.size()):
+        ident = plans.apply(k).executionId()
+        values, nodes = store.executionMetrics(ident), store.planGraph(ident).allNodes()
+        for metrics in (nodes.apply(n).metrics() for n in range(nodes.size()) if node in nodes.apply(n).name()):
+            for m in (metrics.apply(k) for k in range(metrics.size())):
+                if m.name() == metric and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_broadcasts_for_near_copies_follow_texts_not_keys(spark):
+    rows, said = texts_and_components(6, [(100, 0.01, False)])
+    before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    assert dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == dict(enumerate(said))
+    made = most_rows(spark, before, "BroadcastExchange")
+    print(made)
+    assert made < 10 * len(rows)
+
+
 @given(st.integers(0, (1 << 64) - 1), st.sets(st.integers(0, 63), max_size=2))
 @settings(max_examples=300, deadline=None)
 def test_some_segment_starts_a_chain_within_its_budgets(x, flips):
