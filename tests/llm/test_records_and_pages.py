@@ -197,6 +197,17 @@ def test_broadcasts_for_near_copies_follow_texts_not_keys(spark):
     assert made < 10 * len(rows)
 
 
+def test_pairs_of_a_large_group_do_not_grow_with_its_square(spark):
+    made = []
+    for members in (150, 300):
+        rows, said = texts_and_components(6, [(members, 0.01, False)])
+        before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+        assert dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == dict(enumerate(said))
+        made.append(most_rows(spark, before, "Join"))
+    print(made)
+    assert made[1] < 3 * made[0]
+
+
 @given(st.integers(0, (1 << 64) - 1), st.sets(st.integers(0, 63), max_size=2))
 @settings(max_examples=300, deadline=None)
 def test_some_segment_starts_a_chain_within_its_budgets(x, flips):
