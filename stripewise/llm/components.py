@@ -2,11 +2,15 @@
 
 Every step is a grouped minimum and a join, so a node with very many neighbours is pre-aggregated and never gathered in
 one task; the steps are checkpointed and nothing but two numbers reaches the driver. Rows of two kinds come from one frame by
-exploding pairs, not from unions: Spark 4.1's planner may fail to map the partitioning of a union's children.
+exploding pairs, not from unions: Spark 4.1's planner may fail to map the partitioning of a union's children. `few_components` gives
+the same of so few links that one task holds them, without the steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +45,25 @@ def connected_components(pairs: DataFrame) -> DataFrame:
         edges = checkpointed(_either(large.join(least, "u"), ("u", "m"), ("v", "m")).filter("u <> v").distinct())
     roots = edges.groupBy("u").agg(F.min("v").alias("v"))
     return checkpointed(_either(roots, ("u", "v"), ("v", "v")).distinct().select(F.col("u").alias("node"), F.col("v").alias("root")))
+
+
+def few_components(pairs: DataFrame) -> DataFrame:
+    """What `connected_components` gives, by union and find in one task: for as many links as its memory holds."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = {}
+
+        def top(x):
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = x = above[up]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if a != b:
+                    a, b = top(a), top(b)
+                    above[max(a, b)] = min(a, b)
+        ends = [list(above), [top(x) for x in list(above)]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["node", "root"])
+
+    return checkpointed(pairs.coalesce(1).mapInArrow(joined, "node long, root long"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stripewise.llm.common import checkpointed, discard, fresh_names, scratch_path, shuffles_dropped, stored
-from stripewise.llm.components import connected_components
+from stripewise.llm.components import connected_components, few_components
 
 BITS = 64
 _SLICE = 1 << 15
@@ -42,6 +42,8 @@ _SLICE = 1 << 15
 ALIKE, PARTS = (4, 5), 8
 #: Texts of the sample that orders shingles, and shingles of it that are kept; texts that a broadcast picks out; rows of a crowded key in a task.
 SAMPLE, COMMON, BROADCAST_TEXTS, PART = 20_000, 200_000, 100_000, 256
+#: By how much the rounds of `set_components` grow, the keys of a node by which a pair finds the one it is compared in, and links that one task joins.
+GROWTH, FEW, FEW_LINKS = 16, 32, 100_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -225,9 +227,11 @@ def set_components(nodes: DataFrame, kept: DataFrame, shingle: int = 5, alike: t
 
     nodes: node, h (of one of its texts in `kept`), size, bits (its parities), p0 to p7 (those of 512) and keys (its prefix). Sets that
     are alike share a key.
-    In a first round each member of a key is compared with the least of them, in a second one with the `bucket` least, in a third one
-    with all the others: but only with those that links so far don't join already. What is compared has sizes and parities that leave
-    it open whether it is alike; then the shingles themselves are counted. So the number of plans doesn't follow the data.
+    In a first round each member of a key is compared with the least of them, in a second one with the `bucket` least, in each later one
+    with GROWTH times as many, until all are: but only with those that links so far don't join already, and once however many
+    keys they share. Nodes are hashes, so the least are a random sample: what many others are alike to is joined in an early round,
+    and few pairs are left for the later ones. What is compared has sizes and parities that leave it open whether it is alike; then the
+    shingles themselves are counted. The number of plans follows the logarithm of the largest key.
     Joins are merges by hint: what Spark takes for small by its compressed size may not fit into the driver as a broadcast.
     """
     spark, (p, q) = nodes.sparkSession, alike
@@ -237,8 +241,8 @@ def set_components(nodes: DataFrame, kept: DataFrame, shingle: int = 5, alike: t
         {"r": F.row_number().over(of_key), "n": F.count("*").over(of_key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "least": F.first("node").over(of_key)}
     )
     shared, shared_path = stored(ranked.filter("n > 1"), "simhash-keys")
-    traits = nodes.select("node", "h", "size", "bits", *names)
-    paths, linked = [shared_path], scratch_path(spark, "simhash-links")
+    traits = nodes.select("node", "h", "size", "bits", *names, F.slice(F.array_sort("keys"), 1, FEW).alias("few"))
+    paths, linked, n_links = [shared_path], scratch_path(spark, "simhash-links"), 0
     links = spark.read.schema("a long, b long").parquet
 
     def side(df: DataFrame, end: str) -> DataFrame:
@@ -248,8 +252,12 @@ def set_components(nodes: DataFrame, kept: DataFrame, shingle: int = 5, alike: t
     both = F.col("a_size") + F.col("b_size")
     open_yet = (q * F.least("a_size", "b_size") >= p * F.greatest("a_size", "b_size")) & ((p + q) * differ <= (q - p) * both) & ((p + q) * bits_apart("a_bits", "b_bits") <= (q - p) * both)
 
+    # what meets in many keys is compared in the least of them, in the round that its rank there is due
+    once = F.coalesce(F.array_min(F.array_intersect("a_few", "b_few")), "a_key") == F.col("a_key")
+
     def linked_by(pairs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         """Components with the links among `pairs`: a_ and b_ of node, h and size, with repeats. roots: those without them."""
+        nonlocal n_links
         ends = [f"{end}_{c}" for end in "ab" for c in ("node", "h", "size")]
         pairs, path = stored(pairs.select(ends).distinct(), "simhash-pairs")
         paths.append(path)
@@ -272,30 +280,32 @@ def set_components(nodes: DataFrame, kept: DataFrame, shingle: int = 5, alike: t
         same = F.size(F.array_intersect("a_shingles", "b_shingles"))
         more, path = stored(joined.filter((p + q) * same >= p * both).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "simhash-found")
         paths.append(path)
-        if roots is not None and not more.limit(1).count():
+        n_more = more.count()
+        if roots is not None and not n_more:
             return roots
+        n_links += n_more
         with shuffles_dropped(spark):
             more.write.mode("append").parquet(linked)
-        return connected_components(links(linked))
+        return few_components(links(linked)) if n_links <= FEW_LINKS else connected_components(links(linked))
 
     firsts = shared.filter("r > 1").select(F.col("least").alias("a_node"), F.col("node").alias("b_node")).distinct()
     roots = linked_by(firsts.join(side(traits, "a").hint("merge"), "a_node").join(side(traits, "b").hint("merge"), "b_node").filter(open_yet))
 
     largest = shared.agg(F.max("n")).first()[0] or 0
-    for lo, hi in ((1, 1 + bucket), (1 + bucket, None)):
-        if largest <= lo + 1:
-            break
+    lo, reach = 1, bucket
+    while largest > lo + 1:
         # members of keys in which not all are joined yet; the first ones, of the rounds before, have been compared with all
+        hi = 1 + reach
         left = shared.filter(F.col("r") > lo).join(roots.hint("merge"), "node", "left").select("node", "key", "r", "n", F.coalesce("root", "node").alias("root"))
         apart = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
         left, path = stored(left.join(apart.hint("merge"), "key").join(traits.hint("merge"), "node"), "simhash-left")
         paths.append(path)
         # the others of a key are dealt out by their rank, so that no task has all of a crowded one
-        first = left if hi is None else left.filter(F.col("r") <= hi)
-        first = first.withColumn("part", F.explode(F.sequence(F.floor(F.col("r") / PART), F.floor(F.col("n") / PART))))
+        first = left.filter(F.col("r") <= hi).withColumn("part", F.explode(F.sequence(F.floor(F.col("r") / PART), F.floor(F.col("n") / PART))))
         others = left.withColumn("part", F.floor(F.col("r") / PART))
-        pairs = side(first, "a").join(side(others, "b").hint("merge"), (F.col("a_key") == F.col("b_key")) & (F.col("a_part") == F.col("b_part")) & (F.col("a_r") < F.col("b_r")) & (F.col("a_root") != F.col("b_root")) & open_yet)
+        pairs = side(first, "a").join(side(others, "b").hint("merge"), (F.col("a_key") == F.col("b_key")) & (F.col("a_part") == F.col("b_part")) & (F.col("a_r") < F.col("b_r")) & (F.col("a_root") != F.col("b_root")) & open_yet & once)
         roots = linked_by(pairs, roots)
+        lo, reach = hi, GROWTH * reach
     discard(spark, linked, *paths)
     return roots
 

@@ -208,6 +208,27 @@ def test_pairs_of_a_large_group_do_not_grow_with_its_square(spark):
     assert made[1] < 3 * made[0]
 
 
+def test_pairs_of_a_large_group_are_compared_once(spark, monkeypatch):
+    """Members of a group share many keys, and most are joined before all of them are compared with each other."""
+    rows, said = texts_and_components(9, [(500, 0.015, False)])
+    made = []
+    for few_links in (simhash.FEW_LINKS, 0):  # 0: the components come from the stars
+        monkeypatch.setattr(simhash, "FEW_LINKS", few_links)
+        before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+        assert dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == dict(enumerate(said))
+        made.append(most_rows(spark, before, "Join"))
+    print(made, len(set(said)))
+    assert max(made) < 100 * len(rows)  # what is left is a row for each text and key
+
+
+def test_few_components_are_those_of_the_stars(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, 5000)]
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    assert set(components.few_components(df).collect()) == set(components.connected_components(df).collect())
+    assert components.few_components(df.limit(0)).count() == 0
+
+
 @given(st.integers(0, (1 << 64) - 1), st.sets(st.integers(0, 63), max_size=2))
 @settings(max_examples=300, deadline=None)
 def test_some_segment_starts_a_chain_within_its_budgets(x, flips):
