@@ -17,17 +17,17 @@ STRIDE = 10_000
 _LOCAL = (1 << 33) - 1
 
 
-def with_row_number(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_number") -> DataFrame:
+def with_row_number(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_number", partitions: int | None = None) -> DataFrame:
     """df with the place of each row in the order, from 0.
 
     Rows are dealt to ranges of the order and numbered within each; the ranges' sizes, one number each, give the
-    offsets. No task sees all rows. Rows that the order doesn't tell apart (ties, nulls) are told apart by a hash of what they hold,
+    offsets. No task sees all rows; `partitions` sets the number of ranges. Rows that the order doesn't tell apart (ties, nulls) are told apart by a hash of what they hold,
     so that very many of them are dealt out as well. The rows are written to the shared folder once, since what range a row is in must
     not change.
     """
     held = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]
     order = [*order_by, F.xxhash64(*held)] if held else list(order_by)
-    ordered = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()))
+    ordered = settled(df.repartitionByRange(*((partitions,) if partitions else ()), *order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()))
     placed = ordered.withColumn("__range", F.shiftright("__place", 33))
     sizes = placed.groupBy("__range").agg(F.count("*").alias("__rows"))  # one row for each range
     offsets = sizes.select("__range", (F.sum("__rows").over(W.orderBy("__range")) - F.col("__rows")).alias("__offset"))

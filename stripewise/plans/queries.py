@@ -620,8 +620,8 @@ def orc_column_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orc_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the row groups of uncompressed doubles begin: 8,000 bytes apart for 1,000 rows."""
     path = _scratch(spark, "orc-positions")
-    orc.write(orc.with_orc_timestamps(table(spark, sf_dir, "events")), path, orc.WriteConfig(row_index_stride=STRIDE).with_whole_groups(), files=1)
-    found = tail.positions(spark, path).filter("column_id = 5").select("row_group", F.element_at("positions", 1).alias("at"))
+    orc.write_in_order(orc.with_orc_timestamps(table(spark, sf_dir, "events")), path, ("event_id",), orc.WriteConfig(row_index_stride=STRIDE).with_whole_groups())
+    found = tail.positions(spark, path, columns=[5]).select("row_group", F.element_at("positions", 1).alias("at"))
     return found.agg(F.count("*").alias("entries"), F.coalesce(F.max(F.when(F.col("row_group") > 0, (F.col("at") / F.col("row_group")).cast("long"))), F.lit(8000)).alias("step"))
 
 

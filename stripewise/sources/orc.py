@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stripewise.operators.groups import with_row_number
+
 CODECS = ("none", "snappy", "zstd", "zlib", "lz4", "lzo")
 MAX_BLOCK = 0x7FFFFF
 LEAST_STRIDE = 1000
 #: Rows that Spark hands to the writer at once.
 BATCH = 1024
+#: Rows of a file, about, where a table is written in order.
+FILE_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -106,6 +110,19 @@ def write(df: DataFrame, path: str, config: WriteConfig | None = None, mode: str
     writer(df, config, mode, partition_by).save(path)
 
 
+def write_in_order(df: DataFrame, path: str, order_by: tuple[str, ...], config: WriteConfig | None = None, mode: str = "errorifexists", file_rows: int | None = None) -> None:
+    """Write a table in an order as files of about `file_rows` rows, which follow one another by name.
+
+    All of them have whole row groups but the last, so that groups counted on from file to file are those of the whole table. A task
+    sorts and writes the rows of one file, however many the table has.
+    """
+    config, rows = config or WriteConfig(), df.count()
+    files = max(1, math.ceil(rows / (file_rows or FILE_ROWS)))
+    group = F.floor(F.col("__row") / config.row_index_stride)
+    numbered = with_row_number(df, order_by, "__row", partitions=files)
+    writer(numbered.repartitionByRange(files, group).sortWithinPartitions("__row").drop("__row"), config, mode).save(path)
+
+
 def append_batch(df: DataFrame, path: str, config: WriteConfig | None = None, expected: int | None = None) -> None:
     """Commit a batch to a table; `expected` rows, if given, are verified before anything is written."""
     if expected is not None and (found := df.count()) != expected:

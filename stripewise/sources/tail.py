@@ -2,13 +2,16 @@
 
 Tails, stripe footers and row indexes are read through the Hadoop file system that Spark uses, by `threads` threads of the
 driver, which owns the JVM's reader; rows go to the shared folder every `CHUNK` files, so that the driver holds no more however
-many files there are. What needs the files' contents (the framing of compressed blocks) is read by the executors.
+many files there are. A row index takes the driver a few calls for each stripe and column: it passes the bytes on, and the executors
+make rows of their entries. What needs the files' contents (the framing of compressed blocks) is read by the executors.
 """
 
 from __future__ import annotations
 
+import datetime
+import struct
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
@@ -23,7 +26,10 @@ STATISTICS_SCHEMA = (
     "double_min double, double_max double, double_sum double, string_min string, string_max string, total_length bigint, true_count bigint, "
     "date_min date, date_max date, millis_min bigint, millis_max bigint, decimal_min string, decimal_max string, decimal_sum string"
 )
+_MEASURES = tuple(part.split()[0] for part in STATISTICS_SCHEMA.split(", ")[6:])
 CHUNK = 2000
+#: The same where row indexes are read.
+INDEX_CHUNK = 200
 THREADS = 16
 
 
@@ -126,13 +132,13 @@ def encodings(spark: SparkSession, path: str, **options) -> DataFrame:
     return _table(spark, path, rows, "file string, stripe int, column_id int, encoding string, dictionary_size bigint", **options)
 
 
-def positions(spark: SparkSession, path: str, **options) -> DataFrame:
-    """file, stripe, row_group, column_id and positions (where its streams are to be sought) of every row index entry."""
+def positions(spark: SparkSession, path: str, columns: Collection[int] | None = None, **options) -> DataFrame:
+    """file, stripe, row_group, column_id and positions (where its streams are to be sought) of every row index entry; only the given columns' indexes are read."""
 
-    def rows(name: str, r) -> list[tuple]:
-        return [(name, n, g, k, [int(x) for x in entry.getPositionsList()]) for n, g, k, entry in _index(spark, r)]
+    def rows(entry: bytes) -> list:
+        return [[at for number, value in _fields(entry) if number == 1 for at in ([value] if isinstance(value, int) else _varints(value))]]
 
-    return _table(spark, path, rows, "file string, stripe int, row_group int, column_id int, positions array<bigint>", **options)
+    return _entries(spark, path, columns, rows, "file string, stripe int, row_group int, column_id int, positions array<bigint>", **options)
 
 
 def column_sizes(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -170,10 +176,8 @@ def blocks(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def _measures(s) -> list:
-    import datetime
-
-    kind = s.getClass().getSimpleName().split("Statistics")[0]
-    out = dict.fromkeys(("int_min", "int_max", "int_sum", "double_min", "double_max", "double_sum", "string_min", "string_max", "total_length", "true_count", "date_min", "date_max", "millis_min", "millis_max", "decimal_min", "decimal_max", "decimal_sum"))
+    kind = s.getClass().getSimpleName().split("Statistics")[0].removesuffix("64").removesuffix("Instant")
+    out = dict.fromkeys(_MEASURES)
     some = s.getNumberOfValues() > 0
     if kind == "Integer":
         out |= {"int_min": s.getMinimum(), "int_max": s.getMaximum()} if some else {}
@@ -198,37 +202,129 @@ def _measures(s) -> list:
     return [s.getNumberOfValues(), s.hasNull(), *out.values()]
 
 
-def _index(spark: SparkSession, r) -> Iterator[tuple[int, int, int, object]]:
-    """Stripe, row group, column and entry of the row indexes."""
-    width = r.getSchema().getMaximumId() + 1
-    wanted = spark.sparkContext._gateway.new_array(spark._jvm.boolean, width)
-    for k in range(width):
-        wanted[k] = True
-    reader = r.rows()
-    try:
-        for n in range(r.getStripes().size()):
-            index = reader.readRowIndex(n, wanted, wanted).getRowGroupIndex()
-            for k in range(width):
-                if index[k] is not None:
-                    for g in range(index[k].getEntryCount()):
-                        yield n, g, k, index[k].getEntry(g)
-    finally:
-        reader.close()
+def _varints(data: bytes) -> Iterator[int]:
+    value = shift = 0
+    for byte in data:
+        value |= (byte & 127) << shift
+        shift += 7
+        if byte < 128:
+            yield value
+            value = shift = 0
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protobuf message: a number, or the bytes of what is stored with a length or fixed."""
+
+    def varint() -> int:
+        nonlocal at
+        first = at
+        while data[at] > 127:
+            at += 1
+        at += 1
+        return next(_varints(data[first:at]))
+
+    at = 0
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = varint() if key & 7 == 2 else {1: 8, 5: 4}[key & 7]
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def _stored_measures(data: bytes) -> list:
+    """What `_measures` says, of the serialized statistics."""
+    own = dict(_fields(data))
+    out, some = dict.fromkeys(_MEASURES), own.get(1, 0) > 0
+
+    def of(number: int, convert: Callable, **names: int) -> None:
+        held = dict(_fields(own[number]))
+        out.update((name, convert(held[k])) for name, k in names.items() if k in held)
+
+    def signed(x: int) -> int:
+        return (x >> 1) ^ -(x & 1)
+
+    def real(x: bytes) -> float:
+        return struct.unpack("<d", x)[0]
+
+    def day(x: int) -> datetime.date:
+        return datetime.date(1970, 1, 1) + datetime.timedelta(signed(x))
+
+    if 2 in own:
+        of(2, signed, **{"int_min": 1, "int_max": 2} if some else {}, int_sum=3)
+    elif 3 in own:
+        out["double_sum"] = 0.0
+        of(3, real, **{"double_min": 1, "double_max": 2} if some else {}, double_sum=3)
+    elif 4 in own:
+        out["total_length"] = 0
+        of(4, bytes.decode, **{"string_min": 1, "string_max": 2} if some else {})
+        of(4, signed, total_length=3)
+    elif 5 in own:
+        of(5, lambda x: x if isinstance(x, int) else next(_varints(x)), true_count=1)
+    elif 6 in own and some:
+        of(6, bytes.decode, decimal_min=1, decimal_max=2, decimal_sum=3)
+    elif 7 in own and some:
+        of(7, day, date_min=1, date_max=2)
+    elif 8 in own:
+        out["total_length"] = 0
+        of(8, signed, total_length=1)
+    elif 9 in own and some:
+        of(9, signed, millis_min=3, millis_max=4)
+    return [own.get(1, 0), bool(own.get(10, True)), *out.values()]
+
+
+def _entries(spark: SparkSession, path: str, columns: Collection[int] | None, rows_of: Callable, schema: str, chunk: int | None = None, **options) -> DataFrame:
+    """file, stripe, row_group, column_id and rows_of(bytes) of every row index entry below the path, made by the executors."""
+
+    def indexes(name: str, r) -> list[tuple]:
+        width, found = r.getSchema().getMaximumId() + 1, []
+        wanted = spark.sparkContext._gateway.new_array(spark._jvm.boolean, width)
+        some = [k for k in range(width) if columns is None or k in columns]
+        for k in some:
+            wanted[k] = True
+        reader = r.rows()
+        try:
+            for n in range(r.getStripes().size()):
+                index = reader.readRowIndex(n, wanted, wanted).getRowGroupIndex()
+                found += [(name, n, k, own.toByteArray()) for k in some if (own := index[k]) is not None]
+        finally:
+            reader.close()
+        return found
+
+    fields = [part.split() for part in schema.split(", ")]
 
+    def opened(batches):
+        import pyarrow as pa
 
-def statistics(spark: SparkSession, path: str, level: str = "file", **options) -> DataFrame:
-    """Stored column statistics by file, stripe or row_group: STATISTICS_SCHEMA, with null for what doesn't apply."""
+        kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "date": pa.date32(), "array<bigint>": pa.list_(pa.int64())}
+        for batch in batches:
+            for own in batch.to_pylist():
+                entries = (value for number, value in _fields(own["entries"]) if number == 1)
+                found = [(own["file"], own["stripe"], g, own["column_id"], *rows_of(entry)) for g, entry in enumerate(entries)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kinds[kind]) for x, (_, kind) in zip(zip(*found, strict=True), fields, strict=True)], names=[name for name, _ in fields])
+
+    stored = _table(spark, path, indexes, "file string, stripe int, column_id int, entries binary", chunk or INDEX_CHUNK, **options)
+    return stored.mapInArrow(opened, schema)
+
+
+def statistics(spark: SparkSession, path: str, level: str = "file", columns: Collection[int] | None = None, **options) -> DataFrame:
+    """Stored column statistics by file, stripe or row_group: STATISTICS_SCHEMA, with null for what doesn't apply; of the given columns or all."""
     if level not in ("file", "stripe", "row_group"):
         raise ValueError("level is 'file', 'stripe' or 'row_group'")
 
     def rows(name: str, r) -> list[tuple]:
         if level == "file":
-            return [(name, None, None, k, *_measures(s)) for k, s in enumerate(r.getStatistics())]
-        if level == "stripe":
-            return [(name, n, None, k, *_measures(s)) for n, stripe in enumerate(r.getStripeStatistics()) for k, s in enumerate(stripe.getColumnStatistics())]
-        deserialize = spark._jvm.org.apache.orc.impl.ColumnStatisticsImpl.deserialize
-        return [(name, n, g, k, *_measures(deserialize(r.getSchema().findSubtype(k), entry.getStatistics()))) for n, g, k, entry in _index(spark, r)]
+            return [(name, None, None, k, *_measures(s)) for k, s in enumerate(r.getStatistics()) if columns is None or k in columns]
+        return [(name, n, None, k, *_measures(s)) for n, stripe in enumerate(r.getStripeStatistics()) for k, s in enumerate(stripe.getColumnStatistics()) if columns is None or k in columns]
+
+    def entry_rows(entry: bytes) -> list:
+        return _stored_measures(dict(_fields(entry)).get(2, b""))
 
+    if level == "row_group":
+        return _entries(spark, path, columns, entry_rows, STATISTICS_SCHEMA, **options)
     return _table(spark, path, rows, STATISTICS_SCHEMA, **options)
 
 

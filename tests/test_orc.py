@@ -139,3 +139,78 @@ def test_tails_of_many_files_in_chunks(spark, tmp_path):
     none = str(tmp_path / "none")
     spark.createDataFrame([], "a int").write.parquet(none)
     assert tail.files(spark, str(tmp_path / "none" / "_SUCCESS")).count() == 0
+
+
+def _calls(spark, run) -> int:
+    """How often the driver's Python calls the JVM meanwhile."""
+    client = type(spark.sparkContext._gateway._gateway_client)
+    send, calls = client.send_command, []
+
+    def counted(self, command, *args, **kwargs):
+        if command.startswith("c\n"):
+            calls.append(command)
+        return send(self, command, *args, **kwargs)
+
+    client.send_command = counted
+    try:
+        run()
+    finally:
+        client.send_command = send
+    return len(calls)
+
+
+def test_indexes_take_the_driver_no_call_for_each_entry(spark, tmp_path):
+    for n in (2, 100):
+        orc.write(spark.range(1000 * n).select("id", F.col("id").cast("string").alias("s")), str(tmp_path / f"{n}"), orc.WriteConfig(row_index_stride=1000).with_whole_groups(), files=1)
+    for found in (lambda p: tail.positions(spark, p), lambda p: tail.statistics(spark, p, "row_group")):
+        few, many = (_calls(spark, lambda n=n, found=found: found(str(tmp_path / f"{n}")).collect()) for n in (2, 100))
+        assert many <= few + 20
+        assert found(str(tmp_path / "100")).count() == 300
+
+
+def test_entries_say_what_the_stripe_says(spark, tiny, tmp_path):
+    """Where a stripe has one row group, of every kind of column."""
+    from stripewise.plans.queries import _all_kinds
+
+    x = F.col("x")
+    nothing = {f"no_{kind}": F.lit(None).cast(kind) for kind in ("string", "int", "decimal(30,2)", "date", "timestamp", "double", "boolean", "binary")}
+    odd = {
+        "long_text": F.when(x % 300 == 7, F.repeat(F.lit("é"), 900)).otherwise("z"),
+        "wide": (x - 300).cast("decimal(38,18)") / 7,
+        "overflows": (-x - 1) * 9_000_000_000_000_000,
+        "nan": F.when(x % 400 == 9, F.lit(float("nan"))).otherwise(x / 3 - 100),
+        "old": F.date_add(F.lit("1900-03-01").cast("date"), x.cast("int")),
+        "early": F.timestamp_millis(x * 1_000_003 - 5_000_000_000_000),
+    }
+    df = _all_kinds(spark, tiny).withColumns(nothing | odd)
+    for codec in ("none", "zlib"):
+        path = str(tmp_path / codec)
+        orc.write(df, path, orc.WriteConfig().with_compression(codec), files=3)
+        stripe, group = (tail.statistics(spark, path, level).drop("row_group") for level in ("stripe", "row_group"))
+        assert sorted(map(repr, stripe.collect())) == sorted(map(repr, group.collect())) != []
+        assert {r.decimal_sum is None for r in group.filter("column_id = 8").collect()} == {False}
+        some = tail.statistics(spark, path, "row_group", columns=[1, 8])
+        assert sorted(map(repr, some.drop("row_group").collect())) == sorted(map(repr, group.filter("column_id IN (1, 8)").collect()))
+
+
+def _shuffled_events(spark, tiny, folder, n: int):
+    """n events in no order, 1,000 of them for each copy of the table."""
+    copies = F.explode(F.sequence(F.lit(0), F.lit(n // 1000)))
+    events = spark.read.parquet(f"{tiny}/events.parquet").withColumn("copy", copies).withColumn("event_id", F.col("event_id") + 1000 * F.col("copy")).drop("copy").filter(F.col("event_id") < n)
+    events.orderBy(F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
+
+
+def _sizes(spark, path) -> list[int]:
+    return [r.rows for r in tail.files(spark, path).orderBy("file").collect()]
+
+
+@pytest.mark.parametrize("n", [0, 900, 29_500, 30_000])
+def test_positions_over_many_files(spark, tiny, tmp_path, monkeypatch, n):
+    from stripewise.plans import catalogue, queries
+
+    _shuffled_events(spark, tiny, tmp_path, n)
+    monkeypatch.setattr(orc, "FILE_ROWS", 7000, raising=False)
+    monkeypatch.setattr(queries, "_scratch", lambda spark, name: str(tmp_path / name))
+    assert tuple(catalogue.QUERIES["orc_positions"](spark, str(tmp_path)).first()) == (-(-n // 1000), 8000)
+    sizes = _sizes(spark, str(tmp_path / "orc-positions"))
+    assert sum(sizes) == n and all(size % 1000 == 0 for size in sizes[:-1]) and (n < 7000 or len(sizes) > 2 and max(sizes) < n / 2)
