@@ -555,10 +555,10 @@ def orc_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("orc_rowgroup_stats", f"SELECT cast(row_group AS int) AS row_group, count(*) AS num_present, min(user_id) AS int_min, max(user_id) AS int_max, cast(sum(user_id) AS bigint) AS int_sum FROM ({_EVENT_ROWS}) GROUP BY row_group")
 def orc_rowgroup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored row index of one file in order of event_id, stride 1000."""
+    """The stored row index of files in order of event_id, stride 1000."""
     path = _scratch(spark, "orc-index")
-    orc.write(orc.with_orc_timestamps(table(spark, sf_dir, "events")), path, orc.WriteConfig(row_index_stride=STRIDE).with_whole_groups(), files=1, sort_within=("event_id",))
-    return tail.running_groups(tail.statistics(spark, path, "row_group").filter(F.col("column_id") == 3)).select("row_group", "num_present", "int_min", "int_max", "int_sum")
+    orc.write_in_order(orc.with_orc_timestamps(table(spark, sf_dir, "events")), path, ("event_id",), orc.WriteConfig(row_index_stride=STRIDE).with_whole_groups())
+    return tail.running_groups(tail.statistics(spark, path, "row_group", columns=[3])).select("row_group", "num_present", "int_min", "int_max", "int_sum")
 
 
 _EVENT_TYPE = "struct<event_id:bigint,ts:timestamp,user_id:bigint,event_type:string,value:double,props:string>"

@@ -214,3 +214,19 @@ def test_positions_over_many_files(spark, tiny, tmp_path, monkeypatch, n):
     assert tuple(catalogue.QUERIES["orc_positions"](spark, str(tmp_path)).first()) == (-(-n // 1000), 8000)
     sizes = _sizes(spark, str(tmp_path / "orc-positions"))
     assert sum(sizes) == n and all(size % 1000 == 0 for size in sizes[:-1]) and (n < 7000 or len(sizes) > 2 and max(sizes) < n / 2)
+
+
+def test_row_groups_of_many_files(spark, tiny, tmp_path, monkeypatch):
+    import duckdb
+
+    from stripewise.plans import catalogue, queries
+
+    _shuffled_events(spark, tiny, tmp_path, 29_500)
+    monkeypatch.setattr(orc, "FILE_ROWS", 7000, raising=False)
+    monkeypatch.setattr(queries, "_scratch", lambda spark, name: str(tmp_path / name))
+    got = sorted(map(tuple, catalogue.QUERIES["orc_rowgroup_stats"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert len(got) == 30 and got == sorted(con.execute(catalogue.ORACLES["orc_rowgroup_stats"]).fetchall())
+    sizes = _sizes(spark, str(tmp_path / "orc-index"))
+    assert sum(sizes) == 29_500 and len(sizes) > 2 and max(sizes) < 15_000 and all(size % 1000 == 0 for size in sizes[:-1])
