@@ -507,9 +507,9 @@ def wide_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Files
 
 
-def _written(spark: SparkSession, sf_dir: str, name: str, config: orc.WriteConfig, files: int | None = None, sort: tuple[str, ...] = ()) -> str:
+def _written(spark: SparkSession, sf_dir: str, name: str, config: orc.WriteConfig, sort: tuple[str, ...] = ()) -> str:
     path = _scratch(spark, f"orc-{name}")
-    orc.write(orc.with_orc_timestamps(table(spark, sf_dir, name)), path, config, files=files, sort_within=sort)
+    orc.write(orc.with_orc_timestamps(table(spark, sf_dir, name)), path, config, sort_within=sort)
     return path
 
 
@@ -549,7 +549,7 @@ def orc_tail_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("orc_stripes", "SELECT count(*) AS num_rows FROM events")
 def orc_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _written(spark, sf_dir, "events", orc.WriteConfig(), files=1)
+    path = _written(spark, sf_dir, "events", orc.WriteConfig())
     return tail.stripes(spark, path).agg(F.sum("rows").alias("num_rows"))
 
 
@@ -589,30 +589,33 @@ def orc_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT * FROM (VALUES (0, 'struct', '1,2,4', 'vec_id,embedding,label'), (1, 'bigint', '', ''), (2, 'array', '3', ''), (3, 'float', '', ''), (4, 'int', '', '')) AS t(column_id, kind, children, field_names)",
 )
 def orc_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _written(spark, sf_dir, "embeddings", orc.WriteConfig(), files=1)
+    """The type tree, which all files have."""
+    path = _written(spark, sf_dir, "embeddings", orc.WriteConfig())
     found = tail.types(spark, path)
-    return found.select("column_id", "kind", F.array_join(F.transform("children", lambda x: x.cast("string")), ",").alias("children"), F.array_join("field_names", ",").alias("field_names"))
+    return found.select("column_id", "kind", F.array_join(F.transform("children", lambda x: x.cast("string")), ",").alias("children"), F.array_join("field_names", ",").alias("field_names")).distinct()
 
 
 @query("orc_streams", "SELECT * FROM (VALUES (1, 'data'), (2, 'data,secondary'), (3, 'data'), (5, 'data')) AS t(column_id, streams)")
 def orc_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The data streams of columns without nulls: numbers, times, and doubles. (Strings have a dictionary or not, as it pays.)"""
-    path = _written(spark, sf_dir, "events", orc.WriteConfig(), files=1)
-    found = tail.streams(spark, path).filter("area = 'data' AND stripe = 0 AND column_id IN (1, 2, 3, 5)")
-    return found.groupBy("column_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "kind"))), lambda x: x["kind"]), ",").alias("streams"))
+    """The data streams of columns without nulls: numbers, times, and doubles. (Strings have a dictionary or not, as it pays.) All stripes have the same."""
+    path = _written(spark, sf_dir, "events", orc.WriteConfig())
+    found = tail.streams(spark, path).filter("area = 'data' AND column_id IN (1, 2, 3, 5)")
+    own = found.groupBy("file", "stripe", "column_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "kind"))), lambda x: x["kind"]), ",").alias("streams"))
+    return own.select("column_id", "streams").distinct()
 
 
 @query("orc_encodings", "SELECT * FROM (VALUES (0, 'direct'), (1, 'direct_v2'), (2, 'direct_v2'), (3, 'direct_v2'), (5, 'direct')) AS t(column_id, encoding)")
 def orc_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _written(spark, sf_dir, "events", orc.WriteConfig(), files=1)
-    return tail.encodings(spark, path).filter("stripe = 0 AND column_id IN (0, 1, 2, 3, 5)").select("column_id", "encoding")
+    """How columns are encoded, in all stripes alike."""
+    path = _written(spark, sf_dir, "events", orc.WriteConfig())
+    return tail.encodings(spark, path).filter("column_id IN (0, 1, 2, 3, 5)").select("column_id", "encoding").distinct()
 
 
 @query("orc_column_sizes", "SELECT 5 AS column_id, cast(1 AS bigint) AS data_streams, 8 * count(*) AS data_length FROM events")
 def orc_column_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doubles that aren't compressed fill eight bytes each."""
-    path = _written(spark, sf_dir, "events", orc.WriteConfig(), files=1)
-    streams = tail.streams(spark, path).filter("area = 'data' AND stripe = 0").groupBy("column_id").agg(F.count("*").alias("data_streams"))
+    path = _written(spark, sf_dir, "events", orc.WriteConfig())
+    streams = tail.streams(spark, path).filter("area = 'data'").groupBy("file", "stripe", "column_id").agg(F.count("*").alias("data_streams")).select("column_id", "data_streams").distinct()
     return tail.column_sizes(spark, path).join(streams, "column_id").filter("column_id = 5").select("column_id", "data_streams", "data_length")
 
 

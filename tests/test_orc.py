@@ -230,3 +230,21 @@ def test_row_groups_of_many_files(spark, tiny, tmp_path, monkeypatch):
     assert len(got) == 30 and got == sorted(con.execute(catalogue.ORACLES["orc_rowgroup_stats"]).fetchall())
     sizes = _sizes(spark, str(tmp_path / "orc-index"))
     assert sum(sizes) == 29_500 and len(sizes) > 2 and max(sizes) < 15_000 and all(size % 1000 == 0 for size in sizes[:-1])
+
+
+@pytest.mark.parametrize("name", ["orc_stripes", "orc_types", "orc_streams", "orc_encodings", "orc_column_sizes"])
+def test_what_many_files_say(spark, tiny, tmp_path, monkeypatch, name):
+    """Of tables in several parts, which several tasks write."""
+    import duckdb
+
+    from stripewise.plans import catalogue, queries
+
+    con = duckdb.connect()
+    for table in ("events", "embeddings"):
+        spark.read.parquet(f"{tiny}/{table}.parquet").repartition(4).write.parquet(f"{tmp_path}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    written = tmp_path / "written"
+    monkeypatch.setattr(queries, "_scratch", lambda spark, name: str(written))
+    got = sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(catalogue.ORACLES[name]).fetchall())
+    assert len(_sizes(spark, str(written))) > 1
